@@ -1,10 +1,12 @@
-"""Queries over the driver's tables by name, with the SQL they are checked against."""
+"""Queries over the driver's tables by name, with the SQL they are checked against.
 
-from __future__ import annotations
+Doubles are rounded to six places on both sides; every order ends in a unique id.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import compaction, gating, ranking, retrieval, sessions, stores, streams, texts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (retrieval, texts, gating, ranking, sessions, compaction, stores, streams)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
