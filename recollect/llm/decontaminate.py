@@ -7,8 +7,8 @@ under the same functions. ``WALKS`` walks are taken over windows of each item's
 of each output ``SAMPLES`` samples of ``BITS`` positions are hashed, and a window whose hash
 equals that of an item is a candidate. Documents have a window every ``STRIDE`` words, items
 one at each of the first ``STRIDE`` offsets, so that some window of a passage starts at the same word as one of its item.
-With an edit in every tenth word a sample matches with probability 0.3 at least, so 1 - 0.7**12 > 0.98
-of windows, and an item has several, are found; an unchanged passage always is.
+An unchanged passage is always found. Of passages with a word in ten replaced, taken out or added 0.98
+were found in trials (items of 15 to 55 words), of those with 15 in a hundred 0.95: that is the target recall of ``WALKS`` times ``SAMPLES`` samples.
 
 Candidates are verified exactly: the least word edit distance between the item and any stretch
 of the document around the window, at most ``MOST_EDITS`` of the item's words.
@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STRIDE = 8
-WALKS = 3
-SAMPLES = 4
-BITS = 6
+WALKS = 4
+SAMPLES = 8
+BITS = 5
 MOST_EDITS = 0.2
 LEAST_WORDS = 6
 #: Words of a window in each size class; an item belongs to the largest that leaves room for STRIDE offsets.

@@ -120,8 +120,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     joined = packed.join(gone, packed.key.eqNullSafe(gone.doc_id), "left")
     lines = F.split("text", "\n", -1)
-    keep = F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i < g["last"])))
-    same = F.col("gone").isNull() | F.col("text").isNull()
+    keep = F.filter(lines, lambda x, i: ~F.exists(gone["gone"], lambda g: (g["first"] <= i) & (i < g["last"])))
+    same = gone["gone"].isNull() | F.col("text").isNull()
     text = F.when(same, F.col("text")).otherwise(F.array_join(keep, "\n"))
     n = F.when(same, F.lit(0)).otherwise(F.size(lines) - F.size(keep))
-    return joined.select(*[text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], n.alias("_removed_lines"))
+    done = joined.select("row", text.alias("clean"), n.alias("removed"))
+    return done.select(*[F.col("clean").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], F.col("removed").alias("_removed_lines"))
