@@ -1,9 +1,57 @@
-"""Streaming behaviour run to completion over the driver's tables."""
+"""Streaming behaviour, run to completion over conversations, and authored documents."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import model
+from ..operators import authored, modality
+from ..streaming import turns as streaming
 from .common import registry
 
 QUERIES, ORACLE_SQL, query = registry()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a folder of this machine only where none is named (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{root.rstrip('/')}/streams" if root else "file://" + tempfile.mkdtemp(prefix="spark-streams-")
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/conversations.parquet"
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    ms = F.lit(model.EPOCH_MS) + F.col("conv_id") * model.HOUR_MS + F.col("turn") * model.MINUTE_MS
+    return rows.select((F.col("conv_id") % 10).alias("session_id"), F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("id"), F.col("turn").alias("turn"), "conv_id", "role", "text", F.timestamp_millis(ms).alias("ts"))
+
+
+@query("""SELECT conv_id, turn, role, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY 1, 2, 3""")
+def z1_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("session_id", F.col("conv_id"))
+    once = streaming.completed(streaming.deduplicated(rows), _folder(spark))
+    return once.groupBy("conv_id", "turn", "role").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT conv_id % 10 AS session_id, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id * 3600000 + turn * 60000, conv_id, turn) AS rn, ceil(length(text) / 4.0)::BIGINT AS n FROM conversations),
+    s AS (SELECT session_id, 0::BIGINT AS rn, 0::BIGINT AS tokens, 0::BIGINT AS fired FROM (SELECT DISTINCT session_id FROM t) UNION ALL SELECT s.session_id, t.rn, CASE WHEN s.tokens + t.n >= 2000 THEN 0 ELSE s.tokens + t.n END, CASE WHEN s.tokens + t.n >= 2000 THEN s.fired + 1 ELSE s.fired END FROM s JOIN t ON t.session_id = s.session_id AND t.rn = s.rn + 1)
+    SELECT session_id, arg_max(fired, rn) AS fired, arg_max(tokens, rn) AS tokens FROM s GROUP BY 1""")
+def z2_compaction_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.completed(streaming.triggers(_stream(spark, sf_dir)), _folder(spark), "update").select("session_id", "fired", "tokens")
+
+
+@query()
+def d1_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = model.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    turns = model.table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return docs.unionByName(turns).select("kind", "id", modality.mask(F.col("text")).alias("modality_mask")).withColumn("promoted", F.col("modality_mask") != 0)
+
+
+@query()
+def a3_authored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.table(spark, sf_dir, "documents")
+    front = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntitle: t\nhop_targets: [a, "), F.col("lang"), F.lit("]\n---\n"))).otherwise("")
+    marked = F.concat(front, F.lit("# Head\n\n"), F.col("text"), F.lit("\n\n- always use it\n  more\n- second\n\n> quoted\n\n```\ncode\n```\n"))
+    return authored.nodes(d.select(F.col("doc_id").cast("string").alias("source_doc"), marked.alias("text")))
