@@ -57,7 +57,8 @@ def nodes(docs: DataFrame) -> DataFrame:
     # What is indented, or text right behind it, goes on with the item, quote or paragraph above; without one it is code.
     lead = F.last(F.when(~F.col("own").isin("indented", "blank", "text"), F.col("own")).when((F.col("own") == "text"), F.col("own")), ignorenulls=True).over(before)
     previous = F.lag("own").over(w)
-    kind = F.when((F.col("own") == "indented") & lead.isin("item", "quote", "text"), "more").when(F.col("own") == "indented", "code").when((F.col("own") == "text") & previous.isin("item", "quote", "indented") & lead.isin("item", "quote"), "more").otherwise(F.col("own"))
+    above = F.last(F.when(F.col("own") != "indented", F.col("own")), ignorenulls=True).over(before)
+    kind = F.when((F.col("own") == "indented") & ((lead == "item") | (lead.isin("quote", "text") & (above != "blank"))), "more").when(F.col("own") == "indented", "code").when((F.col("own") == "text") & previous.isin("item", "quote", "indented") & lead.isin("item", "quote"), "more").otherwise(F.col("own"))
     lines = lines.withColumn("kind", kind).withColumn("opens", fence & ~F.col("inside"))
     last = F.lag("kind").over(w)
     starts = F.when(F.col("kind").isin("more", "blank"), False).when(F.col("kind").isin("item", "heading"), True).when(F.col("kind") == "code", F.col("opens") | ~F.coalesce(last == "code", F.lit(False))).otherwise(~F.coalesce((last == F.col("kind")) | ((last == "more") & lead.isin("item") & (F.col("kind") == "text")), F.lit(False)))

@@ -23,7 +23,8 @@ def _folder(spark: SparkSession) -> str:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/conversations.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # A pattern stands for a file as well as for a folder of files; a plain path must be a folder.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/conversations.parque[t]")
     ms = F.lit(model.EPOCH_MS) + F.col("conv_id") * model.HOUR_MS + F.col("turn") * model.MINUTE_MS
     return rows.select((F.col("conv_id") % 10).alias("session_id"), F.concat_ws(":", F.lpad(F.col("conv_id").cast("string"), 8, "0"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("id"), F.col("turn").alias("turn"), "conv_id", "role", "text", F.timestamp_millis(ms).alias("ts"))
 
