@@ -39,6 +39,9 @@ def compare(df, sql: str, sf_dir: str = SF_DIR) -> str | None:
     """None if names and rows agree, else what differs."""
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = connect(sf_dir).execute(sql)
+    odd = [f"{d[0]} is {d[1]}" for d in cur.description if str(d[1]).startswith(("DECIMAL", "HUGEINT"))]
+    if odd:
+        return ", ".join(odd)
     want = rows([d[0] for d in cur.description], cur.fetchall())
     if got[0] != want[0]:
         return f"columns {got[0]} against {want[0]}"
