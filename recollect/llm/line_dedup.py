@@ -32,7 +32,7 @@ from . import common as C
 WINDOW = 2
 EVERY = 2
 LONG = 50
-ROUNDS = 3
+ROUNDS = 5
 
 
 def cut(texts: list[str], rounds: int = ROUNDS) -> Iterator[tuple[int, int, int, int]]:
