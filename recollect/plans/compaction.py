@@ -64,3 +64,50 @@ def r8_expand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.table(spark, sf_dir, "documents").select("doc_id")
     e = d.select(F.col("doc_id").alias("parent_summary_id"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2)).alias("child_id")).where("child_id < 500").distinct()
     return compact.expanded(e, d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
+
+
+@query(f"""WITH {DEALT}, sv AS (SELECT p.session_id, p.bucket, i, avg(x) AS x FROM pick p JOIN e USING (id) WHERE chosen GROUP BY 1, 2, 3),
+    a AS (SELECT sv.session_id, sv.bucket, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS align FROM sv JOIN m ON m.session_id = sv.session_id AND m.bucket = sv.bucket AND m.i = sv.i GROUP BY 1, 2)
+    SELECT a.session_id, a.bucket, round(align, 6) + 0.0 AS align, round(cover, 6) + 0.0 AS cover, round(least(greatest((align + cover) / 2, 0), 1), 6) + 0.0 AS confidence FROM a JOIN s ON a.session_id = s.session_id AND a.bucket = s.bucket""")
+def x5_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import protect
+
+    q = protect.quality(compact.extractive(_dealt(spark, sf_dir)))
+    return q.select("session_id", "bucket", *[r6(c).alias(c) for c in ("align", "cover", "confidence")])
+
+
+@query(f"""WITH {DEALT} SELECT session_id, bucket, CASE WHEN token_count < source_tokens THEN 0 END AS step, token_count < source_tokens AS accepted FROM t WHERE token_count < source_tokens""")
+def x8_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import protect
+
+    return protect.ladder(_dealt(spark, sf_dir)).select("session_id", "bucket", "step", "accepted").where("accepted and step = 0")
+
+
+@query()
+def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import protect, rank
+
+    t = model.turns(spark, sf_dir).withColumn("text", F.when(F.substring("id", -1, 1) == "2", F.concat(F.lit("Always use the harbour. "), "text")).otherwise(F.col("text")))
+    t = t.withColumn("vector", V.hashed_embedding(F.col("text"))).withColumn("stability_weight", rank.role_weight(F.col("role")))
+    return protect.protected(t).select("id", "protection")
+
+
+@query()
+def x9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import protect
+
+    pages = model.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.sha2(protect.sanitised(F.concat(F.lit("```\n"), "html", F.lit("\n```\ntail"))), 256).alias("clean_sha"))
+
+
+@query(f"""WITH {turns_sql('conv_id % 10')}, r AS (SELECT *, sum(ceil(length(text) / 4.0)::BIGINT) OVER (PARTITION BY session_id ORDER BY ts_ms, id)::BIGINT AS running FROM turns)
+    SELECT session_id, id, running, running // 2000 > (running - ceil(length(text) / 4.0)::BIGINT) // 2000 AS crosses FROM r""")
+def x14_token_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from ..functions import text as T
+    from ..operators import session
+
+    cost = T.tokens_packed(F.col("text"))
+    t = model.turns(spark, sf_dir, 10).withColumn("n", cost).withColumn("running", F.sum("n").over(session.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return t.select("session_id", "id", "running", (F.floor(F.col("running") / 2000) > F.floor((F.col("running") - F.col("n")) / 2000)).alias("crosses"))

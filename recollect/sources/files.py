@@ -25,7 +25,7 @@ def markdown(spark: SparkSession, root: str, include: list[str] = (), exclude: l
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").load(root)
     base = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") + "/"
     path = F.element_at(F.split(F.col("path"), re.escape(base), 2), 2)
-    rows = files.select(path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
+    rows = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime_ms"))
     return rows.where(wanted(F.col("path"), list(include), list(exclude)))
 
 
