@@ -34,7 +34,8 @@ class Store:
             return 0
         return max((int(n[:12]) for s in self._fs.listStatus(folder) if (n := s.getPath().getName()).endswith(".json")), default=0)
 
-    def tables(self, version: int | None = None) -> dict[str, str]:
+    def tables(self, version: int | None = None) -> dict[str, list[str]]:
+        """The folders of each table."""
         version = self.version() if version is None else version
         if not version:
             return {}
@@ -42,15 +43,21 @@ class Store:
         return json.loads(lines[0])
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self.tables(version)[name])
+        return self.spark.read.parquet(*self.tables(version)[name])
 
-    def commit(self, changed: dict[str, DataFrame], expected: int) -> int:
-        """Writes the tables and makes version ``expected`` + 1 of them and the unchanged ones; Conflict if that version is there already."""
+    def commit(self, changed: dict[str, DataFrame], expected: int, appended: dict[str, DataFrame] | None = None) -> int:
+        """Writes the tables and makes version ``expected`` + 1 of them and the unchanged ones; Conflict if that version is there already.
+
+        ``changed`` tables are replaced, to ``appended`` ones rows are added.
+        """
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         now = self.tables(expected)
         for name, df in changed.items():
             df.write.parquet(f"{folder}/{name}")
-            now[name] = f"{folder}/{name}"
+            now[name] = [f"{folder}/{name}"]
+        for name, df in (appended or {}).items():
+            df.write.parquet(f"{folder}/{name}+")
+            now[name] = [*now.get(name, []), f"{folder}/{name}+"]
         if self.version() != expected:
             raise Conflict(f"version {expected} is no longer the newest")
         path = self._path(self._marker(expected + 1))
