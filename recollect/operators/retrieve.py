@@ -14,6 +14,8 @@ from ..functions import vector as V
 
 #: Queries that go to the tasks at once: their number times the vector's size bounds what is broadcast.
 QUERIES_AT_ONCE = 4096
+#: Collections whose best results a task holds before it hands them on.
+GROUPS_HELD = 64
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -46,23 +48,32 @@ def top_k(records: DataFrame, queries: DataFrame, k: int = 10, per_collection: b
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             ids = np.array(ids, np.int64)
+            held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # a task's best so far: scores, ids, collections, a row for each query
+
+            def rows(score: np.ndarray, keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+                row, col = np.nonzero(np.isfinite(score))
+                return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row, col]), pa.array(names[row, col], pa.string()), pa.array(score[row, col])], ["query_id", "id", "collection", "score"])
+
             for b in batches:
                 keys = b.column("id").to_numpy(zero_copy_only=False)
                 names = np.array(b.column("collection").to_pylist(), object)
                 score = q @ _unit(b.column("vector").to_pylist()).T
-                for group in [names == c for c in dict.fromkeys(names.tolist())] if per_collection else [np.ones(len(keys), bool)]:
-                    at = np.flatnonzero(group)
-                    s = score[:, at]
-                    if exclude_self:
-                        s = np.where(ids[:, None] == keys[at][None, :], -np.inf, s)
-                    n = len(at) if k <= 0 else min(k, len(at))
+                if exclude_self:
+                    score = np.where(ids[:, None] == keys[None, :], -np.inf, score)
+                for group in dict.fromkeys(names.tolist()) if per_collection else [""]:
+                    at = np.flatnonzero(names == group) if per_collection else np.arange(len(keys))
+                    found = score[:, at], np.broadcast_to(keys[at], (len(ids), len(at))), np.broadcast_to(names[at], (len(ids), len(at)))
+                    if k <= 0:
+                        yield rows(*found)
+                        continue
+                    s, i, c = (np.hstack([x, y]) for x, y in zip(held[group], found, strict=True)) if group in held else found
                     # Values that differ by rounding only are one value, as in the final order.
-                    best = np.lexsort((np.broadcast_to(keys[at], s.shape), -np.round(s, 9)), axis=1)[:, :n]
-                    row = np.repeat(np.arange(len(ids)), n)
-                    col = best.ravel()
-                    ok = np.isfinite(s[row, col])
-                    row, col = row[ok], col[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[at][col]), pa.array(names[at][col], pa.string()), pa.array(s[row, col])], ["query_id", "id", "collection", "score"])
+                    best = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+                    held[group] = tuple(np.take_along_axis(x, best, axis=1) for x in (s, i, c))
+                if len(held) > GROUPS_HELD:
+                    yield from (rows(*x) for x in held.values())
+                    held.clear()
+            yield from (rows(*x) for x in held.values())
 
         part = records.select("id", "vector", "collection").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
