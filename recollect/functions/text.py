@@ -91,3 +91,13 @@ def content_text(parts: Column) -> Column:
     """Text of a message of typed parts: the text ones joined by line breaks, trimmed."""
     texts = F.transform(F.filter(parts, lambda p: p["type"].isin("text", "input_text", "output_text")), lambda p: p["text"])
     return F.regexp_replace(F.array_join(texts, "\n"), "(?U)^\\s+|\\s+$", "")
+
+
+def number(value: Column) -> Column:
+    """A number from a JSON value as text: numbers and numeric strings, anything else null."""
+    return F.regexp_replace(F.trim(value), '^"|"$', "").try_cast("double")
+
+
+def eviction_priority(idle_ms: Column, size: Column, uses: Column, k: float = 1.2e11) -> Column:
+    """How soon an unused model goes: idle time times size, less the more it was used."""
+    return idle_ms * size / (k * (1 + F.log(uses + 1.0)))

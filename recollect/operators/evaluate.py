@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def hit_rates(results: DataFrame) -> DataFrame:
     """Rates of (question_type, session_hit, answer_hit, prompt_tokens), by type and over all (type null), abstentions skipped."""
@@ -30,3 +32,15 @@ def sweep(values: DataFrame, thresholds: tuple[float, ...] = (0.65, 0.75, 0.85))
     """How many values reach each threshold: one pass, no join."""
     counts = values.agg(F.count("*").alias("n"), *[F.count_if(F.col("value") >= t).alias(f"c{i}") for i, t in enumerate(thresholds)])
     return counts.select(F.col("n"), F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("reached")) for i, t in enumerate(thresholds)])).alias("s")).select("s.threshold", "s.reached", "n")
+
+
+def survival(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of (wanted, survived) rows: wanted, survived of them, survived though not wanted (also as a share of wanted), missed."""
+    w, s = F.col("wanted"), F.col("survived")
+    return rows.groupBy(*by).agg(F.count_if(w).alias("wanted"), F.count_if(w & s).alias("kept"), F.count_if(~w & s).alias("false_kept"), F.count_if(w & ~s).alias("missed"), F.try_divide(F.count_if(~w & s).cast("double"), F.count_if(w)).alias("p_fp"))
+
+
+def miss_class(answer: Column, prompt: Column) -> Column:
+    """Why a question was missed: the answer is in the prompt, some of its terms are, or none."""
+    terms = T.keywords(answer)
+    return F.when(F.contains(F.lower(prompt), F.lower(answer)), "answer_present").when(F.size(F.array_intersect(terms, T.terms(prompt))) > 0, "related").otherwise("none")

@@ -36,3 +36,31 @@ def best_of_each(items: DataFrame) -> DataFrame:
     """Of each (query, collection, id) the highest final score."""
     w = Window.partitionBy("query_id", "collection", "id").orderBy(F.round("final_score", 9).desc())
     return items.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def protected_pair_fit(items: DataFrame, budget: int) -> DataFrame:
+    """First fit with a pair of witnesses first: query_id, rank, id, tokens, witness (boolean).
+
+    Where a query has exactly two witnesses and both fit together they are packed before all others; else all are packed in rank order.
+    """
+    w = Window.partitionBy("query_id")
+    pair = (F.count_if("witness").over(w) == 2) & (F.sum(F.when(F.col("witness"), F.col("tokens"))).over(w) <= budget)
+    ordered = items.withColumn("_pair", F.coalesce(pair, F.lit(False)))
+    order = F.row_number().over(w.orderBy(F.when(F.col("_pair") & F.col("witness"), 0).otherwise(1), "rank"))
+    return first_fit(ordered.withColumn("_order", order), budget, order="_order")
+
+
+#: What is shown first: the sections of a recall in order.
+SECTION_ORDER = ["hard", "tail_base", "soft", "tail_extension", "elevated", "variant", "recovery"]
+
+
+def concatenated(items: DataFrame) -> DataFrame:
+    """Items (query_id, section, rank, ...) with ``position`` in the final order of sections."""
+    at = F.array_position(F.array(*[F.lit(s) for s in SECTION_ORDER]), F.col("section"))
+    return items.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(at, "rank")))
+
+
+def reserve_checked(costs: DataFrame, budget: Column | int) -> DataFrame:
+    """Hard items' costs by query; a reserve larger than the budget fails the job."""
+    total = costs.groupBy("query_id").agg(F.sum("tokens").alias("reserved"))
+    return total.withColumn("reserved", F.when(F.col("reserved") > budget, F.raise_error(F.lit("hard items exceed the startup reserve"))).otherwise(F.col("reserved")))

@@ -51,3 +51,9 @@ def prior_context(starts: DataFrame, summaries: DataFrame, budget: int = 96) ->
     empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("texts"))
     fold = F.aggregate("l", empty, lambda a, x: F.when(a["used"] + x["c"] <= budget, F.struct((a["used"] + x["c"]).alias("used"), F.concat(F.array(x["t"]), a["texts"]).alias("texts"))).otherwise(a))
     return listed.select("session_id", "bucket", fold.alias("f")).select("session_id", "bucket", F.col("f.used").alias("prior_tokens"), F.array_join("f.texts", "\n\n").alias("prior"))
+
+
+def recall_projection(turns: DataFrame, min_turns: int = 4, budget: int = 128) -> DataFrame:
+    """The searchable view of a session: what the tail doesn't hold, under ids of its own."""
+    older = tail_split(turns, min_turns, budget).where(~F.col("recent"))
+    return older.select(F.concat(F.lit("session_recall:"), F.col("session_id").cast("string")).alias("collection"), F.concat(F.lit("recall:"), "id").alias("id"), "text", "ts_ms")

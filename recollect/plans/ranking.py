@@ -183,3 +183,24 @@ def p5_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_recovery_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).select("query_id", "collection", F.floor(F.col("id") / 5).alias("id"), F.round("score", 6).alias("final_score"))
     return pack.best_of_each(c).select("query_id", "collection", "id", r6("final_score").alias("final_score"))
+
+
+PAIRS = ITEMS.replace("WITH", "WITH RECURSIVE", 1) + """, w AS (SELECT *, id % 3 = 0 AS witness FROM i), c AS (SELECT *, count(*) FILTER (witness) OVER (PARTITION BY query_id) = 2 AND coalesce(sum(tokens) FILTER (witness) OVER (PARTITION BY query_id) <= 120, false) AS pair FROM w),
+    oo AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pair AND witness THEN 0 ELSE 1 END, rank) AS ord FROM c),
+    g AS (SELECT query_id, 0::BIGINT AS ord, 0::BIGINT AS used, []::VARCHAR[] AS ids FROM (SELECT DISTINCT query_id FROM oo)
+      UNION ALL SELECT g.query_id, o.ord, CASE WHEN g.used + o.tokens <= 120 THEN g.used + o.tokens ELSE g.used END, CASE WHEN g.used + o.tokens <= 120 THEN list_append(g.ids, o.id::VARCHAR) ELSE g.ids END FROM g JOIN oo o ON o.query_id = g.query_id AND o.ord = g.ord + 1),
+    l AS (SELECT query_id, arg_max(used, ord) AS used, arg_max(ids, ord) AS ids FROM g GROUP BY 1) SELECT query_id, used, generate_subscripts(ids, 1) - 1 AS position, unnest(ids) AS id FROM l"""
+
+
+@query(PAIRS)
+def p3_protected_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _items(spark, sf_dir).withColumn("witness", F.col("id") % 3 == 0)
+    return pack.protected_pair_fit(items, 120).select("query_id", "used", F.col("position").cast("long").alias("position"), "id")
+
+
+@query(ITEMS + """, s AS (SELECT query_id, id, rank, ['hard', 'tail_base', 'soft', 'tail_extension', 'elevated', 'variant', 'recovery'][id % 7 + 1] AS section, id % 7 AS sec FROM i)
+    SELECT query_id, id, section, row_number() OVER (PARTITION BY query_id ORDER BY sec, rank) AS position FROM s""")
+def p7_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(s) for s in pack.SECTION_ORDER])
+    items = _items(spark, sf_dir).withColumn("section", F.element_at(names, (F.col("id") % 7 + 1).cast("int")))
+    return pack.concatenated(items).select("query_id", "id", "section", F.col("position").cast("long").alias("position"))

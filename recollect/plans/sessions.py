@@ -69,3 +69,9 @@ def w6_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = model.table(spark, sf_dir, "documents").select("doc_id", F.size(F.split("text", " ")).cast("long").alias("n"))
     s = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 257, F.lit(0)), F.lit(256).cast("long"))).alias("start"))
     return s.select("doc_id", "start", F.least(F.lit(512), F.col("n") - F.col("start")).alias("size"))
+
+
+@query(f"WITH {turns_sql('conv_id % 10')}, {tail_sql(4, 128)} SELECT 'session_recall:' || session_id AS collection, 'recall:' || id AS id FROM split WHERE NOT recent")
+def k13_recall_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = model.turns(spark, sf_dir, 10).withColumn("tokens", T.tokens_floor(F.col("text")))
+    return session.recall_projection(t).select("collection", "id")

@@ -102,3 +102,20 @@ def e3_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT t AS threshold, count(*) FILTER ((doc_id % 100) / 100.0 >= t) AS reached, count(*) AS n FROM labels CROSS JOIN (SELECT unnest([0.65, 0.75, 0.85])::DOUBLE AS t) GROUP BY 1""")
 def e5_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.sweep(model.table(spark, sf_dir, "labels").select(((F.col("doc_id") % 100) / 100.0).alias("value")))
+
+
+@query("""WITH r AS (SELECT lang, quality = 1 AS w, d.doc_id % 4 <> 0 AS s FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT lang, count(*) FILTER (w) AS wanted, count(*) FILTER (w AND s) AS kept, count(*) FILTER (NOT w AND s) AS false_kept, count(*) FILTER (w AND NOT s) AS missed, round(count(*) FILTER (NOT w AND s) / nullif(count(*) FILTER (w), 0), 6) + 0.0 AS p_fp FROM r GROUP BY 1""")
+def e4_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = model.table(spark, sf_dir, "documents").select("doc_id", "lang").join(model.table(spark, sf_dir, "labels"), "doc_id")
+    out = evaluate.survival(d.select("lang", (F.col("quality") == 1).alias("wanted"), (F.col("doc_id") % 4 != 0).alias("survived")), ["lang"])
+    return out.withColumn("p_fp", r6("p_fp"))
+
+
+@query(r"""WITH b AS (SELECT item_id, array_to_string((string_split(replace(text, chr(10), ' '), ' '))[1:4], ' ') AS a FROM benchmark WHERE item_id < 5),
+    t AS (SELECT item_id, doc_id, a, d.text, list_filter(regexp_split_to_array(lower(a), '[^a-z0-9_]+'), lambda x: length(x) >= 3) AS ta, list_filter(regexp_split_to_array(lower(d.text), '[^a-z0-9_]+'), lambda x: x <> '') AS td FROM b CROSS JOIN documents d)
+    SELECT item_id, CASE WHEN contains(lower(text), lower(a)) THEN 'answer_present' WHEN len(list_intersect(ta, td)) > 0 THEN 'related' ELSE 'none' END AS miss, count(*) AS n FROM t GROUP BY 1, 2""")
+def e6_miss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = model.table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("answer"))
+    d = model.table(spark, sf_dir, "documents").select("text").crossJoin(F.broadcast(b))  # five answers
+    return d.select("item_id", evaluate.miss_class(F.col("answer"), F.col("text")).alias("miss")).groupBy("item_id", "miss").agg(F.count("*").alias("n"))

@@ -88,3 +88,17 @@ def ns_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("source"))
     none = F.lit(None).cast("string")
     return model.table(spark, sf_dir, "documents").select("doc_id", model.namespace(user, F.col("lang"), none, none).alias("ns"))
+
+
+@query("""WITH e AS (SELECT event_id, props ->> '$.k' AS a, CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '"' || value || '"' WHEN 2 THEN 'not a number' ELSE ' 7.5 ' END AS v FROM events)
+    SELECT event_id, round(try_cast(regexp_replace(trim(v), '^"|"$', '', 'g') AS DOUBLE), 6) + 0.0 AS number FROM e""")
+def f17_lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    v = F.when(i % 4 == 0, i.cast("string")).when(i % 4 == 1, F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"'))).when(i % 4 == 2, "not a number").otherwise(" 7.5 ")
+    return model.table(spark, sf_dir, "events").select("event_id", r6(T.number(v)).alias("number"))
+
+
+@query("""SELECT doc_id, round((doc_id * 1000.0::DOUBLE) * n_chars / (1.2e11::DOUBLE * (1 + ln(doc_id % 10 + 1.0))) * 1e6, 6) + 0.0 AS priority FROM documents""")
+def f16_eviction_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return model.table(spark, sf_dir, "documents").select("doc_id", r6(T.eviction_priority(d * 1000.0, F.col("n_chars"), d % 10) * 1e6).alias("priority"))
