@@ -198,8 +198,8 @@ def p3_protected_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.protected_pair_fit(items, 120).select("query_id", "used", F.col("position").cast("long").alias("position"), "id")
 
 
-@query(ITEMS + """, s AS (SELECT query_id, id, rank, ['hard', 'tail_base', 'soft', 'tail_extension', 'elevated', 'variant', 'recovery'][id % 7 + 1] AS section, id % 7 AS sec FROM i)
-    SELECT query_id, id, section, row_number() OVER (PARTITION BY query_id ORDER BY sec, rank) AS position FROM s""")
+@query(ITEMS + """, sections AS (SELECT query_id, id, rank, ['hard', 'tail_base', 'soft', 'tail_extension', 'elevated', 'variant', 'recovery'][id % 7 + 1] AS section, id % 7 AS sec FROM i)
+    SELECT query_id, id, section, row_number() OVER (PARTITION BY query_id ORDER BY sec, rank) AS position FROM sections""")
 def p7_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(s) for s in pack.SECTION_ORDER])
     items = _items(spark, sf_dir).withColumn("section", F.element_at(names, (F.col("id") % 7 + 1).cast("int")))
