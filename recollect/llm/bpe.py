@@ -36,13 +36,16 @@ NEVER = 1 << 40
 class Merges:
     """The tokens of a rank file and which of them may stand side by side."""
 
+    #: Pairs remembered.
+    MOST = 400_000
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Merges:
@@ -79,9 +82,11 @@ class Merges:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether a then b is the encoding of their bytes."""
-        known = self._follows.get((a, b))
+        known = self._follows.get(a << 20 | b)
         if known is None:
-            known = self._follows[a, b] = self._no_merge_across(a, b)
+            if len(self._follows) > self.MOST:
+                self._follows = {}
+            known = self._follows[a << 20 | b] = self._no_merge_across(a, b)
         return known
 
     def _no_merge_across(self, a: int, b: int) -> bool:
@@ -128,24 +133,25 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        first = ((0, -1),)
-        self.states: list[tuple] = [first]
-        self.number: dict[tuple, int] = {first: 0}
+        # A state's pairs as one number each: the node, and in the low 20 bits the token before, plus 1.
+        first = (0,)
+        self.states: list[tuple[int, ...]] = [first]
+        self.number: dict[tuple[int, ...], int] = {first: 0}
         self.moves: dict[int, int] = {}
 
     def _move(self, state: int, byte: int) -> int:
         """Determinises one step: the next state's number, and in the low 20 bits the token that ends here."""
         out, ended = [], -1
-        for node, before in self.states[state]:
-            node = self.next[node].get(byte)
+        for pair in self.states[state]:
+            node = self.next[pair >> 20].get(byte)
             if node is None:
                 continue
-            token = self.token_at[node]
+            token, before = self.token_at[node], (pair & 0xFFFFF) - 1
             if token >= 0 and ended < 0 and (before < 0 or self.merges.may_follow(before, token)):
                 ended = token
             if self.next[node]:
-                out.append((node, before))
-        live = (*out, (0, ended))
+                out.append(node << 20 | before + 1)
+        live = (*out, ended + 1)
         to = self.number.get(live)
         if to is None:
             to = self.number[live] = len(self.states)
@@ -183,7 +189,7 @@ class Transducer:
 
     def _settled(self, ends: list[int], state: int) -> list[int]:
         """The tokens that all live walks have behind them."""
-        chains = [self._traced(ends, len(ends) - 1 - self.depth[node]) for node, _ in self.states[state]]
+        chains = [self._traced(ends, len(ends) - 1 - self.depth[pair >> 20]) for pair in self.states[state]]
         least = min(map(len, chains))
         same = next((k for k in range(least) if any(c[k] != chains[0][k] for c in chains)), least)
         return chains[0][:same]
@@ -218,7 +224,7 @@ class Utf8:
 class Codec:
     """Texts to ids and back. Units between single spaces are remembered: ``most`` that came last, and the ``most`` before."""
 
-    def __init__(self, path: str, pattern: str, most: int = 250_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         self.merges = Merges.from_file(path)
         self.transducer = Transducer(self.merges)
         self.match = regex.compile(pattern).findall
@@ -257,7 +263,7 @@ class Codec:
         out = np.frombuffer(b"".join([self._unit(first), *parts]), "<u4")
         if len(self.units) > self.most:
             self.units, self.older = {}, self.units
-        if len(self.pieces) > self.most:
+        if len(self.pieces) > self.most * 3 // 4:
             self.pieces = {}
         return out
 
@@ -274,14 +280,9 @@ class Codec:
             yield text
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return C.hold(("bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -66,6 +66,22 @@ def narrow(schema: str) -> str:
     return " ".join(schema.split())
 
 
+_held: dict[tuple, object] = {}
+
+
+def hold(key: tuple, make):
+    """A worker's table, made once and kept for the tasks that follow; tables of other operators go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Frees the worker's tables: Spark uses its Python workers again for other operators."""
+    _held.clear()
+
+
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """The texts of an Arrow column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]

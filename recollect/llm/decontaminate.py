@@ -197,16 +197,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-_tables: dict[int, Benchmark] = {}
-
-
 def _table(shared) -> Benchmark:
     """The table of a broadcast block, made once in each worker; only the last is kept."""
-    key = hash((len(shared.value[0]), tuple(shared.value[1])))
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = Benchmark(*shared.value)
-    return _tables[key]
+    return C.hold(("benchmark", hash((len(shared.value[0]), tuple(shared.value[1])))), lambda: Benchmark(*shared.value))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

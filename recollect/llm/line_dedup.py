@@ -77,6 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """(doc_id, first, last, hash) of all chunks that count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             texts = C.texts_of(b.column(1))
             for i, j in C.grouped(texts):

@@ -53,6 +53,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Rows (id, fingerprint) of any table of texts; one scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             signs = fingerprints(C.texts_of(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encode(s) for s in signs], pa.string())], ["id", "fingerprint"])
@@ -73,6 +74,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     dealt = rows.select("doc_id", "text", "_key", F.posexplode(before).alias("_guard", "_in")).repartition("_in").sortWithinPartitions("_in", "_guard", "_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         held: list[tuple] = []  # rows not yet answered; the last has no next row so far
         block, open_block = None, False
         for b in batches:
@@ -132,6 +134,7 @@ def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
     pairs = links.unionByName(same).join(text, "doc_id").join(text.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             likeness = []
             for x, y in zip(C.texts_of(b.column("text")), C.texts_of(b.column("near_text")), strict=True):

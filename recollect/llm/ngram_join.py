@@ -58,6 +58,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     perms = C.permutations(SKETCH, seed=23)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             texts = C.texts_of(b.column(2))
             for i, j in C.grouped(texts):
@@ -81,6 +82,7 @@ def _split(rows: DataFrame) -> DataFrame:
     """(id, bucket) one token further: each bucket samples positions by its path, its sets go where their tokens are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -143,6 +145,7 @@ def _by_tile(rows: DataFrame, value: str, compare: Callable, schema: str) -> Dat
     """compare(ids, values, sides) of the rows of each tile, tiles one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         names = [f.split()[0] for f in schema.split(", ")]
         tile, held, out = None, [], []
         for b in batches:

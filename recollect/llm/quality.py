@@ -109,6 +109,7 @@ def _summed(rows: DataFrame, part) -> np.ndarray | None:
     """Sum over the partitions of part(x, y, fold), an array of fixed size; rows are (x, y, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         total = None
         for b in batches:
             if b.num_rows:
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int
     texts = docs.select(key.alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``most`` pairs of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(features(C.texts_of(b.column(0))).tolist(), pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "fold"])
 
@@ -177,6 +179,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
     """doc_id, held_out, score and predicted of every document; one scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             score = model.score(features(C.texts_of(b.column(2))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -190,6 +193,7 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.release()
         for b in batches:
             yield b.filter(pa.array(model.score(features(C.texts_of(b.column(at)))) >= threshold))
 
