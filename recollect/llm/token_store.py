@@ -143,67 +143,60 @@ class Encoder:
         if any(s in t for s in self.special for t in texts):  # these may hold white space and are matched first
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         runs = [(_SPACE.sub(" ", t) if "\t" in t or "\r" in t else t.replace("\n", " ")).split(" ") for t in texts]
-        out, open_texts, new = [], [], set()
-        get = self.known.get
-        for k, r in enumerate(runs):
-            parts = list(map(get, r))
-            if None in parts:
-                open_texts.append(k)
-                new.update(w for w, p in zip(r, parts, strict=True) if p is None)
-                out.append(b"")
-            else:
-                out.append(b"".join(parts))
+        coded = [list(map(self.known.get, r)) for r in runs]
+        new: set[str] = set()
+        for r, c in zip(runs, coded, strict=True):
+            new.update([w for w, x in zip(r, c, strict=True) if x is None])
         if new:
             self._learn(new)
-            for k in open_texts:
-                out[k] = b"".join(map(self.known.__getitem__, runs[k]))
-            if len(self.known) > self.MOST:
-                self.known, self.older = {"": b""}, self.known
-        return out
+            known = self.known
+            coded = [[known[w] if x is None else x for w, x in zip(r, c, strict=True)] for r, c in zip(runs, coded, strict=True)]
+            if len(known) > self.MOST:
+                self.known, self.older = {"": b""}, known
+        return [b"".join(c) for c in coded]
 
     def _learn(self, runs: set[str]) -> None:
-        older, known, split, single = self.older, self.known, {}, set()
+        known, older, words, single, open_runs = self.known, self.older, set(), set(), []
+        marks = self.MARKS
         for w in runs:
             got = older.get(w)
             if got is not None:
                 known[w] = got
                 continue
-            core = w.rstrip(self.MARKS)
+            core = w.rstrip(marks)
             low = core.lower()
-            if core and core.isalpha() and low.isalpha() and len(low) == len(core):
-                split[w] = (low if core.isascii() else core, w[len(core) :])
+            if low.isalpha() and len(low) == len(core) and core.isalpha():
+                if not core.isascii():
+                    low = core
+                open_runs.append((w, low, w[len(core) :]))
+                if low not in known:
+                    words.add(low)
             else:
                 single.add(w)
-        words = list({c for c, _ in split.values()}.difference(known))
-        marks = {m for _, m in split.values()}.difference(known)
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
+        single.update({m for _, _, m in open_runs}.difference(known))
+        listed = list(words)
+        for i in range(0, len(listed), 4096):
+            part = listed[i : i + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closing[ids]) + 1
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
             if len(ends) == len(part):
-                data = ids.tobytes()
-                for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    known[w] = data[4 * a : 4 * b]
+                data, ends = ids.tobytes(), ends.tolist()
+                known.update(zip(part, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
             else:
                 single.update(part)
-        rest = list(single | marks)
+        rest = list(single)
         for i in range(0, len(rest), 4096):
             for w, e in zip(rest[i : i + 4096], self.tokenizer.encode_batch(rest[i : i + 4096], add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, tail) in split.items():
-            known[w] = known[core] + known[tail]
+        for w, low, tail in open_runs:
+            known[w] = known[low] + known[tail] if tail else known[low]
 
 
 _SPACE = re.compile("[ \t\n\r]")
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process; the library's own threads stay off, tasks are the unit of work."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return C.hold(("tokens", path), lambda: Encoder(path))
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, rows_per_file: int = 4096) -> DataFrame:
