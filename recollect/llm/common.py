@@ -235,6 +235,10 @@ def first_of(key: Column, firsts: list[int]) -> Column:
     return F.get(F.lit(firsts), block_of(key, firsts)) == key if firsts else F.lit(False)
 
 
+#: Edges that a partition of a component search holds at least, if there are as many.
+EDGES_A_PARTITION = 50_000
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Connected components of (a, b) long pairs: rows (node, label), label the least node of its component.
 
@@ -246,16 +250,19 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
     seen = None
     for _ in range(most_rounds):
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == seen:
+            break
+        seen = now
+        # Few edges in many partitions would be mostly files and tasks.
+        e = e.coalesce(max(1, now[0] // EDGES_A_PARTITION))
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = saved(large.coalesce(max(1, now[0] // EDGES_A_PARTITION)))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = saved(small.select(b.alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.withColumnRenamed("m", "b")).distinct())
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == seen:
-            break
-        seen = now
+        e = saved(small.select(b.alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.withColumnRenamed("m", "b")).distinct().coalesce(max(1, now[0] // EDGES_A_PARTITION)))
     else:
         raise RuntimeError("components did not settle")
     return e.select(a.alias("node"), b.alias("label")).unionByName(e.select(b.alias("node"), b.alias("label")).distinct())
