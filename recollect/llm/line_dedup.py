@@ -1,14 +1,14 @@
-"""Line dedup: chunks of lines with content-defined borders, repeated chunks removed after byte comparison.
+"""Line dedup: content-defined chunks of lines, repeated chunks removed after byte comparison.
 
-A rolling hash over the hashes of the last ``WINDOW`` lines puts a border behind a line where
-it is divisible by ``EVERY``, so borders depend on nearby lines only and the same passage is cut
-alike wherever it stands. Lines of ``LONG`` or more words are passages of their own and have
-borders on both sides. ``ROUNDS`` independent hashes cut each text several ways: the first lines of a
-passage, whose border depends on what stands before it, are cut at their beginning in most documents by one.
+A rolling hash over the last ``WINDOW`` lines with words is taken behind every such line, from the beginning of
+the text on, and each window is a chunk (blank lines within it belong to it); so is each line of ``LONG`` or more
+words alone. Chunks depend on their own lines only: a passage of two lines with words or more is covered by the
+same chunks wherever it stands, and every copy of it but the first goes whole. (Borders at a part of the lines would
+be fewer, but whether a passage has one at its ends is up to chance.)
 
-A chunk is repeated if its very bytes occur again anywhere, in this or another document; it counts
-if it has two lines with words at least, or ``LONG`` words. The occurrence with the least
-(doc_id, line) stays, all others go. Chunks are first matched by a 64-bit hash, which leaves
+A chunk is repeated if its very bytes occur again anywhere, in this or another document. The occurrence with the least
+(doc_id, line) stays, all others go; of one that overlaps the first in its own document only the lines behind the first go.
+Each line that goes is left at a lesser (doc_id, line), so no line is lost from the table. Chunks are first matched by a 64-bit hash, which leaves
 few; these are then grouped by their bytes.
 
 Defined cases: a null text counts as empty and comes back as it is; blank lines are kept inside what
@@ -30,61 +30,44 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 2
-EVERY = 2
 LONG = 50
-ROUNDS = 5
 
 
-def cut(texts: list[str], rounds: int = ROUNDS) -> Iterator[tuple[int, int, int, int]]:
-    """(text, first line, line behind the last, hash) of the chunks that count, over all rounds, each once."""
+def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first line, line behind the last and hash of all chunks."""
     lines = [t.split("\n") for t in texts]
     n = np.array([len(x) for x in lines])
-    flat = [line for x in lines for line in x]
-    words, first, _, _ = C.word_hashes(flat)
+    words, first, _, _ = C.word_hashes([line for x in lines for line in x])
     count = np.diff(first)
     # A line's hash is that of its words; chunks that agree in it are compared byte by byte later.
     weights = words * (C.mix(np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1], count).astype(np.uint64) + np.uint64(1)) | np.uint64(1))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(weights, dtype=np.uint64)])
     h = C.mix(sums[first[1:]] - sums[first[:-1]] + count.astype(np.uint64))
     start = np.concatenate([[0], np.cumsum(n)])
-    begins = np.zeros(len(flat) + 1, bool)
-    begins[start] = True
-    long = count >= LONG
     text_of = np.repeat(np.arange(len(texts)), n)
-    seen: set[tuple[int, int]] = set()
-    for r in range(rounds):
-        rolling = h * np.uint64(2 * r + 3)
-        for k in range(1, WINDOW):
-            back = np.concatenate([np.zeros(k, np.uint64), h[:-k]]) if len(h) > k else np.zeros(len(h), np.uint64)
-            rolling = rolling + back * np.uint64((0x9E3779B97F4A7C15 * (k + r + 1) & (1 << 64) - 1) | 1)
-        border = begins.copy()
-        border[1:-1] |= (C.mix(rolling)[:-1] >> np.uint64(40)) % np.uint64(EVERY) == 0
-        border[:-1] |= long
-        border[1:] |= long
-        at = np.flatnonzero(border)
-        total = np.add.reduceat(count, at[:-1])
-        filled = np.add.reduceat((count > 0).astype(np.int64), at[:-1])
-        order = C.mix(np.arange(len(flat), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64) + np.uint64(77)) | np.uint64(1)
-        chunk = C.mix(np.add.reduceat(h * order, at[:-1]))
-        for c in np.flatnonzero((total >= LONG) | (filled >= 2)).tolist():
-            i, j = int(at[c]), int(at[c + 1])
-            if (i, j) not in seen:
-                seen.add((i, j))
-                yield int(text_of[i]), i - int(start[text_of[i]]), j - int(start[text_of[i]]), int(chunk[c])
+    filled, long = np.flatnonzero(count), np.flatnonzero(count >= LONG)
+    # Windows by their first and last line; none reaches over the end of a text.
+    a, b = filled[: max(0, len(filled) - WINDOW + 1)], filled[WINDOW - 1 :]
+    inside = text_of[a] == text_of[b]
+    rolling = np.zeros(len(a), np.uint64)
+    for k in range(WINDOW):
+        at = filled[k : k + len(a)]
+        rolling += h[at] * (C.mix((at - a).astype(np.uint64) + np.uint64(77)) | np.uint64(1))
+    i, j = np.concatenate([a[inside], long]), np.concatenate([b[inside], long]) + 1
+    return text_of[i], i - start[text_of[i]], j - start[text_of[i]], np.concatenate([C.mix(rolling[inside]), C.mix(h[long] + np.uint64(77))])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, hash) of all chunks that count."""
+    """(doc_id, first, last, hash) of all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
         for b in batches:
             texts = C.texts_of(b.column(1))
             for i, j in C.grouped(texts):
-                got = list(cut(texts[i:j]))
-                if got:
-                    k, first, last, h = (np.array(x, object if n == 3 else np.int64) for n, x in enumerate(zip(*got, strict=True)))
-                    yield pa.RecordBatch.from_arrays([b.column(0)[i:j].take(pa.array(k)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.array(h, np.uint64).view(np.int64))], ["doc_id", "first", "last", "hash"])
+                k, first, last, h = cut(texts[i:j])
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([b.column(0)[i:j].take(pa.array(k)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "hash"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, first int, last int, hash long")
 
@@ -103,15 +86,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     many = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     again = C.saved(found.join(many, "hash").distinct())
     place = F.struct("doc_id", "first", "last")
+    # Behind the first occurrence, where the two overlap (rows without an id may be different documents).
+    rest = ["doc_id", F.when(F.col("doc_id") == F.col("at.doc_id"), F.greatest("first", "at.last")).otherwise(F.col("first")).alias("first"), "last"]
     # Occurrences are brought together by their bytes and counted before they move, so that a passage of many documents stays small.
     bytes_of = _with_bytes(docs, again).groupBy("hash", "bytes").agg(F.min(place).alias("at"))
     checked = C.saved(bytes_of.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("at").alias("at")))
-    out = again.join(checked.where("kinds = 1"), "hash").where(~place.eqNullSafe(F.col("at"))).select("doc_id", "first", "last")
+    out = again.join(checked.where("kinds = 1"), "hash").where(~place.eqNullSafe(F.col("at"))).select(*rest)
     collided = checked.where("kinds > 1").select("hash")
     if not collided.isEmpty():  # different bytes of one hash: told apart by the bytes themselves
         rows = _with_bytes(docs, again.join(collided, "hash", "left_semi"))
         first = rows.groupBy("hash", "bytes").agg(F.min(place).alias("at"))
-        out = out.unionByName(rows.join(first, ["hash", "bytes"]).where(~place.eqNullSafe(F.col("at"))).select("doc_id", "first", "last"))
+        out = out.unionByName(rows.join(first, ["hash", "bytes"]).where(~place.eqNullSafe(F.col("at"))).select(*rest))
     return out.distinct()
 
 

@@ -451,6 +451,28 @@ def test_chunks_are_compared_by_bytes(spark):
     assert [r.text for r in line_dedup.cleaned(df).orderBy("doc_id").collect()] == [a, b, "", "", ""]
 
 
+def test_every_copy_of_a_short_passage_goes_whole(spark):
+    passages = [[prose(1000 + 10 * p + k, words) for k in range(lines)] for p, (lines, words) in enumerate([(2, 30)] * 12 + [(3, 20)] * 8 + [(8, 9)] * 4)]
+    passages.append([prose(1900, 30), "", prose(1901, 30)])
+    own = {c: [prose(3000 + 3 * c + k, 12) for k in range(3)] for c in range(20)}
+    rows = []
+    for c, (a, b, z) in own.items():
+        for p, lines in enumerate(passages):
+            rows.append((100 * p + c, "\n".join([f"{a} {p}", f"{b} {p}", *lines, f"{z} {p}"]), None, None, None))
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for p, lines in enumerate(passages):
+        assert "\n".join(lines) in got[100 * p]
+        for c in range(1, 20):
+            assert got[100 * p + c] == "\n".join(f"{x} {p}" for x in own[c])
+
+
+def test_first_occurrence_stays_where_copies_overlap_it(spark):
+    a, b = prose(90, 30), prose(91, 30)
+    rows = [(1, "\n".join([a, a, a])), (2, "\n".join([b, a, a, b, a]))]
+    got = {r.doc_id: r.text for r in line_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"{a}\n{a}", 2: f"{b}"}
+
+
 # 10
 
 
