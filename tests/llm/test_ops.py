@@ -152,6 +152,28 @@ def test_leaks_with_and_without_edits(spark, odd, none):
     assert decontaminate.clean(odd, bench.limit(0)).count() == odd.count()
 
 
+@pytest.mark.parametrize("n", [6, 7, 8, 9, 10, 11, 12, 15, 20, 55, 75, 100, 150, 300])
+def test_all_passages_within_a_fifth_of_edits_are_found(n):
+    rng, texts, want = random.Random(n), [], set()
+    items = [prose(7000 + 40 * n + i, n) for i in range(20)]
+    for k in range(200):
+        w, edits = items[k % 20].split(), n // 5
+        if k < 20:  # all at the beginning
+            w[:edits] = ["edited"] * edits
+        else:
+            for _ in range(edits):
+                at, kind = rng.randrange(len(w)), rng.randrange(4)
+                w[at : at + (kind > 0)] = [] if kind == 1 else ["edited"]
+        own, at = prose(9000 + k, 120).split(), rng.choice([0, 120, rng.randrange(120)])
+        texts.append(" ".join(own[:at] + w + own[at:]))
+        want.add((k, k % 20))
+    got = decontaminate.Benchmark(list(range(20)), items).matches([*texts, "", prose(1, 3)])
+    assert want <= {(t, k) for t, k, _, _ in got} and all(e <= n // 5 for _, _, e, _ in got)
+    words = [common.word_hashes([x], plain=True)[0] for x in items], [common.word_hashes([x], plain=True)[0] for x in texts]
+    if n <= 20:
+        assert {(t, k): e for t, k, e, _ in got} == {(t, k): e for t in range(200) for k in range(20) if (e := decontaminate.distance(words[0][k], words[1][t])[0]) <= n // 5}
+
+
 def test_leaks_are_those_of_sql(spark, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, common.read(spark, oracle.SF_DIR, "benchmark")).where("edits = 0").collect()}
     norm = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()))
