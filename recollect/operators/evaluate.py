@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Answers that go out to all tasks together.
+MOST_ANSWERS = 4096
+
 
 def hit_rates(results: DataFrame) -> DataFrame:
     """Rates of (question_type, session_hit, answer_hit, prompt_tokens), by type and over all (type null), abstentions skipped."""
@@ -44,3 +52,49 @@ def miss_class(answer: Column, prompt: Column) -> Column:
     """Why a question was missed: the answer is in the prompt, some of its terms are, or none."""
     terms = T.keywords(answer)
     return F.when(F.contains(F.lower(prompt), F.lower(answer)), "answer_present").when(F.size(F.array_intersect(terms, T.terms(prompt))) > 0, "related").otherwise("none")
+
+
+def miss_counts(answers: DataFrame, prompts: DataFrame) -> DataFrame:
+    """How many prompts (text) are of each ``miss_class`` for each answer (item_id, answer): rows (item_id, miss, n).
+
+    Answers go out in blocks of about ``MOST_ANSWERS`` (a bounded broadcast), each block scans the prompts once and finds
+    answers by their terms; what is shuffled is tasks x answers x classes rows.
+    """
+    schema = "item_id long, miss string, n long"
+    key = F.xxhash64("item_id", "answer")
+    wanted = answers.select(F.col("item_id").cast("long").alias("item_id"), F.lower("answer").alias("low"), T.terms(F.col("answer")).alias("terms"), T.keywords(F.col("answer")).alias("keywords"), key.alias("key"))
+    parts = max(1, -(-wanted.count() // MOST_ANSWERS))
+    texts = prompts.select(F.lower("text").alias("low"), T.terms(F.col("text")).alias("terms"))
+    out = answers.sparkSession.createDataFrame([], schema)
+    for p in range(parts):
+        shared = answers.sparkSession.sparkContext.broadcast([tuple(r)[:4] for r in wanted.where(F.pmod("key", F.lit(parts)) == p).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            rows = shared.value
+            by_keyword, by_inner, always = defaultdict(list), defaultdict(list), []
+            # The first and last term of an answer may be part of a longer one in the prompt; those between are terms there too.
+            inner = [frozenset((r[2] or [])[1:-1]) for r in rows]
+            for k, (_, low, _, keywords) in enumerate(rows):
+                for w in keywords or []:
+                    by_keyword[w].append(k)
+                if low is not None:
+                    (by_inner[max(inner[k], key=len)] if inner[k] else always).append(k)
+            n, present, related = 0, np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+            for b in batches:
+                n += b.num_rows
+                for low, terms in zip(b.column("low").to_pylist(), b.column("terms").to_pylist(), strict=True):
+                    if low is None:
+                        continue
+                    words, found, shares = set(terms), np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+                    for w in words:
+                        shares[by_keyword.get(w, [])] = True
+                        found[[k for k in by_inner.get(w, ()) if inner[k] <= words and rows[k][1] in low]] = True
+                    found[[k for k in always if rows[k][1] in low]] = True
+                    present += found
+                    related += shares & ~found
+            ids = pa.array([r[0] for r in rows], pa.int64())
+            for name, count in (("answer_present", present), ("related", related), ("none", n - present - related)):
+                yield pa.RecordBatch.from_arrays([ids, pa.array([name] * len(rows), pa.string()), pa.array(count)], ["item_id", "miss", "n"])
+
+        out = out.unionByName(texts.mapInArrow(run, schema))
+    return out.groupBy("item_id", "miss").agg(F.sum("n").alias("n")).where("n > 0")

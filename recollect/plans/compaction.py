@@ -66,6 +66,14 @@ def r8_expand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.expanded(e, d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
 
 
+@query()
+def r8_expand_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As r8_expand_summaries, over the edges of all documents."""
+    d = model.table(spark, sf_dir, "documents").select("doc_id")
+    e = d.select(F.col("doc_id").alias("parent_summary_id"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2)).alias("child_id")).distinct()
+    return compact.expanded(e, d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
+
+
 @query(f"""WITH {DEALT}, sv AS (SELECT p.session_id, p.bucket, i, avg(x) AS x FROM pick p JOIN e USING (id) WHERE chosen GROUP BY 1, 2, 3),
     a AS (SELECT sv.session_id, sv.bucket, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS align FROM sv JOIN m ON m.session_id = sv.session_id AND m.bucket = sv.bucket AND m.i = sv.i GROUP BY 1, 2)
     SELECT a.session_id, a.bucket, round(align, 6) + 0.0 AS align, round(cover, 6) + 0.0 AS cover, round(least(greatest((align + cover) / 2, 0), 1), 6) + 0.0 AS confidence FROM a JOIN s ON a.session_id = s.session_id AND a.bucket = s.bucket""")

@@ -119,3 +119,10 @@ def e6_miss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = model.table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 4), " ").alias("answer"))
     d = model.table(spark, sf_dir, "documents").select("text").crossJoin(F.broadcast(b))  # five answers
     return d.select("item_id", evaluate.miss_class(F.col("answer"), F.col("text")).alias("miss")).groupBy("item_id", "miss").agg(F.count("*").alias("n"))
+
+
+@query()
+def e6_miss_classes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As e6_miss_classes, of all benchmark items and their whole texts."""
+    answers = model.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
+    return evaluate.miss_counts(answers, model.table(spark, sf_dir, "documents"))

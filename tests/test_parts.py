@@ -7,7 +7,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.operators import assemble, commit, protect, temporal
+from recollect import plans
+from recollect.operators import assemble, commit, evaluate, protect, temporal
 from recollect.sources import files
 from recollect.streaming import sync
 
@@ -101,3 +102,27 @@ def test_header(spark):
     text = assemble.header(spark.createDataFrame(rows, "query_id long, section string, position int, text string, role string")).first().header
     assert text.startswith("<authored_context>\n") and "[A1] rule" in text and '[M1] <entry speaker="assistant" source="recalled">z</entry>\n[M2] <entry speaker="user" source="recalled">x &lt; y</entry>' in text
     assert text.index("</authored_context>\n\n<recalled_memories>") > 0
+
+
+def test_miss_counts_take_all_whole_answers(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "MOST_ANSWERS", 3)
+    answers = [(1, "The old Harbour is closed now"), (2, "arbo"), (7, "no, no"), (8, None), (9, ""), (500, "quite other words\nwith a tail"), (500, "harbour"), (None, "closed")]
+    texts = ["They say: the old harbour is closed nowadays", "closed harbour", None, "", "Quite other words\nwith a tail!", "quite other words", "the old is harbour closed now"]
+    a = spark.createDataFrame(answers, "item_id long, answer string")
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    got = {tuple(r) for r in evaluate.miss_counts(a, t).collect()}
+    pairs = a.crossJoin(t).select("item_id", evaluate.miss_class(F.col("answer"), F.col("text")).alias("miss"))
+    assert got == {tuple(r) for r in pairs.groupBy("item_id", "miss").agg(F.count("*")).collect()}
+    assert evaluate.miss_counts(a.limit(0), t).count() == evaluate.miss_counts(a, t.limit(0)).count() == 0
+
+
+def test_whole_queries_leave_no_ids_out(spark, tmp_path):
+    spark.range(2000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat(F.lit("word"), F.col("doc_id").cast("string"))).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"word{i}") for i in range(0, 2000, 100)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want, level = set(), [(r, r) for r in range(0, 2000, 20)]
+    for depth in (1, 2, 3):
+        level = [(r, 2 * c + k) for r, c in level if c < 2000 for k in (1, 2)]
+        want |= {(r, c, depth) for r, c in level}
+    assert {tuple(r) for r in plans.QUERIES["r8_expand_summaries_all"](spark, str(tmp_path)).collect()} == want
+    got = {(r.item_id, r.miss): r.n for r in plans.QUERIES["e6_miss_classes_all"](spark, str(tmp_path)).collect()}
+    assert {i for i, _ in got} == set(range(0, 2000, 100)) and got[1900, "answer_present"] == 1 and got[1900, "none"] == 1999
