@@ -30,6 +30,12 @@ def stream(uri: str):
     return system.open_input_stream(path, compression=None)
 
 
+def ranged(uri: str):
+    """An open file that can be read from any place."""
+    system, path = opened(uri)
+    return system.open_input_file(path)
+
+
 def contents(uri: str) -> bytes:
     with stream(uri) as f:
         return f.read()

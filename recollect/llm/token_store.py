@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -61,15 +60,37 @@ def dump(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> list[bytes
     return [MAGIC, len(head).to_bytes(8, "little"), head, *parts]
 
 
+class _Ranged:
+    """An array in a file, of which only what is asked for is read."""
+
+    def __init__(self, file, at: int, n: int, kind: str):
+        self.file, self.at, self.n, self.kind = file, at, n, np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i):
+        a, b, _ = i.indices(self.n) if isinstance(i, slice) else (int(i), int(i) + 1, 1)
+        size = self.kind.itemsize
+        got = np.frombuffer(self.file.read_at(max(0, b - a) * size, self.at + a * size), self.kind)
+        return got if isinstance(i, slice) else got[0]
+
+
 class TokenFile:
-    """A file's bytes, of which a look-up touches only what it needs."""
+    """A file's bytes, or an open file, of which a look-up touches only what it needs."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data):
+        piece = (lambda n, at: data[at : at + n]) if isinstance(data, bytes) else data.read_at
+        if piece(8, 0) != MAGIC:
             raise ValueError("not a token file")
-        n = int.from_bytes(data[8:16], "little")
-        self.head = json.loads(data[16 : 16 + n])
-        part = lambda i, kind: np.frombuffer(data, kind, self.head["parts"][i][1] // np.dtype(kind).itemsize, 16 + n + self.head["parts"][i][0])
+        n = int.from_bytes(piece(8, 8), "little")
+        self.head = json.loads(piece(n, 16))
+
+        def part(i: int, kind: str):
+            at, size = self.head["parts"][i]
+            n_items = size // np.dtype(kind).itemsize
+            return np.frombuffer(data, kind, n_items, 16 + n + at) if isinstance(data, bytes) else _Ranged(data, 16 + n + at, n_items, kind)
+
         self.doc_ids, self.starts = part(0, "<i8"), part(1, "<u8")
         self.levels = [(part(2 + 3 * k, "u1"), part(3 + 3 * k, "u1"), part(4 + 3 * k, "<u8")) for k in range(self.head["levels"])]
 
@@ -116,140 +137,306 @@ class TokenFile:
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library, which sees a run between ASCII white space once while it is remembered.
+    """Whole texts to ids by the tokenizers library, which sees each piece of text once while it is remembered.
+
+    A piece is a run of letters, of marks or of digits between ASCII white space. Where a vocabulary's file has the form
+    ``FORM``, the ids of a text are those of its pieces: the normaliser and the splitter join none of them. Runs in which that
+    is not plain (an apostrophe, which may begin a contraction; control characters; characters beyond Latin letters, which may
+    join their neighbours) are one piece each. With a file of any other form whole texts go to the library.
 
-    The vocabulary's normaliser and splitter never join text across white space, nor letters with marks behind them,
-    so the ids of a text are those of its runs, and those of a word with marks are the word's and the marks'.
-    Runs that were used since the table last filled up stay when it fills again.
+    Pieces are known by 64-bit hashes in an open table over numpy arrays; those of more than ``LONGEST`` bytes are not remembered.
     """
 
-    #: Runs remembered by a worker, twice.
-    MOST = 300_000
-    #: Marks that are taken off the end of a run of letters.
-    MARKS = "!#$%&*,.:;?|-"
+    #: What a vocabulary's file must say for pieces to be encoded by themselves.
+    FORM = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+        "suffix": "</w>",
+    }
+    #: Pieces remembered by a worker; then it starts anew.
+    MOST = 1 << 20
+    LONGEST = 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, "rb") as f:
+            said = json.load(f)
+        splitters = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        form = {"normalizer": said.get("normalizer"), "pattern": (splitters[0].get("pattern") or {}).get("Regex"), "suffix": said["model"].get("end_of_word_suffix")}
+        self.by_pieces = form == self.FORM and splitters[0].get("behavior") == "Removed" and splitters[0].get("invert") is True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closing = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if any(s in t for s in self.special for t in texts):  # these may hold white space and are matched first
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        runs = [(_SPACE.sub(" ", t) if "\t" in t or "\r" in t else t.replace("\n", " ")).split(" ") for t in texts]
-        coded = [list(map(self.known.get, r)) for r in runs]
-        new: set[str] = set()
-        for r, c in zip(runs, coded, strict=True):
-            new.update([w for w, x in zip(r, c, strict=True) if x is None])
-        if new:
-            self._learn(new)
-            known = self.known
-            coded = [[known[w] if x is None else x for w, x in zip(r, c, strict=True)] for r, c in zip(runs, coded, strict=True)]
-            if len(known) > self.MOST:
-                self.known, self.older = {"": b""}, known
-        return [b"".join(c) for c in coded]
-
-    def _learn(self, runs: set[str]) -> None:
-        known, older, words, single, open_runs = self.known, self.older, set(), set(), []
-        marks = self.MARKS
-        for w in runs:
-            got = older.get(w)
-            if got is not None:
-                known[w] = got
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = np.full(4 * self.MOST, -1, np.int32)
+        self.hashes = np.zeros(1024, np.uint64)
+        self.at = np.zeros(1024, np.int64)
+        self.count = np.zeros(1024, np.int64)
+        self.ids = np.zeros(4096, np.uint32)
+        self.n = self.n_ids = 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not self.by_pieces:
+            return self._whole(texts)
+        # Special tokens may hold white space and are matched before anything else.
+        odd = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if odd:
+            texts = list(texts)
+            whole = dict(zip(odd, self._whole([texts[k] for k in odd]), strict=True))
+            for k in odd:
+                texts[k] = ""
+        raw = b"\n".join(t.encode("utf-8", "surrogatepass") for t in texts) + b"\n"
+        size = np.array([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64) + 1
+        buf, starts, ends, kind = _pieces(raw)
+        rows = self._rows(buf, starts, ends, kind)
+        count = self.count[rows]
+        behind = np.cumsum(count)
+        ids = self.ids[np.repeat(self.at[rows] - (behind - count), count) + np.arange(behind[-1] if len(behind) else 0)]
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(size)]))
+        cut = np.concatenate([[0], behind])[first].tolist()
+        out = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        for k in odd:
+            out[k] = whole[k]
+        if self.n > self.MOST:
+            self._forget()
+        return out
+
+    def _rows(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The table's row of each piece; new ones are learnt."""
+        h = C.span_hashes(buf, starts, ends)
+        rows = self._found(h)
+        # Long pieces are looked up by nothing but their bytes: each gets a row of its own, which none finds again.
+        long = ends - starts > self.LONGEST
+        rows[long] = -1
+        new = np.flatnonzero((rows < 0) & ~long)
+        if len(new):
+            _, which = np.unique(h[new], return_index=True)
+            which = new[which]
+            self._learn(buf, starts[which], ends[which], kind[which])
+            self._remember(h[which])
+            rows[new] = self._found(h[new])
+        if long.any():
+            at = np.flatnonzero(long)
+            first = self.n
+            self._learn(buf, starts[at], ends[at], np.full(len(at), _OPEN))
+            rows[at] = np.arange(first, first + len(at))
+            self._grow(self.n + len(at))
+            self.n += len(at)
+        return rows
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        mask = len(self.slots) - 1
+        out = np.full(len(h), -1, np.int64)
+        slot = (h >> np.uint64(40)).astype(np.int64) & mask
+        row = self.slots[slot].astype(np.int64)
+        open_ = np.flatnonzero(row >= 0)
+        row, slot = row[open_], slot[open_]
+        while len(open_):
+            same = self.hashes[row] == h[open_]
+            out[open_[same]] = row[same]
+            other = np.flatnonzero(~same)
+            open_, slot = open_[other], slot[other] + 1 & mask
+            row = self.slots[slot].astype(np.int64)
+            more = np.flatnonzero(row >= 0)
+            open_, row, slot = open_[more], row[more], slot[more]
+        return out
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.hashes):
+            size = max(n, 2 * len(self.hashes))
+            self.hashes, self.at, self.count = (np.resize(x, size) for x in (self.hashes, self.at, self.count))
+        if len(self.slots) < 4 * n:
+            self.slots = np.full(2 * len(self.slots), -1, np.int32)
+            self._place(np.arange(self.n))
+
+    def _remember(self, h: np.ndarray) -> None:
+        """Gives the rows behind the last, which ``_learn`` has filled, their hashes (all different, none known)."""
+        rows = np.arange(self.n, self.n + len(h))
+        self._grow(self.n + len(h))
+        self.hashes[rows] = h
+        self.n += len(h)
+        self._place(rows)
+
+    def _place(self, rows: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.hashes[rows] >> np.uint64(40)).astype(np.int64) & mask
+        while len(rows):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            self.slots[slot[free]] = rows[free]
+            left = np.flatnonzero(self.slots[slot] != rows)
+            rows, slot = rows[left], slot[left] + 1 & mask
+
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> None:
+        """Ids of the pieces, put behind those of the rows so far."""
+        data = buf.tobytes()
+        listed = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        n = len(listed)
+        self._grow(self.n + n)
+        at, count = self.at[self.n : self.n + n], self.count[self.n : self.n + n]
+        parts: list[np.ndarray] = []
+        behind = self.n_ids
+        # A run of letters or of marks is one word, whose last id alone ends a word: many go to the library as one text.
+        plain, single = np.flatnonzero((kind == _LETTER) | (kind == _MARK)), [np.flatnonzero((kind != _LETTER) & (kind != _MARK))]
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join([listed[k] for k in part.tolist()]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(self.closing[ids]) + 1
+            if len(cut) != len(part):
+                single.append(part)
                 continue
-            core = w.rstrip(marks)
-            low = core.lower()
-            if low.isalpha() and len(low) == len(core) and core.isalpha():
-                if not core.isascii():
-                    low = core
-                open_runs.append((w, low, w[len(core) :]))
-                if low not in known:
-                    words.add(low)
-            else:
-                single.add(w)
-        single.update({m for _, _, m in open_runs}.difference(known))
-        listed = list(words)
-        for i in range(0, len(listed), 4096):
-            part = listed[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
-            if len(ends) == len(part):
-                data, ends = ids.tobytes(), ends.tolist()
-                known.update(zip(part, [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
-            else:
-                single.update(part)
-        rest = list(single)
+            count[part] = np.diff(cut, prepend=0)
+            at[part] = behind + cut - count[part]
+            parts.append(ids)
+            behind += len(ids)
+        rest = np.concatenate(single)
         for i in range(0, len(rest), 4096):
-            for w, e in zip(rest[i : i + 4096], self.tokenizer.encode_batch(rest[i : i + 4096], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, low, tail in open_runs:
-            known[w] = known[low] + known[tail] if tail else known[low]
+            part = rest[i : i + 4096]
+            got = self._whole([listed[k] for k in part.tolist()])
+            count[part] = [len(x) for x in got]
+            at[part] = behind + np.cumsum(count[part]) - count[part]
+            parts += got
+            behind += int(count[part].sum())
+        if behind > len(self.ids):
+            self.ids = np.resize(self.ids, max(behind, 2 * len(self.ids)))
+        self.ids[self.n_ids : behind] = np.concatenate(parts)
+        self.n_ids = behind
+
+
+_SPACE, _LETTER, _DIGIT, _MARK, _OPEN = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each byte: letters are those of ASCII and the two-byte ones from U+00C0 to U+017F."""
+    out = np.full(256, _OPEN, np.uint8)
+    out[33:127] = _MARK
+    out[[9, 10, 13, 32]] = _SPACE
+    out[48:58] = _DIGIT
+    out[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = _LETTER
+    out[39] = _OPEN
+    return out
+
+
+_KIND = _kinds()
+
+
+def _pieces(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, and first byte, byte behind the last and kind of each piece; runs that stay whole are of kind _OPEN."""
+    given, buf = np.frombuffer(raw, np.uint8), np.frombuffer(raw.lower(), np.uint8)
+    kind = _KIND[buf]
+    # Of the two-byte letters these are none, or become two characters in lower case.
+    high = np.flatnonzero((buf == 0xC3) | (buf == 0xC4)) if not raw.isascii() else np.empty(0, np.int64)
+    odd = high[((buf[high] == 0xC3) & ((buf[high + 1] == 0x97) | (buf[high + 1] == 0xB7))) | ((buf[high] == 0xC4) & (buf[high + 1] == 0xB0))]
+    kind[odd] = _OPEN
+    edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts = np.concatenate([[0], edge]) if len(kind) else edge
+    ends = np.append(edge, len(kind)) if len(kind) else edge
+    kinds = kind[starts]
+    if (kinds == _OPEN).any():
+        # A run between white space that holds an open byte is one piece.
+        space = kinds == _SPACE
+        run = np.cumsum(space)
+        open_run = np.zeros(run[-1] + 1, bool)
+        open_run[run[kinds == _OPEN]] = True
+        inner = open_run[run] & ~space
+        first = inner & ~np.concatenate([[False], inner[:-1] & (run[1:] == run[:-1])])
+        last = inner & ~np.concatenate([inner[1:] & (run[1:] == run[:-1]), [False]])
+        keep = ~inner & ~space
+        whole = np.zeros(len(buf) + 1, np.int8)
+        whole[starts[first]] += 1
+        whole[ends[last]] -= 1
+        buf = np.where(np.cumsum(whole[:-1]) > 0, given, buf)
+        starts, ends, kinds = np.concatenate([starts[keep], starts[first]]), np.concatenate([ends[keep], ends[last]]), np.concatenate([kinds[keep], np.full(int(first.sum()), _OPEN, kinds.dtype)])
+        order = np.argsort(starts, kind="stable")
+        return buf, starts[order], ends[order], kinds[order]
+    keep = kinds != _SPACE
+    return buf, starts[keep], ends[keep], kinds[keep]
 
 
-_SPACE = re.compile("[ \t\n\r]")
 def encoder(path: str) -> Encoder:
     """One for each worker process; the library's own threads stay off, tasks are the unit of work."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return C.hold(("tokens", path), lambda: Encoder(path))
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, rows_per_file: int = 4096) -> DataFrame:
-    """Token files of contiguous doc_id ranges below ``folder``; returns (block, path, n_docs, n_tokens), checkpointed."""
+#: Ids of a file: a block of more is written in several files.
+FILE_IDS = 1 << 24
+
+
+def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, rows_per_file: int = 4096, file_ids: int = FILE_IDS) -> DataFrame:
+    """Token files of contiguous doc_id ranges below ``folder``; returns (block, part, path, n_docs, n_tokens), checkpointed.
+
+    A file holds about ``rows_per_file`` documents and no more than ``file_ids`` ids, but for the last document's.
+    """
     rows, _ = C.with_blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows_per_block=rows_per_file, most_blocks=1 << 17)
     dealt = rows.select("_block", "doc_id", "_key", "text").repartition("_block").sortWithinPartitions("_block", "_key", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
+    schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
-    def flush(block: int, ids: list, parts: list[bytes]) -> pa.RecordBatch:
-        path = f"{folder}/tokens-{block:06d}.dac"
-        starts = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])])
-        tokens = np.frombuffer(b"".join(parts), "<u4")
+    def flush(block: int, part: int, ids: list, coded: list[np.ndarray]) -> pa.RecordBatch:
+        path = f"{folder}/tokens-{block:06d}-{part:04d}.dac"
+        starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])])
+        tokens = np.concatenate([x for y in coded for x in (y, end)])
         with files.written(path) as out:
             for piece in dump(np.array([NO_ID if x is None else x for x in ids], np.int64), starts, tokens):
                 out.write(piece)
-        return pa.RecordBatch.from_pydict({"block": [block], "path": [path], "n_docs": [len(ids)], "n_tokens": [len(tokens)]}, pa.schema([("block", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+        return pa.RecordBatch.from_pylist([{"block": block, "part": part, "path": path, "n_docs": len(ids), "n_tokens": len(tokens)}], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, ids, parts = encoder(vocabulary), None, [], []
+        encode, block, part, n, ids, coded = encoder(vocabulary), None, 0, 0, [], []
         for b in batches:
             texts = C.texts_of(b.column("text"))
             for i, j in C.grouped(texts):
-                for at, doc_id, coded in zip(b.column("_block")[i:j].to_pylist(), b.column("doc_id")[i:j].to_pylist(), encode(texts[i:j]), strict=True):
-                    if at != block:
+                for at, doc_id, x in zip(b.column("_block")[i:j].to_pylist(), b.column("doc_id")[i:j].to_pylist(), encode(texts[i:j]), strict=True):
+                    if at != block or n >= file_ids:
                         if ids:
-                            yield flush(block, ids, parts)
-                        block, ids, parts = at, [], []
+                            yield flush(block, part, ids, coded)
+                        part = part + 1 if at == block else 0
+                        block, n, ids, coded = at, 0, [], []
                     ids.append(doc_id)
-                    parts.append(coded + end)
+                    coded.append(x)
+                    n += len(x) + 1
         if ids:
-            yield flush(block, ids, parts)
+            yield flush(block, part, ids, coded)
 
-    return C.saved(dealt.select("_block", "doc_id", "text").mapInArrow(run, "block long, path string, n_docs long, n_tokens long"))
+    return C.saved(dealt.select("_block", "doc_id", "text").mapInArrow(run, "block long, part long, path string, n_docs long, n_tokens long"))
 
 
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32; a task for a few files."""
-    # One row a file: the running sum goes over the manifest, never over documents.
-    placed = manifest.selectExpr("path", "coalesce(sum(n_tokens) over (order by block rows between unbounded preceding and 1 preceding), 0) as base")
+    n_files = max(1, manifest.count())
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = []
+            for path in b.column("path").to_pylist():
+                with files.ranged(path) as f:
+                    n.append(len(TokenFile(f)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), b.column("path"), pa.array(n, pa.int64())], ["block", "part", "path", "n"])
+
+    # One row a file, from its header: the running sum goes over files, never over documents.
+    counted = manifest.select("block", "part", "path").repartition(min(n_files, 64)).mapInArrow(heads, "block long, part long, path string, n long")
+    placed = counted.selectExpr("path", "coalesce(sum(n) over (order by block, part rows between unbounded preceding and 1 preceding), 0) as base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, base in zip(b.column("path").to_pylist(), b.column("base").to_pylist(), strict=True):
                 f = TokenFile(files.contents(path))
                 starts = f.starts.astype(np.int64)
-                sums = []
-                for k in range(len(f.doc_ids)):
-                    sums.append(zlib.crc32(f.document(k).astype("<u4").tobytes()))
+                ids = f.slice(0, len(f)).astype("<u4").tobytes() if len(f) <= 2 * FILE_IDS else None
+                sums = [zlib.crc32(ids[4 * i : 4 * j] if ids is not None else f.slice(i, j).astype("<u4").tobytes()) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f.doc_ids, pa.int64(), mask=f.doc_ids == NO_ID), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    return placed.repartition(max(1, manifest.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(n_files).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def stored(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
