@@ -36,6 +36,23 @@ def hashed_embedding(text: Column, size: int = 32) -> Column:
     """The deterministic test embedding: SHA-256 bytes of each lower-case word, scaled to [-1, 1], summed, at length 1."""
     words = F.filter(F.split(F.lower(text), "(?U)\\s+"), lambda w: w != "")
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lower(text)))
-    one = lambda w: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(F.sha2(w, 256), (i % 32) * 2 + 1, 2), 16, 10).cast("double") / 127.5 - 1.0)
-    zero = F.array_repeat(F.lit(0.0), size)
-    return normalised(F.aggregate(words, zero, lambda s, w: F.zip_with(s, one(w), lambda x, y: x + y)))
+    digit = lambda h, i: F.instr(F.lit("0123456789abcdef"), F.substring(h, i, 1)) - 1
+    sums = F.lit([0] * size).cast("array<int>")
+    # Whole numbers are summed, each word hashed once; the scaling comes at the end.
+    for_word = lambda s, h: F.transform(s, lambda x, i: x + 16 * digit(h, (i % 32) * 2 + 1) + digit(h, (i % 32) * 2 + 2))
+    total = F.aggregate(F.transform(words, lambda w: F.sha2(w, 256)), sums, for_word)
+    n = F.size(words).cast("double")
+    return normalised(F.transform(total, lambda x: x / 127.5 - n))
+
+
+def mean(vectors: Column) -> Column:
+    """The mean of an array of vectors of one length."""
+    n = F.size(vectors).cast("double")
+    first = F.transform(vectors[0], lambda x: x * 0.0)
+    return F.transform(F.aggregate(vectors, first, lambda s, v: F.zip_with(s, v, lambda x, y: x + y)), lambda x: x / n)
+
+
+def masked_mean(vectors: Column, mask: Column) -> Column:
+    """The mean of those vectors whose entry in ``mask`` is true (all zeros if none is)."""
+    kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: F.coalesce(x["m"], F.lit(False))), lambda x: x["v"])
+    return F.when(F.size(kept) > 0, mean(kept)).otherwise(F.transform(vectors[0], lambda x: x * 0.0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -22,51 +24,73 @@ def older_buckets(turns: DataFrame, target: int = 20, min_turns: int = 4, budget
 
 
 def extractive(dealt: DataFrame, density: float = 0.4) -> DataFrame:
-    """Rows of dealt turns (with ``vector``) with cosine to their bucket's mean vector, rank by it, and whether chosen: the best ceil(n * density)."""
-    mean = dealt.select(*BUCKET, F.posexplode("vector").alias("i", "x")).groupBy(*BUCKET, "i").agg(F.avg("x").alias("x"))
-    mean = mean.groupBy(*BUCKET).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
-    rows = dealt.join(mean, BUCKET).withColumn("sim", V.cosine(F.col("vector"), F.col("centroid")))
+    """Rows of dealt turns (with ``vector``) with cosine to their bucket's mean vector, rank by it, and whether chosen: the best ceil(n * density).
+
+    A bucket's turns are few (its target size), so they are gathered once: the mean, the cosines and the ranks need one shuffle.
+    """
+    rows = dealt.groupBy(*BUCKET).agg(F.collect_list(F.struct(*[c for c in dealt.columns if c not in BUCKET])).alias("_turns"))
+    rows = rows.withColumn("centroid", V.mean(F.transform("_turns", lambda t: t["vector"]))).select(*BUCKET, "centroid", F.inline("_turns"))
+    rows = rows.withColumn("sim", V.cosine(F.col("vector"), F.col("centroid")))
     by = Window.partitionBy(*BUCKET)
     rows = rows.withColumn("_rank", F.row_number().over(by.orderBy(F.round("sim", 9).desc(), "ts_ms", "id")))
     return rows.withColumn("chosen", F.col("_rank") <= F.ceil(F.count("*").over(by) * density)).drop("_rank")
 
 
-def summaries(dealt: DataFrame, density: float = 0.4) -> DataFrame:
-    """One summary for each bucket: id by its sources, text of the chosen turns in order, confidence, span, sources.
+def summaries(dealt: DataFrame, density: float = 0.4, embed: Callable[[Column], Column] = V.hashed_embedding) -> DataFrame:
+    """One summary for each bucket: id by its sources, text of the chosen turns in order, how well it keeps them, span, sources.
 
-    A bucket's turns are few (its target size), so lists of them are small by construction. ``accepted``: shorter than what it stands for.
+    ``align`` is the cosine of the summary's own vector with the turns' mean, ``cover`` the mean of its cosines with the turns (none below 0), ``confidence``
+    the mean of both. ``embed`` must be what the turns' vectors came from. ``accepted``: shorter than what it stands for.
     """
     rows = extractive(dealt, density)
     item = F.struct("ts_ms", "id", "text")
     out = rows.groupBy(*BUCKET).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("chosen"), item))), lambda s: s["text"]), " ").alias("text"),
         F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "id"))), lambda s: s["id"]).alias("source_ids"),
-        F.avg(F.when(F.col("chosen"), F.col("sim"))).alias("confidence"),
-        F.avg(F.greatest("sim", F.lit(0.0))).alias("cover"),
+        F.first("centroid").alias("_centroid"), F.collect_list("vector").alias("_vectors"),
         F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.sum("tokens").alias("source_tokens"), F.count("*").alias("turns"),
     )
     named = F.concat(F.lit("summary:"), F.substring(F.sha2(F.concat(F.col("session_id").cast("string"), F.lit(":"), F.array_join(F.transform("source_ids", lambda s: F.concat(s, F.lit(","))), "")), 256), 1, 16))
-    out = out.withColumn("id", named).withColumn("token_count", T.tokens_words(F.col("text"))).withColumn("confidence", T.clamp(F.col("confidence")))
+    out = out.withColumn("id", named).withColumn("token_count", T.tokens_words(F.col("text"))).withColumn("_vector", embed(F.col("text")))
+    near = F.transform("_vectors", lambda v: F.greatest(V.cosine(F.col("_vector"), v), F.lit(0.0)))
+    out = out.withColumn("align", V.cosine(F.col("_vector"), F.col("_centroid"))).withColumn("cover", F.aggregate(near, F.lit(0.0), lambda s, x: s + x) / F.size("_vectors"))
+    out = out.drop("_vector", "_vectors", "_centroid").withColumn("confidence", T.clamp((F.col("align") + F.col("cover")) / 2)).withColumn("method", F.lit("extractive"))
     return out.withColumn("decay_rate", 1 - F.col("confidence")).withColumn("accepted", F.col("token_count") < F.col("source_tokens"))
 
 
+def routes(dealt: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """Per bucket the mean gating score of its turns (0 where a turn has none), and which summariser it goes to."""
+    mean = F.avg(F.coalesce(F.col("gating_score"), F.lit(0.0)))
+    out = dealt.groupBy(*BUCKET).agg(mean.alias("mean_gating"), F.count("*").alias("turns"))
+    return out.withColumn("route", F.when(F.round("mean_gating", 9) >= threshold, "abstractive").otherwise("extractive"))
+
+
 def edges(summary_rows: DataFrame) -> DataFrame:
     """Coverage edges summary -> turn, in order."""
     return summary_rows.select("session_id", F.col("id").alias("parent_summary_id"), F.posexplode("source_ids").alias("edge_order", "child_id"), F.lit("turn").alias("child_type"))
 
 
-def result(summary_rows: DataFrame, method: str = "extractive") -> DataFrame:
-    """Per session: clusters formed and declined, turns covered, mean confidence, method."""
+def result(summary_rows: DataFrame) -> DataFrame:
+    """Per session: clusters formed and declined, turns covered, mean confidence, and the method (mixed, if several were used; null, if nothing was formed)."""
     ok = F.col("accepted")
-    return summary_rows.groupBy("session_id").agg(F.count_if(ok).alias("formed"), F.count_if(~ok).alias("declined"), F.sum(F.when(ok, F.col("turns")).otherwise(0)).alias("turns_covered"), F.avg(F.when(ok, F.col("confidence"))).alias("mean_confidence"), F.lit(method).alias("method"))
+    used = F.when(ok, F.col("method"))
+    method = F.when(F.min(used) == F.max(used), F.min(used)).when(F.min(used).isNotNull(), F.lit("mixed"))
+    return summary_rows.groupBy("session_id").agg(
+        F.count_if(ok).alias("formed"), F.count_if(~ok).alias("declined"), F.sum(F.when(ok, F.col("turns")).otherwise(0)).alias("turns_covered"), F.avg(F.when(ok, F.col("confidence"))).alias("mean_confidence"), method.alias("method")
+    )
 
 
 def expanded(edge_rows: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    """Children of root summaries down to ``depth`` along the edges: (root, child_id, depth); a bounded number of joins, cycles end by depth."""
+    """What root summaries stand for, along the edges: (root, child_id, depth); a bounded number of joins, cycles end by depth.
+
+    A child of type "summary" is followed and not given out, but at the last depth, where it is given out itself; any other child is given out.
+    """
     step = roots.select(F.col("id").alias("root"), F.col("id").alias("node"))
+    links = edge_rows.select(F.col("parent_summary_id").alias("node"), "child_id", F.coalesce(F.col("child_type") == "summary", F.lit(False)).alias("inner"))
     out = None
     for d in range(1, depth + 1):
-        step = step.join(edge_rows.select(F.col("parent_summary_id").alias("node"), "child_id"), "node").select("root", F.col("child_id").alias("node"))
-        part = step.select("root", F.col("node").alias("child_id"), F.lit(d).alias("depth"))
+        children = step.join(links, "node").select("root", "child_id", "inner")
+        part = (children if d == depth else children.where(~F.col("inner"))).select("root", "child_id", F.lit(d).alias("depth"))
+        step = children.where("inner").select("root", F.col("child_id").alias("node"))
         out = part if out is None else out.unionByName(part)
     return out

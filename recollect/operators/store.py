@@ -34,9 +34,10 @@ def flushed(records: DataFrame, prefix: str, exact: bool = False) -> DataFrame:
 
 
 def exported(records: DataFrame, prefix: str) -> DataFrame:
-    """Records of a collection, or of those below its name, as JSON lines."""
+    """Records of a collection, or of those below its name, as JSON lines with their metadata (left out where there is none)."""
     c = F.col("collection")
-    return records.where((c == prefix) | c.startswith(prefix + ":")).select(F.to_json(F.struct("collection", "id", "text")).alias("value"))
+    fields = [f for f in ("collection", "id", "text", "metadata") if f in records.columns]
+    return records.where((c == prefix) | c.startswith(prefix + ":")).select(F.to_json(F.struct(*fields)).alias("value"))
 
 
 def bumped(records: DataFrame, used: DataFrame) -> DataFrame:

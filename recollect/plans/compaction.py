@@ -21,6 +21,22 @@ def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.older_buckets(t)
 
 
+def summary_sql(pick: str, tag: str) -> str:
+    """Summaries of the chosen turns, with their own vectors, as relations s, se and t with a tag behind their names."""
+    return rf"""s{tag} AS (SELECT session_id, bucket, string_agg(text, ' ' ORDER BY ts_ms, id) FILTER (chosen) AS text, 'summary:' || substr(sha256(session_id || ':' || string_agg(id || ',', '' ORDER BY ts_ms, id)), 1, 16) AS id,
+      list(id ORDER BY ts_ms, id) AS ids, sum(tokens)::BIGINT AS source_tokens, count(*) AS turns FROM {pick} GROUP BY 1, 2 HAVING count(*) >= 2),
+    sw{tag} AS (SELECT session_id, bucket, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM s{tag}),
+    sh{tag} AS (SELECT session_id, bucket, i, sum(('0x' || substr(sha256(w), 2 * i + 1, 2))::INT / 127.5 - 1.0) AS x FROM sw{tag} CROSS JOIN (SELECT unnest(range({SIZE})) AS i) GROUP BY ALL),
+    al{tag} AS (SELECT session_id, bucket, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS align FROM sh{tag} JOIN m USING (session_id, bucket, i) GROUP BY 1, 2),
+    cs{tag} AS (SELECT d.session_id, d.bucket, d.id, sum(h.x * e.x) / (sqrt(sum(h.x * h.x)) * sqrt(sum(e.x * e.x))) AS c FROM dealt d JOIN e USING (id) JOIN sh{tag} h ON h.session_id = d.session_id AND h.bucket = d.bucket AND h.i = e.i GROUP BY 1, 2, 3),
+    cv{tag} AS (SELECT session_id, bucket, avg(greatest(c, 0)) AS cover FROM cs{tag} GROUP BY 1, 2),
+    t{tag} AS (SELECT *, least(greatest((align + cover) / 2, 0), 1) AS confidence, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS token_count FROM s{tag} JOIN al{tag} USING (session_id, bucket) JOIN cv{tag} USING (session_id, bucket))"""
+
+
+def _embed(text):
+    return V.hashed_embedding(text, SIZE)
+
+
 DEALT = rf"""{turns_sql('conv_id % 10')}, {tail_sql(4, 128)},
     old AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, id) - 1 AS pos FROM split WHERE NOT recent),
     dealt AS (SELECT session_id, id, text, ts_ms, tokens, (pos * ceil(n / 20.0)::BIGINT // n) AS bucket FROM old WHERE n >= 2),
@@ -30,9 +46,7 @@ DEALT = rf"""{turns_sql('conv_id % 10')}, {tail_sql(4, 128)},
     m AS (SELECT session_id, bucket, i, avg(x) AS m FROM dealt JOIN e USING (id) GROUP BY 1, 2, 3),
     sim AS (SELECT d.session_id, d.bucket, d.id, any_value(d.text) AS text, any_value(d.ts_ms) AS ts_ms, any_value(d.tokens) AS tokens, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS sim FROM dealt d JOIN e USING (id) JOIN m ON m.session_id = d.session_id AND m.bucket = d.bucket AND m.i = e.i GROUP BY 1, 2, 3),
     pick AS (SELECT *, row_number() OVER (PARTITION BY session_id, bucket ORDER BY round(sim, 9) DESC, ts_ms, id) <= ceil(count(*) OVER (PARTITION BY session_id, bucket) * 0.4) AS chosen FROM sim),
-    s AS (SELECT session_id, bucket, string_agg(text, ' ' ORDER BY ts_ms, id) FILTER (chosen) AS text, 'summary:' || substr(sha256(session_id || ':' || string_agg(id || ',', '' ORDER BY ts_ms, id)), 1, 16) AS id,
-      list(id ORDER BY ts_ms, id) AS ids, least(greatest(avg(sim) FILTER (chosen), 0), 1) AS confidence, avg(greatest(sim, 0)) AS cover, sum(tokens)::BIGINT AS source_tokens, count(*) AS turns FROM pick GROUP BY 1, 2 HAVING count(*) >= 2),
-    t AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS token_count FROM s)"""
+    {summary_sql('pick', '')}"""
 
 
 @query(f"WITH {DEALT} SELECT session_id, bucket, id, round(sim, 6) + 0.0 AS sim, chosen FROM pick WHERE (session_id, bucket) IN (SELECT (session_id, bucket) FROM s)")
@@ -42,53 +56,51 @@ def x4_extractive_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {DEALT} SELECT session_id, bucket, id, text, token_count, source_tokens, turns, round(confidence, 6) + 0.0 AS confidence, round(1 - confidence, 6) + 0.0 AS decay_rate, round(cover, 6) + 0.0 AS cover, token_count < source_tokens AS accepted FROM t""")
 def x10_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = compact.summaries(_dealt(spark, sf_dir))
+    s = compact.summaries(_dealt(spark, sf_dir), embed=_embed)
     return s.select("session_id", "bucket", "id", "text", "token_count", "source_tokens", "turns", r6("confidence").alias("confidence"), r6("decay_rate").alias("decay_rate"), r6("cover").alias("cover"), "accepted")
 
 
 @query(f"WITH {DEALT} SELECT session_id, id AS parent_summary_id, generate_subscripts(ids, 1) - 1 AS edge_order, unnest(ids) AS child_id, 'turn' AS child_type FROM t")
 def x11_coverage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact.edges(compact.summaries(_dealt(spark, sf_dir))).withColumn("edge_order", F.col("edge_order").cast("long"))
+    return compact.edges(compact.summaries(_dealt(spark, sf_dir), embed=_embed)).withColumn("edge_order", F.col("edge_order").cast("long"))
 
 
 @query(f"""WITH {DEALT} SELECT session_id, count(*) FILTER (token_count < source_tokens) AS formed, count(*) FILTER (token_count >= source_tokens) AS declined, coalesce(sum(turns) FILTER (token_count < source_tokens), 0)::BIGINT AS turns_covered,
-    round(avg(confidence) FILTER (token_count < source_tokens), 6) + 0.0 AS mean_confidence, 'extractive' AS method FROM t GROUP BY 1""")
+    round(avg(confidence) FILTER (token_count < source_tokens), 6) + 0.0 AS mean_confidence, CASE WHEN bool_or(token_count < source_tokens) THEN 'extractive' END AS method FROM t GROUP BY 1""")
 def x12_compaction_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compact.result(compact.summaries(_dealt(spark, sf_dir))).withColumn("mean_confidence", r6("mean_confidence"))
+    return compact.result(compact.summaries(_dealt(spark, sf_dir), embed=_embed)).withColumn("mean_confidence", r6("mean_confidence"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS p, c FROM (SELECT doc_id, unnest([doc_id * 2 + 1, doc_id * 2 + 2]) AS c FROM documents) WHERE c < 500),
-    x AS (SELECT doc_id AS root, c AS child_id, 1 AS depth FROM documents JOIN e ON doc_id = p WHERE doc_id % 20 = 0 UNION ALL SELECT root, c, depth + 1 FROM x JOIN e ON child_id = p WHERE depth < 3)
-    SELECT root, child_id, depth FROM x""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS p, c, c % 3 <> 0 AS inner_ FROM (SELECT doc_id, unnest([doc_id * 2 + 1, doc_id * 2 + 2]) AS c FROM documents)),
+    x AS (SELECT doc_id AS root, c, inner_, 1 AS depth FROM documents JOIN e ON doc_id = p WHERE doc_id % 20 = 0 UNION ALL SELECT root, e.c, e.inner_, depth + 1 FROM x JOIN e ON x.c = e.p WHERE depth < 3 AND x.inner_)
+    SELECT root, c AS child_id, depth FROM x WHERE NOT inner_ OR depth = 3""")
 def r8_expand_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = model.table(spark, sf_dir, "documents").select("doc_id")
-    e = d.select(F.col("doc_id").alias("parent_summary_id"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2)).alias("child_id")).where("child_id < 500").distinct()
-    return compact.expanded(e, d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
-
-
-@query()
-def r8_expand_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As r8_expand_summaries, over the edges of all documents."""
     d = model.table(spark, sf_dir, "documents").select("doc_id")
     e = d.select(F.col("doc_id").alias("parent_summary_id"), F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2)).alias("child_id")).distinct()
-    return compact.expanded(e, d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
+    return compact.expanded(e.withColumn("child_type", F.when(F.col("child_id") % 3 == 0, "turn").otherwise("summary")), d.where("doc_id % 20 = 0").select(F.col("doc_id").alias("id")))
 
 
-@query(f"""WITH {DEALT}, sv AS (SELECT p.session_id, p.bucket, i, avg(x) AS x FROM pick p JOIN e USING (id) WHERE chosen GROUP BY 1, 2, 3),
-    a AS (SELECT sv.session_id, sv.bucket, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS align FROM sv JOIN m ON m.session_id = sv.session_id AND m.bucket = sv.bucket AND m.i = sv.i GROUP BY 1, 2)
-    SELECT a.session_id, a.bucket, round(align, 6) + 0.0 AS align, round(cover, 6) + 0.0 AS cover, round(least(greatest((align + cover) / 2, 0), 1), 6) + 0.0 AS confidence FROM a JOIN s ON a.session_id = s.session_id AND a.bucket = s.bucket""")
+@query(f"""WITH {DEALT} SELECT session_id, bucket, round(align, 6) + 0.0 AS align, round(cover, 6) + 0.0 AS cover, round(confidence, 6) + 0.0 AS confidence FROM t""")
 def x5_preservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import protect
-
-    q = protect.quality(compact.extractive(_dealt(spark, sf_dir)))
+    q = compact.summaries(_dealt(spark, sf_dir), embed=_embed)
     return q.select("session_id", "bucket", *[r6(c).alias(c) for c in ("align", "cover", "confidence")])
 
 
-@query(f"""WITH {DEALT} SELECT session_id, bucket, CASE WHEN token_count < source_tokens THEN 0 END AS step, token_count < source_tokens AS accepted FROM t WHERE token_count < source_tokens""")
+@query(f"""WITH {DEALT} SELECT session_id, bucket, count(*) AS turns, round(avg((length(text) % 100) / 100.0), 6) + 0.0 AS mean_gating, CASE WHEN round(avg((length(text) % 100) / 100.0), 9) >= 0.6 THEN 'abstractive' ELSE 'extractive' END AS route FROM pick GROUP BY 1, 2 HAVING count(*) >= 2""")
+def x7_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(spark, sf_dir).withColumn("gating_score", (F.length("text") % 100) / 100.0)
+    return compact.routes(rows).withColumn("mean_gating", r6("mean_gating"))
+
+
+@query(f"""WITH {DEALT}, pick1 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY session_id, bucket ORDER BY round(sim, 9) DESC, ts_ms, id) <= ceil(count(*) OVER (PARTITION BY session_id, bucket) * 0.25) AS chosen) FROM pick),
+    {summary_sql('pick1', '1')}
+    SELECT t.session_id, t.bucket, CASE WHEN t.token_count >= t.source_tokens AND t1.token_count < t1.source_tokens THEN 1 ELSE 0 END AS step, t.token_count < t.source_tokens OR t1.token_count < t1.source_tokens AS accepted
+    FROM t JOIN t1 ON t.session_id = t1.session_id AND t.bucket = t1.bucket""")
 def x8_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every bucket the step that was taken; declined ones stay at the first."""
     from ..operators import protect
 
-    return protect.ladder(_dealt(spark, sf_dir)).select("session_id", "bucket", "step", "accepted").where("accepted and step = 0")
+    return protect.ladder(_dealt(spark, sf_dir), embed=_embed).select("session_id", "bucket", "step", "accepted")
 
 
 @query()

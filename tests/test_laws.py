@@ -204,7 +204,51 @@ def test_namespace(spark):
     assert [r[0] for r in got] == ["u", "session-key:s", "agent-id:a", "f", "default"]
 
 
-def test_expansion_ends_by_depth(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "parent_summary_id string, child_id string")
-    got = sorted((r.child_id, r.depth) for r in compact.expanded(edges, spark.createDataFrame([("a",)], "id string"), 3).collect())
-    assert got == [("a", 3), ("b", 1), ("c", 2), ("d", 3)]
+def test_expansion_follows_summaries_to_turns(spark):
+    edges = spark.createDataFrame([("a", "b", "summary"), ("a", "t1", "turn"), ("b", "c", "summary"), ("b", "t2", None), ("c", "a", "summary"), ("c", "t3", "turn")], "parent_summary_id string, child_id string, child_type string")
+    below = lambda depth: sorted((r.child_id, r.depth) for r in compact.expanded(edges, spark.createDataFrame([("a",)], "id string"), depth).collect())
+    assert below(3) == [("a", 3), ("t1", 1), ("t2", 2), ("t3", 3)]  # a comes as what is left at the last depth
+    assert below(1) == [("b", 1), ("t1", 1)]
+
+
+# Expected values below were worked out by hand from the described patterns, not by running them.
+@pytest.mark.parametrize(("text", "want"), [
+    ("we use git in this class", {"t": 0.8 / 1.5, "dtech": 0.4, "a": 0.0}),
+    ("edit src/app please", {"t": 0.7 / 1.5, "p": 1.0}),  # a path and, within it, an endpoint, and "edit" counts as an error code
+    ("GET /health now", {"t": 0.3 / 1.5, "p": 0.3}),
+    ("I prefer tea and I live in Rome", {"t": 0.0, "d": 0.7}),
+    ("use maps or sets instead", {"a": 0.5}),
+    ("use maps\ninstead", {"a": 0.0}),
+    ("map[string]int", {"dtech": 0.3}),
+    ("map[ ]", {"dtech": 0.0}),
+    ("panic: x", {"t": 0.0}),
+    ("panic:x", {"t": 0.5 / 1.5}),
+    ("my friend bo is 12", {"d": 0.5}),
+    ("  ", {"t": 0.0, "d": 0.0, "p": 0.0, "a": 0.0, "dtech": 0.0}),
+    (None, {"t": 0.0, "p": 0.0}),
+])
+def test_gate_signals(spark, text, want):
+    got = gate.signals(spark.createDataFrame([(text,)], "text string")).first().asDict()
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("text", "indicator", "density"), [
+    ("how many weeks", 0.0, 0.0), ("how  many days", 1 / 1.5, 0.0), ("met on Jan 5", 0.0, 1 / 3), ("last night", 0.0, 1 / 3), ("midweek", 0.0, 1 / 3), ("tonight, this week", 0.0, 0.0),
+    ("Sept 3rd, 2021", 0.0, 2 / 3), ("how long since", 1.0, 0.0), ("today Today", 0.0, 1 / 3),
+])
+def test_temporal_signals(spark, text, indicator, density):
+    r = spark.createDataFrame([(text,)], "text string").select(rank.temporal_indicator(F.col("text")), rank.anchor_density(F.col("text"))).first()
+    assert tuple(r) == pytest.approx((indicator, density))
+
+
+def test_first_candidate_counts(spark):
+    rows = [(1, "c", "a", 0.3, 0), (1, "c", "a", 0.9, 1), (1, "c", "b", 0.5, 2)]
+    df = spark.createDataFrame(rows, "query_id long, collection string, id string, score double, position int").selectExpr("*", "cast(null as long) as ts_ms", "0L as access_count", "1.0D as authority", "false as authored")
+    assert [r.id for r in rank.two_pass(df, 0).orderBy("rank").collect()] == ["b", "a"]
+    assert [r.id for r in rank.two_pass(df.drop("position"), 0).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_vector_means(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [True, True, None])], "v array<array<double>>, m array<boolean>")
+    r = df.select(V.mean(F.col("v")), V.masked_mean(F.col("v"), F.col("m")), V.masked_mean(F.col("v"), F.array(F.lit(False)))).first()
+    assert [list(x) for x in r] == [[13 / 3, 17 / 3], [2.0, 4.0], [0.0, 0.0]]
