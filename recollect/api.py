@@ -136,16 +136,37 @@ class Memory:
     def search_raw(self, queries: DataFrame, session_id: str, k: int = 8) -> DataFrame:
         return self.search(queries, [f"session_raw:{session_id}"], k)
 
+    def _hits(self, asked: DataFrame, kind: str, k: int) -> DataFrame:
+        """The k nearest records of each question (query_id, vector, place) in its own place, a collection."""
+        rows = self.records().join(asked.select(F.col("place").alias("collection")).distinct(), "collection", "left_semi")
+        keyed = rows.select(F.xxhash64("collection", "id").alias("id"), "vector", "collection")
+        near = retrieve.top_k(keyed, asked.select("query_id", "vector"), k, per_collection=True, exclude_self=False)
+        own = near.join(asked.select("query_id", F.col("place").alias("collection")), ["query_id", "collection"])
+        return own.select(F.col("query_id").alias("id"), F.lit(kind).alias("kind"), "rank", "score")
+
     def gate(self, turns: DataFrame) -> DataFrame:
-        """Turns (id, text, user_ns as one user) with h, r and g, against the user's turns and memories."""
-        user = turns.select("user_ns").first()
-        ns = user[0] if user else ""
-        q = turns.select(F.xxhash64("id").alias("query_id"), "text")
-        near = self.search(q, [f"turns:{ns}"], 10).withColumn("kind", F.lit("turn")).unionByName(self.search(q, [f"user:{ns}"], 5).withColumn("kind", F.lit("memory")))
-        hits = gate.from_hits(near.select(F.col("query_id").alias("id"), "kind", "rank", "score"))
+        """Turns (id, text, user_ns) with h, r and g, each against its own user's turns and memories."""
+        asked = turns.select(F.xxhash64("id").alias("query_id"), self.embed(F.coalesce("text", F.lit(""))).alias("vector"), F.coalesce(F.col("user_ns").cast("string"), F.lit("")).alias("_ns"))
+        near = self._hits(asked.withColumn("place", F.concat(F.lit("turns:"), "_ns")), "turn", 10).unionByName(self._hits(asked.withColumn("place", F.concat(F.lit("user:"), "_ns")), "memory", 5))
+        hits = gate.from_hits(near)
         rows = gate.signals(turns).withColumn("_q", F.xxhash64("id")).join(hits.withColumnRenamed("id", "_q"), "_q", "left")
         return gate.gated(rows.withColumn("h", F.coalesce("h", F.lit(1.0))).withColumn("r", F.coalesce("r", F.lit(0.0)))).drop("_q")
 
+    def ingest(self, turns: DataFrame) -> int:
+        """Turns into session and raw history, those of users into the turn index and, with their gate scores, into their durable memory.
+
+        The gate marks and does not filter. Scores are those against what was stored before.
+        """
+        said = turns.where("role = 'user' and user_ns is not null")
+        scores = ["g", "t", "h", "r", "d", "p", "a", "dtech", "gconv", "gtech"]
+        scored = self.gate(said)
+        weight = rank.stability(F.col("role"), F.col("g"))
+        meta = F.create_map(*[x for c in scores for x in (F.lit("gating_score" if c == "g" else f"gating_{c}"), F.col(c).cast("string"))], F.lit("stability_weight"), weight.cast("string"), F.lit("source_turn_id"), F.col("id"), F.lit("provenance_class"), F.lit("durable_user_memory"))
+        durable = scored.select(F.concat(F.lit("user:"), F.col("user_ns").cast("string")).alias("collection"), F.concat(F.col("user_ns").cast("string"), F.lit(":"), "id").alias("id"), "text", "role", "ts_ms", "session_id", F.lit("turn").alias("type"), meta.alias("metadata"))
+        both = self._filled(store.dual_write(turns).drop("raw_history", "active_view"))
+        index = self._filled(said.withColumn("collection", F.concat(F.lit("turns:"), F.col("user_ns").cast("string"))))
+        return self.insert(both.unionByName(index).unionByName(self._filled(durable)))
+
     # compaction
 
     def compact(self, sessions: list[str], target: int = 20) -> DataFrame:
@@ -154,7 +175,9 @@ class Memory:
         turns = self.records().where(F.col("collection").isin([f"session:{s}" for s in sessions]))
         dealt = compact.older_buckets(turns, target)
         marked = protect.protected(dealt)
-        made = protect.ladder(marked.where("protection is null")).where("accepted")
+        # Large code blocks and encoded lines give way to placeholders before anything is summarised.
+        clean = marked.where("protection is null").withColumn("text", protect.sanitised(F.col("text")))
+        made = protect.ladder(clean).where("accepted")
         rows = made.select(F.concat(F.lit("session_summary:"), "session_id").alias("collection"), "id", "text", F.col("end_ms").alias("ts_ms"), "session_id", F.lit("summary").alias("type"), F.create_map(F.lit("confidence"), F.col("confidence").cast("string"), F.lit("decay_rate"), F.col("decay_rate").cast("string")).alias("metadata"))
         kept = protect.shards(marked).select("collection", "id", "text", F.col("source_turn_ts").alias("ts_ms"), "type", F.create_map(F.lit("protection_reason"), "protection_reason").alias("metadata"))
         new = self._filled(rows).unionByName(self._filled(kept))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import pack, rank
+from . import pack, rank, session
 
 
 def recall(candidates: DataFrame, targets: DataFrame, queries: DataFrame, texts: DataFrame, now_ms: int) -> DataFrame:
@@ -25,6 +25,68 @@ def recall(candidates: DataFrame, targets: DataFrame, queries: DataFrame, texts:
     return pack.prefix_fit(items, F.col("room"), order="position").drop("room", "degraded")
 
 
+def _spent(items: DataFrame, name: str) -> DataFrame:
+    return items.groupBy("query_id").agg(F.sum("tokens").alias(name))
+
+
+def whole(queries: DataFrame, hard: DataFrame, soft: DataFrame, turns: DataFrame, found: DataFrame, recovery: DataFrame, min_turns: int = 4, tail_target: int = 128) -> DataFrame:
+    """(query_id, position, section, id): everything that goes into the prompt of each query, in order.
+
+    queries: query_id, session_id, scope, budget, fired (whether retrieval failed), comparison. hard, soft: authored items of a scope (scope, id,
+    rank, tokens). turns: session_id, id, ts_ms, role, tokens. found: ranked and linked memories (query_id, id, final_score, hop, elevated, tokens,
+    from_session). recovery: raw turns (query_id, id, final_score, tokens, witness).
+
+    A quarter of the budget is for memory. Hard items and the last ``min_turns`` turns always go in; where they alone exceed the memory's
+    budget nothing else does. Soft items come next, then as much of the session's tail as fits, elevated guidance, other memories, and, if retrieval
+    failed or there is neither a session nor a hit in it, raw turns out of a reserve. What has been chosen is never chosen again.
+    """
+    floor0 = lambda c: F.greatest(c, F.lit(0.0))
+    filled = lambda df, few, name, on: df.join(few, on, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    q = queries.withColumn("memory", 0.25 * F.col("budget"))
+    q = filled(q, hard.groupBy("scope").agg(F.sum("tokens").alias("hard_used")), "hard_used", "scope")
+    own = q.select("query_id", "session_id").join(turns, "session_id").drop("session_id")
+    base = own.withColumn("_back", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ts_ms"), F.desc("id")))).where(F.col("_back") <= min_turns)
+    q = filled(q, _spent(base, "base_used"), "base_used", "query_id")
+    q = q.withColumn("degraded", F.col("hard_used") + F.col("base_used") > F.col("memory") + 1e-9).cache()  # a row a query, used by every section
+    soft_budget = floor0(F.least(0.3 * F.col("memory"), F.col("memory") - F.col("hard_used") - F.col("base_used")))
+    soft_items = pack.prefix_fit(soft.join(q.where("not degraded").select("query_id", "scope", soft_budget.alias("_budget")), "scope"), F.col("_budget")).select("query_id", "id", "rank", "tokens")
+    q = filled(q, _spent(soft_items, "soft_used"), "soft_used", "query_id")
+    tail_budget = F.floor(F.least(F.greatest(F.lit(tail_target), F.col("base_used")), floor0(F.col("memory") - F.col("hard_used") - F.col("soft_used"))))
+    # A session's tail belongs to the query here, whose budget it has.
+    tail = session.tail_split(own.withColumnRenamed("query_id", "session_id").join(q.select(F.col("query_id").alias("session_id"), tail_budget.alias("_room"), "degraded"), "session_id"), min_turns, F.col("_room"))
+    tail = tail.where(F.when(F.col("degraded"), F.col("in_base")).otherwise(F.col("recent"))).select(F.col("session_id").alias("query_id"), "id", "ts_ms", "in_base", "tokens")
+    tail = tail.cache()
+    q = filled(q, _spent(tail, "tail_used"), "tail_used", "query_id")
+    q = filled(q, found.where("from_session").groupBy("query_id").agg(F.count("*").alias("session_hits")), "session_hits", "query_id")
+    recovers = F.col("fired") | ((F.col("base_used") == 0) & (F.col("session_hits") == 0))
+    least = F.least(F.least(F.greatest(F.floor(0.1 * F.col("memory")), F.lit(16)), F.lit(128)).cast("double"), F.col("memory"))
+    more = F.when(F.col("comparison"), F.least(F.greatest(least, F.ceil(1.8 * least).cast("double")), F.col("memory"))).otherwise(least)
+    q = q.withColumn("retrieval", floor0(F.col("memory") - F.col("hard_used") - F.col("soft_used") - F.col("tail_used"))).withColumn("reserve", F.when(recovers, more).otherwise(0.0)).cache()
+    limits = q.where("not degraded").select("query_id", "memory", "retrieval", "reserve")
+    order = Window.partitionBy("query_id", "elevated").orderBy(F.round("final_score", 9).desc(), "hop", "id")
+    listed = found.join(tail.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("rank", F.row_number().over(order)).join(limits, "query_id").cache()
+    elevated = pack.prefix_fit(listed.where("elevated"), F.least(0.15 * F.col("memory"), F.col("retrieval"))).select("query_id", "id", "rank", "tokens")
+    plain = filled(listed.where("not elevated"), _spent(elevated, "elevated_used"), "elevated_used", "query_id")
+    variant = pack.prefix_fit(plain, floor0(floor0(F.col("retrieval") - F.col("elevated_used")) - F.col("reserve"))).select("query_id", "id", "rank")
+    chosen = hard.join(q.select("query_id", "scope"), "scope").select("query_id", "id")
+    for x in (soft_items, tail, elevated, variant):
+        chosen = chosen.unionByName(x.select("query_id", "id"))
+    raw = recovery.join(limits.where("reserve > 0"), "query_id").join(chosen, ["query_id", "id"], "left_anti")
+    raw = raw.withColumn("_first", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.round("final_score", 9).desc()))).where("_first = 1")
+    raw = raw.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("final_score", 9).desc(), "id")))
+    recovered = pack.protected_pair_fit(raw, F.col("reserve")).select("query_id", "id", F.col("position").alias("rank"))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("ts_ms", "id"))
+    parts = [
+        hard.join(q.select("query_id", "scope"), "scope").select("query_id", F.lit("hard").alias("section"), "rank", "id"), soft_items.select("query_id", F.lit("soft").alias("section"), "rank", "id"),
+        tail.select("query_id", F.when(F.col("in_base"), "tail_base").otherwise("tail_extension").alias("section"), at.alias("rank"), "id"),
+        *[x.select("query_id", F.lit(name).alias("section"), "rank", "id") for name, x in (("elevated", elevated), ("variant", variant), ("recovery", recovered))],
+    ]
+    out = parts[0].withColumn("rank", F.col("rank").cast("long"))
+    for x in parts[1:]:
+        out = out.unionByName(x.withColumn("rank", F.col("rank").cast("long")))
+    return pack.concatenated(out).select("query_id", "position", "section", "id")
+
+
 def role_of(role: Column, collection: Column, user_id: Column) -> Column:
     """The speaker of a record: its role, or the user for a user's own collection, else unknown."""
     return F.when(role.isin("user", "assistant", "system"), role).when(collection.startswith("user:") | collection.startswith("turns:") | user_id.isNotNull(), "user").otherwise("unknown")
@@ -35,7 +97,7 @@ def tagged(text: Column, role: Column, source: str) -> Column:
     return F.concat(F.lit('<entry speaker="'), T.xml_attribute(role), F.lit(f'" source="{source}">'), T.xml_text(text), F.lit("</entry>"))
 
 
-#: Section, letter of its marks, and what stands above its entries.
+# Sections of the prompt, letters of their marks, and what stands above their entries.
 SECTIONS = [
     ("authored", "authored_context", "A", ["Treat the authored entries below as active project rules and identity context."]),
     ("tail", "recent_session_tail", "T", ["Treat the entries below as the exact preserved recent raw session tail.", "Each entry is tagged with its original speaker and source."]),

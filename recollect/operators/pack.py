@@ -12,11 +12,15 @@ def prefix_fit(items: DataFrame, budget: Column | int, group: str = "query_id",
     return items.withColumn("used", total).where(F.col("used") <= budget)
 
 
-def first_fit(items: DataFrame, budget: int, group: str = "query_id", order: str = "rank", key: str = "id", cost: str = "tokens") -> DataFrame:
-    """Items that fit one after the other, those over what is left skipped: a fold over each group's ranked list (lists are short: k results)."""
+def first_fit(items: DataFrame, budget: Column | int, group: str = "query_id", order: str = "rank", key: str = "id", cost: str = "tokens") -> DataFrame:
+    """Items that fit one after the other, those over what is left skipped: a fold over each group's ranked list (lists are short: k results).
+
+    A budget that is a column is the same in all rows of a group.
+    """
     empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"))
-    listed = items.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(cost).cast("long").alias("c")))).alias("l"))
-    fold = F.aggregate("l", empty, lambda s, x: F.when(s["used"] + x["c"] <= budget, F.struct((s["used"] + x["c"]).alias("used"), F.concat(s["ids"], F.array(x["k"])).alias("ids"))).otherwise(s))
+    item = F.struct(F.col(order).alias("o"), F.col(key).cast("string").alias("k"), F.col(cost).cast("long").alias("c"))
+    listed = items.groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("l"), F.first(F.lit(budget) if isinstance(budget, int) else budget).alias("_budget"))
+    fold = F.aggregate("l", empty, lambda s, x: F.when(s["used"] + x["c"] <= F.col("_budget"), F.struct((s["used"] + x["c"]).alias("used"), F.concat(s["ids"], F.array(x["k"])).alias("ids"))).otherwise(s))
     return listed.select(group, fold.alias("s")).select(group, "s.used", F.posexplode("s.ids").alias("position", key))
 
 
@@ -29,7 +33,7 @@ def budgets(queries: DataFrame) -> DataFrame:
     q = q.withColumn("retrieval", floor0(F.col("memory") - F.col("hard") - F.col("tail_base") - F.col("soft")))
     q = q.withColumn("elevated", F.least(0.15 * F.col("memory"), F.col("retrieval")))
     base = F.least(F.greatest(F.least(F.floor(0.1 * F.col("memory")), F.lit(128)), F.lit(16)).cast("double"), F.col("memory"))
-    return q.withColumn("reserve", F.when(~F.col("fired"), 0.0).when(F.col("comparison"), F.ceil(1.8 * base).cast("double")).otherwise(base))
+    return q.withColumn("reserve", F.when(~F.col("fired"), 0.0).when(F.col("comparison"), F.least(F.ceil(1.8 * base).cast("double"), F.col("memory"))).otherwise(base))
 
 
 def best_of_each(items: DataFrame) -> DataFrame:
@@ -38,7 +42,7 @@ def best_of_each(items: DataFrame) -> DataFrame:
     return items.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def protected_pair_fit(items: DataFrame, budget: int) -> DataFrame:
+def protected_pair_fit(items: DataFrame, budget: Column | int) -> DataFrame:
     """First fit with a pair of witnesses first: query_id, rank, id, tokens, witness (boolean).
 
     Where a query has exactly two witnesses and both fit together they are packed before all others; else all are packed in rank order.

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import pack
 
 
 def by_query():
@@ -191,5 +192,23 @@ def best_pairs(candidates: DataFrame) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "pa", "pb")
 
 
+def expanded_summaries(items: DataFrame, children: DataFrame, budget: Column | int, least: float = 0.7, penalty: float = 0.85) -> DataFrame:
+    """What confident summaries stand for, as far as a token budget goes: (query_id, parent, id, final_score, depth, used).
+
+    items: query_id, rank, id, type, confidence, expansion_depth. children: parent, child_order, id, score (or final score), token_estimate; those
+    without an estimate above 0 are left out. Children are taken in the order of their summaries, those over what is left are skipped.
+    """
+    ok = items.where((F.col("type") == "summary") & (F.coalesce("confidence", F.lit(0.0)) >= least)).select("query_id", F.col("rank").alias("_rank"), F.col("id").alias("parent"), (F.coalesce("expansion_depth", F.lit(0)) + 1).alias("depth"))
+    listed = ok.join(children.where("token_estimate > 0"), "parent").withColumn("tokens", F.greatest(F.floor("token_estimate"), F.lit(1)).cast("long"))
+    listed = listed.withColumn("_at", F.row_number().over(by_query().orderBy("_rank", "child_order", "id"))).withColumn("_key", F.col("_at").cast("string"))
+    fit = pack.first_fit(listed, budget, order="_at", key="_key").select("query_id", F.col("_key"), "used")
+    return listed.join(fit, ["query_id", "_key"]).select("query_id", "parent", "id", T.clamp(F.col("score") * penalty).alias("final_score"), "depth", "used")
+
+
+def stability(role: Column, gate: Column) -> Column:
+    """How stable a kept turn is: the weight of its role, or its gate score if that is higher."""
+    return F.greatest(role_weight(role), F.coalesce(gate, F.lit(0.0)))
+
+
 def role_weight(role: Column) -> Column:
     return F.when(role == "user", 0.5).when(role == "assistant", 0.25).otherwise(0.2)

@@ -18,12 +18,29 @@ QUERIES_AT_ONCE = 4096
 GROUPS_HELD = 64
 
 
-def _unit(rows: list) -> np.ndarray:
-    m = np.array(rows, np.float64)
+def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column, one a row; without copying them to Python where all have one length."""
+    if len(column) and not column.null_count:
+        flat, ends = column.flatten(), column.offsets.to_numpy()
+        if not flat.null_count and len(set(np.diff(ends).tolist())) == 1:
+            return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.array(column.to_pylist(), np.float64)
+
+
+def _best(row: np.ndarray, score: np.ndarray, key: np.ndarray, name: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The first k of each row by score, then key. Values that differ by rounding only are one value, as in the final order."""
+    order = np.lexsort((key, -np.round(score, 9), row))
+    row = row[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    order = order[keep]
+    return row[keep], score[order], key[order], name[order]
+
+
 def _blocks(queries: DataFrame) -> Iterator[list]:
     n = queries.count()
     parts = -(-n // QUERIES_AT_ONCE)
@@ -43,33 +60,41 @@ def top_k(records: DataFrame, queries: DataFrame, k: int = 10, per_collection: b
     schema = "query_id long, id long, collection string, score double"
     out = None
     for rows in _blocks(queries):
-        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], _unit([r.vector for r in rows])))
+        shared = spark.sparkContext.broadcast(([r.query_id for r in rows], _unit(np.array([r.vector for r in rows], np.float64))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             ids = np.array(ids, np.int64)
-            held: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # a task's best so far: scores, ids, collections, a row for each query
+            held: dict[str, tuple[np.ndarray, ...]] = {}  # a task's best so far: query, score, id and collection of each
 
-            def rows(score: np.ndarray, keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
-                row, col = np.nonzero(np.isfinite(score))
-                return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys[row, col]), pa.array(names[row, col], pa.string()), pa.array(score[row, col])], ["query_id", "id", "collection", "score"])
+            def rows(row: np.ndarray, score: np.ndarray, keys: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(keys), pa.array(names, pa.string()), pa.array(score)], ["query_id", "id", "collection", "score"])
 
             for b in batches:
+                if not b.num_rows:
+                    continue
                 keys = b.column("id").to_numpy(zero_copy_only=False)
                 names = np.array(b.column("collection").to_pylist(), object)
-                score = q @ _unit(b.column("vector").to_pylist()).T
+                score = q @ _unit(_matrix(b.column("vector"))).T
                 if exclude_self:
-                    score = np.where(ids[:, None] == keys[None, :], -np.inf, score)
+                    score[ids[:, None] == keys[None, :]] = -np.inf
                 for group in dict.fromkeys(names.tolist()) if per_collection else [""]:
                     at = np.flatnonzero(names == group) if per_collection else np.arange(len(keys))
-                    found = score[:, at], np.broadcast_to(keys[at], (len(ids), len(at))), np.broadcast_to(names[at], (len(ids), len(at)))
+                    part = score[:, at]
+                    if 0 < k < len(at):  # only what reaches the k-th score of its query; ties at it all stay for now
+                        rounded = np.round(part, 9)
+                        row, col = np.nonzero(rounded >= np.partition(rounded, len(at) - k, axis=1)[:, len(at) - k, None])
+                    else:
+                        row, col = np.nonzero(np.ones(part.shape, bool))
+                    found = row, part[row, col], keys[at[col]], names[at[col]]
+                    real = np.isfinite(found[1])
+                    found = tuple(x[real] for x in found)
                     if k <= 0:
                         yield rows(*found)
                         continue
-                    s, i, c = (np.hstack([x, y]) for x, y in zip(held[group], found, strict=True)) if group in held else found
-                    # Values that differ by rounding only are one value, as in the final order.
-                    best = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
-                    held[group] = tuple(np.take_along_axis(x, best, axis=1) for x in (s, i, c))
+                    if group in held:
+                        found = tuple(np.concatenate(x) for x in zip(held[group], found, strict=True))
+                    held[group] = _best(*found, k)
                 if len(held) > GROUPS_HELD:
                     yield from (rows(*x) for x in held.values())
                     held.clear()
@@ -93,16 +118,17 @@ def top_k_over_collections(records: DataFrame, queries: DataFrame, k: int = 10)
 
 def cascade(records: DataFrame, queries: DataFrame, sizes: tuple[int, int, int] = (16, 32, 64), exits: tuple[float, float] = (0.65, 0.75), k: int = 10) -> DataFrame:
     """Search on vector prefixes: the first size whose best score reaches its exit answers, the last always does; ``tier`` says which."""
-    tiers = []
+    out, open_ = None, queries
     for tier, size in enumerate(sizes, 1):
         cut = lambda df, size=size: df.withColumn("vector", V.prefix(F.col("vector"), size))
-        tiers.append(top_k(cut(records), cut(queries), k).withColumn("tier", F.lit(tier)))
-    found = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
-    best = F.max("score").over(Window.partitionBy("query_id", "tier"))
-    least = F.when(F.col("tier") == 1, exits[0]).when(F.col("tier") == 2, exits[1]).otherwise(-2.0)
-    passing = found.withColumn("_pass", F.round(best, 9) >= least)
-    chosen = F.min(F.when(F.col("_pass"), F.col("tier"))).over(Window.partitionBy("query_id"))
-    return passing.withColumn("_tier", chosen).where("tier = _tier").drop("_pass", "_tier")
+        found = top_k(cut(records), cut(open_), k).withColumn("tier", F.lit(tier))
+        if tier < len(sizes):
+            found = found.cache()  # k rows a query, read again for the next tier, which searches for unanswered queries only
+            best = found.groupBy("query_id").agg(F.max("score").alias("best")).where(F.round("best", 9) >= exits[tier - 1])
+            open_ = open_.join(best, "query_id", "left_anti")
+            found = found.join(best.select("query_id"), "query_id", "left_semi")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def shaped(results: DataFrame) -> DataFrame:
@@ -122,3 +148,23 @@ def line_range(text, first: int, lines: int = 200):
 def asks_for_dreams(text):
     """Whether a query is about dreams."""
     return T.matches(F.lower(text), r"\bdream(?:s|ed|ing)?\b")
+
+
+def recent_ids(messages: DataFrame, limit: int = 4) -> DataFrame:
+    """(session_id, id) of the last ``limit`` messages of each session (by ts_ms, then position), those that have an id: they are not searched for."""
+    w = Window.partitionBy("session_id").orderBy(F.desc("ts_ms"), F.desc("position"))
+    return messages.withColumn("_back", F.row_number().over(w)).where((F.col("_back") <= limit) & (F.col("id") != "")).select("session_id", "id")
+
+
+def requests(asked: DataFrame, default_k: int = 8) -> DataFrame:
+    """Search requests as the engine reads them: query, k, dream, and the collections to search, in order.
+
+    asked: query, text, input, q (the first that isn't empty is the query; requests without one are left out), k, limit, top_k (the first positive one counts),
+    session_id, user_ns. A question about dreams goes to the user's dreams alone.
+    """
+    first = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("query", "text", "input", "q")])
+    k = F.coalesce(*[F.when(F.col(c) > 0, F.greatest(F.floor(c), F.lit(1)).cast("int")) for c in ("k", "limit", "top_k")], F.lit(default_k))
+    plain = F.array_compact(F.array(F.concat(F.lit("session:"), F.nullif("session_id", F.lit(""))), F.concat(F.lit("user:"), "user_ns"), F.lit("global")))
+    rows = asked.withColumn("_query", first).where("_query is not null").withColumn("_dream", asks_for_dreams(F.col("_query")))
+    where = F.when(F.col("_dream"), F.array(F.concat(F.lit("dream:"), "user_ns"))).otherwise(plain)
+    return rows.select("request_id", F.col("_query").alias("query"), k.alias("k"), F.col("_dream").alias("dream"), where.alias("collections"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vector as V
+
 
 def replaced(records: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Records with those of equal keys replaced by the new ones."""
@@ -68,3 +70,25 @@ def missing_tiers(full: DataFrame, tiers: DataFrame) -> DataFrame:
     """Ids of full vectors that a tier lacks: (id, tier)."""
     wanted = full.select("id").withColumn("tier", F.explode(F.array(F.lit(64), F.lit(256))))
     return wanted.join(tiers.select("id", "tier"), ["id", "tier"], "left_anti")
+
+
+def in_tiers(records: DataFrame, sizes: tuple[int, ...] = (64, 256)) -> DataFrame:
+    """Records (collection, id, vector) with a row more for each tier: the vector's prefix at length 1, in the collection's tier of that name.
+
+    ``dirty``: the vector is too short for the tier, whose row is then a mark (no vector) for a later repair.
+    """
+    out = records.select("collection", "id", "vector", F.lit(False).alias("dirty"))
+    for n in sizes:
+        fits = F.size("vector") >= n
+        out = out.unionByName(records.select(F.concat("collection", F.lit(f":{n}d")).alias("collection"), "id", F.when(fits, V.prefix(F.col("vector"), n)).alias("vector"), (~F.coalesce(fits, F.lit(False))).alias("dirty")))
+    return out
+
+
+def repaired(tiered: DataFrame, marks: DataFrame, sizes: tuple[int, ...] = (64, 256)) -> DataFrame:
+    """The tiered records with the rows that marks (collection, id, tier) ask for put in their places; marks of unknown tiers or of
+    records that are gone are dropped."""
+    base = tiered.where(~F.col("collection").rlike(r":\d+d$"))
+    asked = marks.where(F.col("tier").isin(*sizes)).select("collection", "id", "tier").distinct().join(base.select("collection", "id", "vector"), ["collection", "id"])
+    sized = F.coalesce(*[F.when((F.col("tier") == n) & (F.size("vector") >= n), V.prefix(F.col("vector"), n)) for n in sizes])
+    new = asked.select(F.concat("collection", F.lit(":"), F.col("tier").cast("string"), F.lit("d")).alias("collection"), "id", sized.alias("vector")).where("vector is not null").withColumn("dirty", F.lit(False))
+    return replaced(tiered, new, ["collection", "id"])

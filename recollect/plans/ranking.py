@@ -224,3 +224,20 @@ def p7_concatenation(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(s) for s in pack.SECTION_ORDER])
     items = _items(spark, sf_dir).withColumn("section", F.element_at(names, (F.col("id") % 7 + 1).cast("int")))
     return pack.concatenated(items).select("query_id", "id", "section", F.col("position").cast("long").alias("position"))
+
+
+@query(ITEMS.replace("WITH", "WITH RECURSIVE", 1) + """, su AS (SELECT i.query_id, i.rank, i.id AS parent, i.id % 3 + 1 AS depth FROM i WHERE i.id % 3 < 2 AND (i.id % 10) / 10.0 >= 0.7),
+    ch AS (SELECT su.*, n, parent * 10 + n AS id, (parent + n) % 9 / 8.0::DOUBLE AS score, CASE WHEN n <> 2 THEN (parent + 7 * n) % 40 + 0.5 END AS est FROM su CROSS JOIN (SELECT unnest(range(5)) AS n)),
+    oc AS (SELECT *, greatest(floor(est), 1)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank, n, id) AS place FROM ch WHERE est > 0),
+    gr AS (SELECT query_id, 0::BIGINT AS place, 0::BIGINT AS used, false AS took FROM (SELECT DISTINCT query_id FROM oc)
+      UNION ALL SELECT gr.query_id, oc.place, CASE WHEN gr.used + tokens <= 60 THEN gr.used + tokens ELSE gr.used END, gr.used + tokens <= 60 FROM gr JOIN oc ON oc.query_id = gr.query_id AND oc.place = gr.place + 1),
+    us AS (SELECT query_id, max(used) AS used FROM gr GROUP BY 1)
+    SELECT oc.query_id, oc.parent, oc.id, round(least(greatest(score * 0.85, 0), 1), 6) + 0.0 AS final_score, oc.depth, us.used FROM oc JOIN gr ON gr.query_id = oc.query_id AND gr.place = oc.place AND took JOIN us ON us.query_id = oc.query_id""")
+def c7_summary_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = _items(spark, sf_dir).select("query_id", "rank", "id", F.when(F.col("id") % 3 < 2, "summary").otherwise("turn").alias("type"), ((F.col("id") % 10) / 10.0).alias("confidence"), (F.col("id") % 3).alias("expansion_depth"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("child_order")
+    children = model.vectors(spark, sf_dir).select(F.col("id").alias("parent"), k).select(
+        "parent", "child_order", (F.col("parent") * 10 + F.col("child_order")).alias("id"), ((F.col("parent") + F.col("child_order")) % 9 / 8.0).alias("score"), F.when(F.col("child_order") != 2, (F.col("parent") + 7 * F.col("child_order")) % 40 + 0.5).alias("token_estimate")
+    )
+    out = rank.expanded_summaries(i, children, 60)
+    return out.select("query_id", "parent", "id", r6("final_score").alias("final_score"), F.col("depth").cast("long").alias("depth"), "used")

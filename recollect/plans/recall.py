@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import assemble, temporal
+from ..operators import assemble, rank, temporal
 from . import ranking
 from .common import NOW_MS, r6, registry, turns_sql
 
@@ -92,7 +92,7 @@ def c21_greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired AS (SELECT query_id, (deep AND top < 0.15) OR (n >= 4 AND s = n AND mean < 0.5) AS fired FROM d),
     q AS (SELECT v.id AS query_id, 1000.0 + v.id AS budget, 40.0 AS hard, 30.0 AS tail_base, v.id % 40 = 0 AS comparison, coalesce(fired, false) AS fired FROM v LEFT JOIN fired ON v.id = fired.query_id WHERE v.id % 20 = 0),
     m AS (SELECT *, 0.25 * budget AS memory FROM q), b AS (SELECT *, greatest(least(0.3 * memory, memory - hard - tail_base), 0) AS soft, least(greatest(least(floor(0.1 * memory), 128), 16), memory) AS base FROM m),
-    r AS (SELECT query_id, hard + tail_base > memory AS degraded, greatest(greatest(memory - hard - tail_base - soft, 0) - CASE WHEN NOT fired THEN 0 WHEN comparison THEN ceil(1.8 * base) ELSE base END, 0) AS room FROM b),
+    r AS (SELECT query_id, hard + tail_base > memory AS degraded, greatest(greatest(memory - hard - tail_base - soft, 0) - CASE WHEN NOT fired THEN 0 WHEN comparison THEN least(ceil(1.8 * base), memory) ELSE base END, 0) AS room FROM b),
     u AS (SELECT query_id, id, 0 AS hop, final_score FROM ranked UNION ALL SELECT query_id, id, 1, final_score FROM hop),
     p AS (SELECT u.*, u.id % 30 + 5 AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, hop, u.id) AS position FROM u),
     g AS (SELECT p.*, sum(tokens) OVER (PARTITION BY query_id ORDER BY position)::BIGINT AS used FROM p)
@@ -119,8 +119,72 @@ def f9_prompt_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.sha2("header", 256).alias("header_sha"))
 
 
-@query(f"""WITH {turns_sql()} SELECT id, round(CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN 0.25 ELSE 0.2 END::DOUBLE, 6) + 0.0 AS weight FROM turns""")
+@query(f"""WITH {turns_sql()} SELECT id, round(CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN 0.25 ELSE 0.2 END::DOUBLE, 6) + 0.0 AS weight,
+    round(greatest(CASE role WHEN 'user' THEN 0.5 WHEN 'assistant' THEN 0.25 ELSE 0.2 END, (length(text) % 100) / 100.0)::DOUBLE, 6) + 0.0 AS stability FROM turns""")
 def c23_role_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import rank
+    return model.turns(spark, sf_dir).select("id", r6(rank.role_weight(F.col("role"))).alias("weight"), r6(rank.stability(F.col("role"), (F.length("text") % 100) / 100.0)).alias("stability"))
 
-    return model.turns(spark, sf_dir).select("id", r6(rank.role_weight(F.col("role"))).alias("weight"))
+
+#: Five authored items of each of two scopes, hard and soft, and the queries' own sessions (some have no turns).
+WHOLE = rf"""{turns_sql('conv_id % 10')}, {ranking.CANDIDATES}, {ranking.TWO_PASS}, {ranking.HOPS},
+    au AS (SELECT 'a' || item_id % 2 AS scope, 'item' || item_id AS id, item_id AS rank, item_id % 7 + 3 AS tokens, item_id % 4 < 2 AS hard FROM benchmark WHERE item_id < 20),
+    d AS (SELECT query_id, bool_or(id % 6 = 0) AS deep, arg_min(final_score, rank) AS top, count(*) FILTER (rank <= 4) AS n, count(*) FILTER (rank <= 4 AND type = 'summary') AS s, avg(confidence) FILTER (rank <= 4) AS mean FROM ranked GROUP BY 1),
+    q0 AS (SELECT v.id AS query_id, v.id // 20 % 13 AS session_id, 'a' || v.id // 20 % 2 AS scope, CASE WHEN v.id % 100 = 0 THEN 120.0 ELSE 1000.0 + 4 * v.id END AS budget, v.id % 40 = 0 AS comparison,
+      coalesce((deep AND top < 0.15) OR (n >= 4 AND s = n AND mean < 0.5), false) OR v.id % 60 = 0 AS fired FROM v LEFT JOIN d ON v.id = d.query_id WHERE v.id % 20 = 0),
+    qt AS (SELECT query_id, t.*, ceil(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) AS back,
+      lag(role) OVER (PARTITION BY query_id ORDER BY ts_ms, id) AS prev FROM q0 JOIN turns t USING (session_id)),
+    q1 AS (SELECT q0.*, 0.25 * budget AS memory, coalesce(h.tokens, 0) AS hard_used, coalesce(b.tokens, 0) AS base_used FROM q0
+      LEFT JOIN (SELECT scope, sum(tokens) AS tokens FROM au WHERE hard GROUP BY 1) h USING (scope) LEFT JOIN (SELECT query_id, sum(tokens) AS tokens FROM qt WHERE back <= 4 GROUP BY 1) b USING (query_id)),
+    q2 AS (SELECT *, hard_used + base_used > memory + 1e-9 AS degraded, greatest(least(0.3 * memory, memory - hard_used - base_used), 0) AS soft_budget FROM q1),
+    soft AS (SELECT * FROM (SELECT query_id, soft_budget, au.*, sum(au.tokens) OVER (PARTITION BY query_id ORDER BY au.rank) AS used FROM q2 JOIN au USING (scope) WHERE NOT au.hard AND NOT degraded) WHERE used <= soft_budget),
+    q3 AS (SELECT q2.*, coalesce(s.tokens, 0) AS soft_used, floor(least(greatest(128, base_used), greatest(memory - hard_used - coalesce(s.tokens, 0), 0))) AS tail_budget
+      FROM q2 LEFT JOIN (SELECT query_id, sum(tokens) AS tokens FROM soft GROUP BY 1) s USING (query_id)),
+    u AS (SELECT qt.*, degraded, tail_budget, base_used, sum(tokens) OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) AS used,
+      sum(CASE WHEN (prev = 'user' AND role = 'assistant') OR (prev = 'assistant' AND role = 'user') THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY ts_ms, id) AS bundle FROM qt JOIN q3 USING (query_id)),
+    tail AS (SELECT * FROM (SELECT *, bundle >= min(CASE WHEN back <= 4 OR (base_used <= tail_budget AND used <= tail_budget) THEN bundle END) OVER (PARTITION BY query_id) AS recent FROM u) WHERE CASE WHEN degraded THEN back <= 4 ELSE recent END),
+    q4 AS (SELECT q3.*, greatest(memory - hard_used - soft_used - coalesce(t.tokens, 0), 0) AS retrieval,
+        fired OR (base_used = 0 AND NOT EXISTS (SELECT 1 FROM ranked r WHERE r.query_id = q3.query_id AND r.id % 5 = 0)) AS recovers, least(greatest(floor(0.1 * memory), 16), 128) AS r0
+      FROM q3 LEFT JOIN (SELECT query_id, sum(tokens) AS tokens FROM tail GROUP BY 1) t USING (query_id)),
+    q5 AS (SELECT *, CASE WHEN NOT recovers THEN 0 WHEN comparison THEN least(memory, greatest(least(r0, memory), ceil(1.8 * least(r0, memory)))) ELSE least(r0, memory) END AS reserve FROM q4),
+    found AS (SELECT *, id % 7 = 0 AS elevated, id % 30 + 5 AS tokens, 'v' || id AS vid FROM (SELECT query_id, id, 0 AS hop, final_score FROM ranked UNION ALL SELECT query_id, id, 1, final_score FROM hop)),
+    fo AS (SELECT found.*, row_number() OVER (PARTITION BY query_id, elevated ORDER BY round(final_score, 9) DESC, hop, vid) AS rank FROM found JOIN q5 USING (query_id) WHERE NOT degraded),
+    fu AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id, elevated ORDER BY rank) AS used FROM fo),
+    el AS (SELECT fu.* FROM fu JOIN q5 USING (query_id) WHERE elevated AND used <= least(0.15 * memory, retrieval)),
+    va AS (SELECT fu.* FROM fu JOIN q5 USING (query_id) LEFT JOIN (SELECT query_id, sum(tokens) AS tokens FROM el GROUP BY 1) e USING (query_id) WHERE NOT elevated AND used <= greatest(greatest(retrieval - coalesce(e.tokens, 0), 0) - reserve, 0)),
+    rc AS (SELECT query_id, 'v' || id AS vid, score, id % 40 + 4 AS tokens, id % 6 = 4 AS witness FROM cand WHERE id % 3 = 1),
+    ra AS (SELECT rc.*, reserve, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vid) AS r FROM rc JOIN q5 USING (query_id) WHERE recovers AND NOT degraded
+      AND NOT EXISTS (SELECT 1 FROM el WHERE el.query_id = rc.query_id AND el.vid = rc.vid) AND NOT EXISTS (SELECT 1 FROM va WHERE va.query_id = rc.query_id AND va.vid = rc.vid)),
+    rp AS (SELECT *, count(*) FILTER (witness) OVER (PARTITION BY query_id) = 2 AND sum(tokens) FILTER (witness) OVER (PARTITION BY query_id) <= reserve AS pair FROM ra),
+    ro AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN pair AND witness THEN 0 ELSE 1 END, r) AS o FROM rp),
+    g AS (SELECT query_id, 0::BIGINT AS o, 0::DOUBLE AS used, []::VARCHAR[] AS ids FROM (SELECT DISTINCT query_id FROM ro) UNION ALL SELECT g.query_id, ro.o, CASE WHEN g.used + tokens <= reserve THEN g.used + tokens ELSE g.used END,
+      CASE WHEN g.used + tokens <= reserve THEN list_append(g.ids, vid) ELSE g.ids END FROM g JOIN ro ON ro.query_id = g.query_id AND ro.o = g.o + 1),
+    re AS (SELECT query_id, generate_subscripts(ids, 1) AS rank, unnest(ids) AS id FROM (SELECT query_id, arg_max(ids, o) AS ids FROM g GROUP BY 1)),
+    al AS (SELECT query_id, 1 AS s, 'hard' AS section, rank, au.id FROM q5 JOIN au USING (scope) WHERE au.hard
+      UNION ALL SELECT query_id, CASE WHEN back <= 4 THEN 2 ELSE 4 END, CASE WHEN back <= 4 THEN 'tail_base' ELSE 'tail_extension' END, -back, id FROM tail
+      UNION ALL SELECT query_id, 3, 'soft', rank, id FROM soft UNION ALL SELECT query_id, 5, 'elevated', rank, vid FROM el UNION ALL SELECT query_id, 6, 'variant', rank, vid FROM va UNION ALL SELECT query_id, 7, 'recovery', rank, id FROM re)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s, rank) AS position, section, id FROM al"""
+
+
+@query(f"WITH RECURSIVE {WHOLE}")
+def assemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every section of a recall: authored hard and soft items, tail, elevated guidance, ranked and linked memories, recovered turns."""
+    v = model.vectors(spark, sf_dir)
+    c = ranking.candidates(spark, sf_dir).withColumn("cascade_tier", F.when(F.col("id") % 6 == 0, 3).otherwise(1)).cache()
+    ranked = rank.two_pass(c, NOW_MS).cache()
+    fired = rank.retrieval_failed(ranked).select("query_id", "fired")
+    found = rank.merged(ranked, rank.hops(ranked, ranking._targets(spark, sf_dir)))
+    vid = F.concat(F.lit("v"), F.col("id").cast("string"))
+    found = found.select("query_id", vid.alias("id"), "hop", "final_score", (F.col("id") % 7 == 0).alias("elevated"), (F.col("id") % 30 + 5).alias("tokens"), ((F.col("hop") == 0) & (F.col("id") % 5 == 0)).alias("from_session"))
+    turn = F.col("id") / 20
+    queries = v.where("id % 20 = 0").select(
+        F.col("id").alias("query_id"), (F.floor(turn) % 13).alias("session_id"), F.concat(F.lit("a"), (F.floor(turn) % 2).cast("string")).alias("scope"),
+        F.when(F.col("id") % 100 == 0, 120.0).otherwise(1000.0 + 4 * F.col("id")).alias("budget"), (F.col("id") % 40 == 0).alias("comparison"),
+    )
+    queries = queries.join(fired, "query_id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)) | (F.col("query_id") % 60 == 0))
+    authored = model.table(spark, sf_dir, "benchmark").where("item_id < 20").select(
+        F.concat(F.lit("a"), (F.col("item_id") % 2).cast("string")).alias("scope"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("id"), F.col("item_id").alias("rank"), (F.col("item_id") % 7 + 3).alias("tokens"), (F.col("item_id") % 4 < 2).alias("hard")
+    )
+    turns = model.turns(spark, sf_dir, 10).select("session_id", "id", "ts_ms", "role", F.ceil(F.length("text") / 4).alias("tokens"))
+    recovery = c.where("id % 3 = 1").select("query_id", vid.alias("id"), F.col("score").alias("final_score"), (F.col("id") % 40 + 4).alias("tokens"), (F.col("id") % 6 == 4).alias("witness"))
+    out = assemble.whole(queries, authored.where("hard").drop("hard"), authored.where("not hard").drop("hard"), turns, found, recovery)
+    return out.select("query_id", F.col("position").cast("long").alias("position"), "section", "id")

@@ -85,3 +85,34 @@ def r11_line_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""SELECT conv_id, turn, regexp_matches(lower(text), '\bdream(?:s|ed|ing)?\b') AS dream FROM conversations""")
 def r12_dream_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "conversations").select("conv_id", "turn", retrieve.asks_for_dreams(F.col("text")).alias("dream"))
+
+
+@query("""WITH m AS (SELECT conv_id AS session_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn % 7 = 1 THEN '' ELSE conv_id || '-' || turn END AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+    SELECT session_id, id FROM m WHERE back <= 4 AND id <> ''""")
+def r13_recent_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = model.table(spark, sf_dir, "conversations")
+    mid = F.when(F.col("turn") % 3 == 0, F.lit(None)).when(F.col("turn") % 7 == 1, "").otherwise(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return retrieve.recent_ids(c.select(F.col("conv_id").alias("session_id"), mid.alias("id"), F.col("turn").alias("ts_ms"), F.col("turn").alias("position")))
+
+
+@query(r"""WITH r AS (SELECT conv_id * 1000 + turn AS request_id, CASE WHEN turn % 4 = 0 THEN text ELSE '' END AS query, CASE WHEN turn % 4 = 1 THEN 'What did I DREAM of' END AS text, CASE WHEN turn % 4 = 2 THEN 'dreamy input' END AS input, CASE WHEN turn % 5 <> 0 THEN text END AS q,
+      CASE WHEN turn % 2 = 0 THEN turn - 1 END AS k, CASE WHEN turn % 3 = 0 THEN 5.7 ELSE -1.0 END::DOUBLE AS "limit", turn AS top_k, CASE WHEN turn % 6 <> 0 THEN 's' || conv_id END AS session_id, 'u' || conv_id % 20 AS user_ns FROM conversations),
+    f AS (SELECT *, coalesce(nullif(query, ''), nullif(text, ''), nullif(input, ''), nullif(q, '')) AS asked FROM r)
+    SELECT request_id, asked AS query, coalesce(CASE WHEN k > 0 THEN k END, CASE WHEN "limit" > 0 THEN greatest(floor("limit"), 1) END, CASE WHEN top_k > 0 THEN top_k END, 8)::INT AS k, regexp_matches(asked, '(?i)\bdream(?:s|ed|ing)?\b') AS dream,
+    CASE WHEN regexp_matches(asked, '(?i)\bdream(?:s|ed|ing)?\b') THEN 'dream:' || user_ns ELSE concat_ws(',', 'session:' || session_id, 'user:' || user_ns, 'global') END AS collections FROM f WHERE asked IS NOT NULL""")
+def r9_search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, turn = model.table(spark, sf_dir, "conversations"), F.col("turn")
+    asked = c.select(
+        (F.col("conv_id") * 1000 + turn).alias("request_id"), F.when(turn % 4 == 0, F.col("text")).otherwise("").alias("query"), F.when(turn % 4 == 1, "What did I DREAM of").alias("_text"), F.when(turn % 4 == 2, "dreamy input").alias("input"), F.when(turn % 5 != 0, F.col("text")).alias("q"),
+        F.when(turn % 2 == 0, turn - 1).alias("k"), F.when(turn % 3 == 0, 5.7).otherwise(-1.0).alias("limit"), turn.alias("top_k"), F.when(turn % 6 != 0, F.concat(F.lit("s"), F.col("conv_id").cast("string"))).alias("session_id"), F.concat(F.lit("u"), (F.col("conv_id") % 20).cast("string")).alias("user_ns"),
+    )
+    return retrieve.requests(asked.withColumnRenamed("_text", "text")).withColumn("collections", F.array_join("collections", ","))
+
+
+@query(f"""WITH {VECTORS_SQL}, t AS (SELECT unnest([0, 16, 32, 100]) AS n), x AS (SELECT CASE WHEN n = 0 THEN collection ELSE collection || ':' || n || 'd' END AS collection, id, n, CASE WHEN n = 0 THEN vector WHEN n <= len(vector) THEN vector[1:n] END AS p FROM v CROSS JOIN t)
+    SELECT collection, id, p IS NULL AS dirty, len(p) AS size, round(CASE WHEN n = 0 THEN list_sum(p) ELSE list_sum(p) / sqrt(list_sum(list_transform(p, lambda y: y * y))) END, 6) + 0.0 AS total FROM x""")
+def r6_three_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import store
+
+    out = store.in_tiers(model.vectors(spark, sf_dir), (16, 32, 100))
+    return out.select("collection", "id", "dirty", F.when(~F.col("dirty"), F.size("vector")).cast("long").alias("size"), r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
