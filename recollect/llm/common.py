@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SHINGLE_WORDS = 5
 #: Texts are worked on in groups of about so many bytes, which bounds the arrays.
@@ -35,8 +36,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run below the folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset (single-machine tests) one under the working directory is set.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset, a temporary folder serves
+    if driver and executors are one process (local mode, as in tests); on a cluster that is an error.
     """
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -45,6 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_root.get(sc.applicationId)
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _own_root[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(root)
@@ -208,8 +211,8 @@ def signatures(shingles: np.ndarray, start: np.ndarray, perms: tuple[np.ndarray,
 def with_blocks(df: DataFrame, by: str = "doc_id", rows_per_block: int = 512, most_blocks: int = 16384) -> tuple[DataFrame, int]:
     """``df`` with ``_key`` (``by``, null first) and ``_block``: contiguous ranges of ``by`` of about equal row counts.
 
-    Only the block's first keys reach the driver: one for each block, and at most
-    ``most_blocks`` (a matter of file and task sizes, not of results).
+    Only the blocks' first keys reach the driver: one for each block, and at most
+    ``most_blocks`` (a matter of file and task sizes, not of results). They go back as one constant of the plan.
     """
     keyed = df.withColumn("_key", F.coalesce(F.col(by).cast("long"), F.lit(-(1 << 63))))
     n = keyed.select("_key").agg(F.count("*")).first()[0]
@@ -222,17 +225,44 @@ def with_blocks(df: DataFrame, by: str = "doc_id", rows_per_block: int = 512, mo
     return keyed.withColumn("_first", first_of(F.col("_key"), firsts)).withColumn("_block", block_of(F.col("_key"), firsts)), max(1, len(firsts))
 
 
+def _constant(numbers: list[int]) -> Column:
+    """The numbers as an array, written as one text (folded into a constant when the plan is made) and not as a literal each."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
 def block_of(key: Column, firsts: list[int]) -> Column:
     """Index of the largest entry of the sorted list that is not above ``key`` (0 if none is): a binary search."""
     if len(firsts) < 2:
         return F.lit(0)
     steps = [1 << i for i in reversed(range((len(firsts) - 1).bit_length()))]
-    array = F.lit(firsts)
+    array = _constant(firsts)
     return F.aggregate(F.lit(steps), F.lit(0), lambda lo, s: F.when(F.get(array, lo + s) <= key, lo + s).otherwise(lo))
 
 
 def first_of(key: Column, firsts: list[int]) -> Column:
-    return F.get(F.lit(firsts), block_of(key, firsts)) == key if firsts else F.lit(False)
+    return F.get(_constant(firsts), block_of(key, firsts)) == key if firsts else F.lit(False)
+
+
+#: Keys that are dealt over ``SALTS`` tasks each: so many of those with most rows, if they have more than ``HOT_ROWS``.
+HOT_KEYS = 1000
+HOT_ROWS = 1000
+SALTS = 32
+
+
+def hot(counted: DataFrame, key: str, n: str = "n") -> list:
+    """The keys of most rows, ``HOT_KEYS`` at most; any other key has ``HOT_ROWS`` rows or fewer, or less than 1 / ``HOT_KEYS`` of all."""
+    return [r[0] for r in counted.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key).collect()]
+
+
+def spread(rows: DataFrame, few: DataFrame, key: str, hot_keys: list, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key. Rows of a hot key are dealt by their columns ``by``, each part with a copy of its row of ``few``.
+
+    The plan is the same with and without hot keys (a null, which equals none, stands for an empty list).
+    """
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot_keys or [None]], StructType([StructField(key, rows.schema[key].dataType)]))).withColumn("_hot", F.lit(True))  # HOT_KEYS at most
+    dealt = rows.join(listed, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(few.join(listed, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
 
 
 #: Edges that a partition of a component search holds at least, if there are as many.
@@ -242,8 +272,8 @@ EDGES_A_PARTITION = 50_000
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """Connected components of (a, b) long pairs: rows (node, label), label the least node of its component.
 
-    Alternates large-star and small-star steps as joins with a group minimum, so
-    that no neighbourhood is ever held by one task; each round is checkpointed.
+    Alternates large-star and small-star steps as joins with a group minimum, so that no neighbourhood is ever
+    held in memory; those of nodes with very many neighbours are dealt over several tasks. Each round is checkpointed.
     Nodes without an edge don't appear; an empty input gives no rows.
     """
     a, b = F.col("a"), F.col("b")
@@ -257,11 +287,14 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         # Few edges in many partitions would be mostly files and tasks.
         e = e.coalesce(max(1, now[0] // EDGES_A_PARTITION))
         both = e.unionByName(e.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(b.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(b > a).alias("n"))
+        crowded = hot(least, "a") if now[0] > HOT_ROWS else []
+        large = spread(both.where("b > a"), least.drop("n"), "a", crowded, ["b"]).select(b.alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = saved(large.coalesce(max(1, now[0] // EDGES_A_PARTITION)))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        crowded = hot(least, "a") if now[0] > HOT_ROWS else []
+        least = least.drop("n")
+        small = spread(large, least, "a", crowded, ["b"])
         e = saved(small.select(b.alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.withColumnRenamed("m", "b")).distinct().coalesce(max(1, now[0] // EDGES_A_PARTITION)))
     else:
         raise RuntimeError("components did not settle")

@@ -11,11 +11,13 @@ A chunk is repeated if its very bytes occur again anywhere, in this or another d
 Each line that goes is left at a lesser (doc_id, line), so no line is lost from the table. Chunks are first matched by a 64-bit hash, which leaves
 few; these are then grouped by their bytes.
 
+A row is known by its doc_id and a 64-bit hash of its text, so different texts under one id, or without an id, are
+different documents.
+
 Defined cases: a null text counts as empty and comes back as it is; blank lines are kept inside what
-stays and never form a chunk alone; null doc_ids come first in the order; of repeated rows of one id the
-text is cleaned for each alike (lines within one id that repeat count by their number, so equal rows of
-one id stand for one document); a text of which nothing stays is the empty text; an empty table
-gives no rows; further columns are kept.
+stays and never form a chunk alone; null doc_ids come first in the order, texts of one id are ordered by their hashes;
+rows with equal id and text stand for one document and are cleaned alike; a text of which nothing stays is the empty
+text; an empty table gives no rows; further columns are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -57,41 +59,56 @@ def cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return text_of[i], i - start[text_of[i]], j - start[text_of[i]], np.concatenate([C.mix(rolling[inside]), C.mix(h[long] + np.uint64(77))])
 
 
+#: What a row is known by.
+ROW = ["doc_id", "_x"]
+
+
+def _known(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_x"), text.alias("text"), *more)
+
+
+def _same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_x"] == b["_x"])
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last, hash) of all chunks."""
+    """(doc_id, _x, first, last, hash) of all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
         for b in batches:
-            texts = C.texts_of(b.column(1))
+            texts = C.texts_of(b.column(2))
             for i, j in C.grouped(texts):
                 k, first, last, h = cut(texts[i:j])
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([b.column(0)[i:j].take(pa.array(k)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h.view(np.int64))], ["doc_id", "first", "last", "hash"])
+                    at = pa.array(k)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c)[i:j].take(at) for c in range(2)), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h.view(np.int64))], [*ROW, "first", "last", "hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, first int, last int, hash long")
+    return _known(docs).mapInArrow(run, "doc_id long, _x long, first int, last int, hash long")
 
 
 def _with_bytes(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(hash, doc_id, first, last, bytes) of the given chunks."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1).alias("lines"))
-    per = spans.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "first", "last")).alias("spans"))  # a document's own: bounded by its lines
-    rows = lines.join(per, lines.doc_id.eqNullSafe(per.doc_id)).select(lines.doc_id.alias("doc_id"), "lines", F.explode("spans").alias("s"))
-    return rows.select("s.hash", "doc_id", "s.first", "s.last", F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first")), "\n").alias("bytes"))
+    """(hash, row, first, last, bytes) of the given chunks."""
+    lines = _known(docs).withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).drop("text")
+    per = spans.groupBy(*ROW).agg(F.collect_set(F.struct("hash", "first", "last")).alias("spans"))  # a text's own: bounded by its lines
+    rows = lines.join(per, _same_row(lines, per)).select(*(lines[c] for c in ROW), "lines", F.explode("spans").alias("s"))
+    return rows.select("s.hash", *ROW, "s.first", "s.last", F.array_join(F.slice("lines", F.col("s.first") + 1, F.col("s.last") - F.col("s.first")), "\n").alias("bytes"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last) of the chunks to remove: every occurrence but the first of bytes that occur again."""
+    """(row, first, last) of the chunks to remove: every occurrence but the first of bytes that occur again."""
     found = chunks(docs)
-    many = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = C.saved(found.join(many, "hash").distinct())
-    place = F.struct("doc_id", "first", "last")
-    # Behind the first occurrence, where the two overlap (rows without an id may be different documents).
-    rest = ["doc_id", F.when(F.col("doc_id") == F.col("at.doc_id"), F.greatest("first", "at.last")).otherwise(F.col("first")).alias("first"), "last"]
+    many = C.saved(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    again = C.saved(C.spread(found, many.select("hash"), "hash", C.hot(many, "hash"), [*ROW, "first"]))
+    place = F.struct(*ROW, "first", "last")
+    # Behind the first occurrence, where the two overlap.
+    same = F.struct(*ROW).eqNullSafe(F.struct(*(F.col(f"at.{c}").alias(c) for c in ROW)))
+    rest = [*ROW, F.when(same, F.greatest("first", "at.last")).otherwise(F.col("first")).alias("first"), "last"]
     # Occurrences are brought together by their bytes and counted before they move, so that a passage of many documents stays small.
-    bytes_of = _with_bytes(docs, again).groupBy("hash", "bytes").agg(F.min(place).alias("at"))
-    checked = C.saved(bytes_of.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("at").alias("at")))
-    out = again.join(checked.where("kinds = 1"), "hash").where(~place.eqNullSafe(F.col("at"))).select(*rest)
+    bytes_of = _with_bytes(docs, again).groupBy("hash", "bytes").agg(F.min(place).alias("at"), F.count("*").alias("n"))
+    checked = C.saved(bytes_of.groupBy("hash").agg(F.count("*").alias("kinds"), F.min("at").alias("at"), F.sum("n").alias("n")))
+    out = C.spread(again, checked.where("kinds = 1").select("hash", "at"), "hash", C.hot(checked, "hash"), [*ROW, "first"]).where(~place.eqNullSafe(F.col("at"))).select(*rest)
     collided = checked.where("kinds > 1").select("hash")
     if not collided.isEmpty():  # different bytes of one hash: told apart by the bytes themselves
         rows = _with_bytes(docs, again.join(collided, "hash", "left_semi"))
@@ -102,9 +119,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, repeated chunks taken out of ``text``, and ``_removed_lines``."""
-    gone = repeated(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("gone"))  # a document's own: bounded by its lines
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
-    joined = packed.join(gone, packed.key.eqNullSafe(gone.doc_id), "left")
+    gone = repeated(docs).groupBy(*ROW).agg(F.collect_list(F.struct("first", "last")).alias("gone"))  # a text's own: bounded by its lines
+    packed = _known(docs, F.struct("*").alias("row"))
+    joined = packed.join(gone, _same_row(packed, gone), "left")
     lines = F.split("text", "\n", -1)
     keep = F.filter(lines, lambda x, i: ~F.exists(gone["gone"], lambda g: (g["first"] <= i) & (i < g["last"])))
     same = gone["gone"].isNull() | F.col("text").isNull()
