@@ -9,9 +9,17 @@ brings two into one: parts are matched in order, a part that one side lacks beco
 differs becomes a slot, and repetitions are folded again. Aligning is done page by page in every
 task, then between the tasks' results, so no host's pages are gathered.
 
-A page is then read along its host's wrapper. The wrapper tells which parts are the page's
-article and which are chrome: by element and by the words in class, id and role. If it has no article or
-main element, it is all text but chrome, text that is the same on all pages, and lists of links.
+Slots know in how many pages they were seen, how much text they held and how much of it inside links, and the hashes of texts
+that all those pages have there. From that the wrapper's parts are judged (``judged``):
+
+* The article is the article or main element that holds most of the host's text (text of chrome left out), if that is at least half of it;
+  in a host without such an element it is the whole page.
+* Within it go texts that every page of the host has there (notices, adverts, bylines of the site), unless most of the article is alike
+  in all pages, which are then copies; and elements whose text is nearly all links (menus, related pages). Both need ``MIN_PAGES`` pages.
+* What varies from page to page and is no article either (rotating adverts, comments, side notes) no alignment can tell; it goes by
+  element and by the words in class, id and role.
+
+A page is then read along its judged wrapper: text comes out only where the wrapper has a slot that stays.
 
 Defined cases: null or empty html gives the empty text; a null url belongs to the host ""; null ids and
 repeated rows are kept; a page that breaks off is read as far as it goes; text of any length is read
@@ -20,6 +28,7 @@ whole; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -39,6 +48,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 HOLDS = frozenset("ul ol menu dl table article section div main aside nav header footer form blockquote body html td th details dialog figure".split())
+LISTS = frozenset("ul ol menu dl table div section".split())
 CHROME_TAGS = frozenset("nav footer aside form dialog menu head search header".split()) | RAW
 CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu menus modal nav navbar navigation "
@@ -46,8 +56,12 @@ CHROME_WORDS = frozenset(
 )
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
-#: Texts of a slot that may be constant: so many of one page are followed. More are taken to vary.
-CONSTANTS = 40
+#: Pages of a host from which on constant texts and link lists are told by its wrapper.
+MIN_PAGES = 6
+#: Share of a host's text that its article holds at least, and of links in a list of links.
+ARTICLE_SHARE, LINKS_SHARE = 0.5, 0.9
+#: Share of constant text beyond which pages are taken for copies: in articles, and in whole pages (which have more that all pages share).
+COPIES_SHARE, COPIES_SHARE_OF_PAGE = 0.5, 0.95
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(?=/?[a-zA-Z])[^>]*$|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -154,8 +168,14 @@ def tree(source: str) -> Node:
     return root
 
 
-# A wrapper's part is [key, how often, parts] for elements, ["#", how often, constant texts] for slots (texts that every page
-# so far has there; none: all vary), and ["()", how often, parts] for a group. How often: "1", "?", "+" or "*".
+# A wrapper's part is [key, how often, parts] for elements, ["#", how often, hashes of constant texts, [characters, characters in links,
+# pages]] for slots (texts that every page seen so far has there; none: all vary), and ["()", how often, parts] for a group.
+# How often: "1", "?", "+" or "*".
+
+
+def _hash(text: str) -> int:
+    """64 bits of a digest, and behind them the length (20 bits)."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") << 20 | min(len(text), 0xFFFFF)
 
 
 def _wider(a: str, b: str) -> str:
@@ -169,13 +189,13 @@ def _keys(part: list) -> set[str]:
 def _joined(a: list, b: list, often: str, pages: bool) -> list:
     """Two parts of one key as one; ``pages``: of two pages (what is constant is in both), else of one (in either)."""
     if a[0] == "#":
-        same = [t for t in a[2] if t in b[2]] if pages else list(dict.fromkeys([*a[2], *b[2]]))[:CONSTANTS]
-        return ["#", often, same]
+        same = sorted(set(a[2]).intersection(b[2]) if pages else set(a[2]).union(b[2]))
+        return ["#", often, same, [a[3][0] + b[3][0], a[3][1] + b[3][1], a[3][2] + b[3][2] if pages else max(a[3][2], b[3][2])]]
     return [a[0], often, aligned(a[2], b[2], pages)]
 
 
 def _members(parts: list[list]) -> dict[str, list]:
-    return {x[0]: [x[0], _wider("?", x[1]), x[2]] for p in parts for x in (p[2] if p[0] == "()" else [p])}
+    return {x[0]: [x[0], _wider("?", x[1]), *x[2:]] for p in parts for x in (p[2] if p[0] == "()" else [p])}
 
 
 def _grouped(a: list[list], b: list[list], pages: bool) -> list:
@@ -204,7 +224,7 @@ def _folded(parts: list[list], pages: bool) -> list[list]:
 
 def wrapper(node: Node) -> list[list]:
     """The wrapper of one page below a node."""
-    return _folded([[p.key, "1", wrapper(p)] if isinstance(p, Node) else ["#", "1", [p[0]] if len(p[0]) < 200 else []] for p in node.parts], pages=False)
+    return _folded([[p.key, "1", wrapper(p)] if isinstance(p, Node) else ["#", "1", [_hash(p[0])], [len(p[0]), round(len(p[0]) * p[1]), 1]] for p in node.parts], pages=False)
 
 
 def aligned(a: list[list], b: list[list], pages: bool = True) -> list[list]:
@@ -214,23 +234,23 @@ def aligned(a: list[list], b: list[list], pages: bool = True) -> list[list]:
     for p in a:
         hits = sorted({at[k] for k in _keys(p) if k in at and at[k] >= done})
         if not hits:
-            out.append([p[0], _wider(p[1], "?"), p[2]])
+            out.append([p[0], _wider(p[1], "?"), *p[2:]])
             continue
-        out += [[q[0], _wider(q[1], "?"), q[2]] for q in b[done : hits[0]]]
+        out += [[q[0], _wider(q[1], "?"), *q[2:]] for q in b[done : hits[0]]]
         q = b[hits[0]]
         done = hits[0] + 1
         if p[0] == q[0] and p[0] != "()":
             out.append(_joined(p, q, _wider(p[1], q[1]), pages))
         else:
             out.append(_grouped([p], [q], pages))
-    out += [[q[0], _wider(q[1], "?"), q[2]] for q in b[done:]]
+    out += [[q[0], _wider(q[1], "?"), *q[2:]] for q in b[done:]]
     return _folded(out, pages)
 
 
 def written(parts: list[list]) -> str:
     """The wrapper as a regular expression over tags."""
     show = lambda p: {"1": ""}.get(p[1], p[1])
-    return "".join((repr(p[2][0]) if len(p[2]) == 1 else "#text") + show(p) if p[0] == "#" else f"({written(p[2])}){show(p)}" if p[0] == "()" else f"(<{p[0]}>{written(p[2])}</>){show(p)}" for p in parts)
+    return "".join(("#same" if p[2] else "#text") + show(p) if p[0] == "#" else f"({written(p[2])}){show(p)}" if p[0] == "()" else f"(<{p[0]}>{written(p[2])}</>){show(p)}" for p in parts)
 
 
 def _chrome(key: str) -> bool:
@@ -243,40 +263,124 @@ def _is_main(key: str) -> bool:
     return key.split(".")[0].split("@")[0] in ("article", "main") or key.endswith("@main")
 
 
-def _has_main(parts: list[list]) -> bool:
-    return any(p[0] != "#" and ((p[0] != "()" and _is_main(p[0])) or (_has_main(p[2]) and not (p[0] != "()" and _chrome(p[0])))) for p in parts)
+def _text(parts: list[list]) -> tuple[int, int]:
+    """Characters of all slots but those of chrome, and how many of them are inside links."""
+    n = links = 0
+    for p in parts:
+        if p[0] == "#":
+            a, b = p[3][0], p[3][1]
+        elif p[0] != "()" and _chrome(p[0]):
+            continue
+        else:
+            a, b = _text(p[2])
+        n, links = n + a, links + b
+    return n, links
+
+
+def _mains(parts: list[list]) -> Iterator[list]:
+    """The outermost article and main elements outside of chrome."""
+    for p in parts:
+        if p[0] == "#":
+            continue
+        if p[0] != "()" and _is_main(p[0]):
+            yield p
+        elif p[0] == "()" or not _chrome(p[0]):
+            yield from _mains(p[2])
+
+
+class Judged:
+    """What of a host's wrapper is text of the article: for each part by its key whether it stays, its constant texts, and its own parts."""
+
+    __slots__ = ("article", "constant", "parts", "stays")
+
+    def __init__(self, article: bool, stays: bool, constant: frozenset, parts: dict[str, Judged]):
+        self.article, self.stays, self.constant, self.parts = article, stays, constant, parts
+
+
+def judged(parts: list[list], pages: int) -> tuple[dict[str, Judged], bool]:
+    """The wrapper's parts judged, and whether the host has an article element."""
+    best = max(_mains(parts), key=lambda p: _text(p[2])[0], default=None)
+    if best is not None and _text(best[2])[0] < ARTICLE_SHARE * _text(parts)[0]:
+        best = None
+    many = pages >= MIN_PAGES
+
+    def has_copies(inner: list[list], share: float) -> bool:
+        """Whether texts that all pages have make up most of the text."""
+        slots = list(_slots(inner))
+        return sum(x & 0xFFFFF for p in slots for x in p[2]) * pages > share * sum(p[3][0] for p in slots)
+
+    constants = many and not (has_copies(best[2], COPIES_SHARE) if best is not None else has_copies(parts, COPIES_SHARE_OF_PAGE))
+
+    def down(inner: list[list], inside: bool) -> dict[str, Judged]:
+        out = {}
+        for p in inner:
+            for x in p[2] if p[0] == "()" else [p]:
+                if x[0] == "#":
+                    fixed = frozenset(x[2]) if constants and x[3][2] >= MIN_PAGES else frozenset()
+                    out["#"] = Judged(False, inside, fixed, {})
+                    continue
+                article = x is best or (best is not None and x[0] == best[0] and not inside and _is_main(x[0]))
+                within = inside or article
+                title = x[0].split(".")[0].split("@")[0] == "header" and within and best is not None and CHROME_WORDS.isdisjoint(x[0].split("@")[0].split(".")[1:])
+                n, links = _text(x[2])
+                listing = many and within and not article and x[0].split(".")[0].split("@")[0] in LISTS and links >= LINKS_SHARE * max(1, n) and _pages(x[2]) >= MIN_PAGES
+                out[x[0]] = Judged(article, (not _chrome(x[0]) or title) and not listing, frozenset(), down(x[2], within))
+        return out
+
+    return down(parts, best is None), best is not None
+
+
+def _slots(parts: list[list]) -> Iterator[list]:
+    for p in parts:
+        if p[0] == "#":
+            yield p
+        elif p[0] == "()" or not _chrome(p[0]):
+            yield from _slots(p[2])
+
+
+def _pages(parts: list[list]) -> int:
+    return max((p[3][2] for p in _slots(parts)), default=0)
 
 
 class Reader:
     """Reads pages along one wrapper of ``pages`` pages."""
 
     def __init__(self, parts: list[list], pages: int):
-        self.parts, self.pages, self.main = parts, pages, _has_main(parts)
+        self.parts, self.has_article = judged(parts, pages)
+        # A page that lacks the article its host otherwise has is read like those of hosts without one.
+        self.plain = _without_article(parts) if self.has_article else self.parts
 
     def read(self, source: str) -> str:
         page = tree(source)
-        # A page that lacks the article its host otherwise has is read like those of hosts without one.
-        found = self.main and self._contains(page)
         blocks: list[str] = []
-        self._walk(page, self.parts, not found, found, blocks)
+        found = self.has_article and self._holds(page, self.parts)
+        self._walk(page, self.parts if found else self.plain, blocks, found)
         return " ".join(blocks)
 
-    def _contains(self, node: Node) -> bool:
-        return any(isinstance(p, Node) and not _chrome(p.key) and (_is_main(p.key) or self._contains(p)) for p in node.parts)
+    def _holds(self, node: Node, parts: dict[str, Judged]) -> bool:
+        for p in node.parts:
+            if isinstance(p, Node) and (q := parts.get(p.key)) is not None and (q.article or q.stays and self._holds(p, q.parts)):
+                return True
+        return False
 
-    def _walk(self, node: Node, parts: list[list], inside: bool, found: bool, blocks: list[str]) -> None:
-        slots = {x[0]: x for p in parts for x in (p[2] if p[0] == "()" else [p])}
+    def _walk(self, node: Node, parts: dict[str, Judged], blocks: list[str], found: bool) -> None:
+        slot = parts.get("#")
         for p in node.parts:
-            slot = slots.get(p.key if isinstance(p, Node) else "#")
             if isinstance(p, Node):
-                within = inside or (found and _is_main(p.key))
-                header = p.tag == "header" and within and found  # an article's own header holds its title
-                if not _chrome(p.key) or header and CHROME_WORDS.isdisjoint(p.key.split(".")[1:]):
-                    self._walk(p, slot[2] if slot else [], within, found, blocks)
-            elif inside:
-                fixed = not found and slot is not None and p[0] in slot[2] and self.pages >= 3
-                if not fixed and (found or p[1] < 0.9):
-                    blocks.append(p[0])
+                q = parts.get(p.key)
+                if q is not None and q.stays:
+                    self._walk(p, q.parts, blocks, found)
+            elif slot is not None and slot.stays and (not slot.constant or _hash(p[0]) not in slot.constant) and (found or p[1] < LINKS_SHARE):
+                blocks.append(p[0])
+
+
+def _without_article(parts: list[list]) -> dict[str, Judged]:
+    """Judged as if no element were an article: all that is not chrome stays."""
+    out = {}
+    for p in parts:
+        for x in p[2] if p[0] == "()" else [p]:
+            out[x[0]] = Judged(False, True, frozenset(), {}) if x[0] == "#" else Judged(False, not _chrome(x[0]), frozenset(), _without_article(x[2]))
+    return out
 
 
 def _host(url) -> F.Column:
