@@ -6,6 +6,8 @@ them; a text's mask is the union of the rules that match, and a text with a mask
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,26 +41,26 @@ YOU = f"{L}you(?:{G}{W}){{0,2}}{G}"
 NO_TALE = f"(?!{G}(?:to{G})?{_any(TALES)}{R})"
 METATEXT = f"(?i)({L}the{G}design{G}(?:goal|purpose){G}is)[^A-Za-z]*:[^A-Za-z]*"
 
-#: (bit, pattern) of the rules that look at a whole text.
+#: (bit, pattern, texts one of which must occur in lower case) of the rules that look at a whole text. Most texts lack them, and are not matched.
 RULES = [
-    (OBLIGATION, f"(?i){YOU}(?:{DUTY}{R}(?!{G}not{R})|should{R}){NO_TALE}"),
-    (FORBIDDEN, f"(?i){YOU}(?:(?:{DUTY}|may|can){R}{NOT}|(?:never|cannot){R}){NO_TALE}"),
-    (PERMITTED, f"(?i){YOU}may{R}(?!{G}not{R}){NO_TALE}"),
-    (OBLIGATION, f"(?i){START}you{G}(?:are|speak|reference|ask){R}"),
-    (OBLIGATION, f"(?i){START}{_any(LABELS)}{R}(?:{COLON}|{G}{W}{COLON})"),
-    (OBLIGATION, START + _any(f"{a}{G}{b}" for a, b in FIELDS) + R + COLON),
-    (OBLIGATION, f"{START}ON(?:{G}[A-Z]+{R}){{1,3}}[^A-Za-z]*->[^A-Za-z]*(?=[A-Za-z])"),
-    (OBLIGATION, f"(?i){START}every(?:{G}{W}){{0,4}}{G}(?:{DUTY}|should){R}"),
-    (OBLIGATION, f"(?i){START}(?:always|please|strictly){G}{V}"),
-    (OBLIGATION, f"(?i){START}default{G}requirement{COLON}(?:{V}|every{R})"),
-    (OBLIGATION, f"(?i){START}don{G}t{G}forget{R}"),
-    (OBLIGATION, f"(?i){START}{V}"),
-    (OBLIGATION, f"(?i){START}(?:{_any(SUBJECTS)}{R}|(?:all(?={G}work{R})|the(?={G}system{R})))(?:{G}{W}){{0,3}}{G}(?:{DUTY}{R}|should{G}be{G}{V})"),
-    (OBLIGATION, f"(?i){L}but{G}{V}"),
-    (OBLIGATION, f"(?i)[A-Za-z][^A-Za-z]*,{V}"),
-    (FORBIDDEN, f"(?i){START}(?:do{G}not|never){G}{V}"),
-    (FORBIDDEN, f"(?i){START}no{G}{W}"),
-    (FORBIDDEN, f"(?i){START}bid(?:{G}{W}){{0,5}}{G}(?:prohibited|forbidden){R}"),
+    (OBLIGATION, f"(?i){YOU}(?:{DUTY}{R}(?!{G}not{R})|should{R}){NO_TALE}", ("you",)),
+    (FORBIDDEN, f"(?i){YOU}(?:(?:{DUTY}|may|can){R}{NOT}|(?:never|cannot){R}){NO_TALE}", ("you",)),
+    (PERMITTED, f"(?i){YOU}may{R}(?!{G}not{R}){NO_TALE}", ("may",)),
+    (OBLIGATION, f"(?i){START}you{G}(?:are|speak|reference|ask){R}", ("you",)),
+    (OBLIGATION, f"(?i){START}{_any(LABELS)}{R}(?:{COLON}|{G}{W}{COLON})", (":",)),
+    (OBLIGATION, START + _any(f"{a}{G}{b}" for a, b in FIELDS) + R + COLON, (":",)),
+    (OBLIGATION, f"{START}ON(?:{G}[A-Z]+{R}){{1,3}}[^A-Za-z]*->[^A-Za-z]*(?=[A-Za-z])", ("->",)),
+    (OBLIGATION, f"(?i){START}every(?:{G}{W}){{0,4}}{G}(?:{DUTY}|should){R}", ("every",)),
+    (OBLIGATION, f"(?i){START}(?:always|please|strictly){G}{V}", ("always", "please", "strictly")),
+    (OBLIGATION, f"(?i){START}default{G}requirement{COLON}(?:{V}|every{R})", ("default",)),
+    (OBLIGATION, f"(?i){START}don{G}t{G}forget{R}", ("forget",)),
+    (OBLIGATION, f"(?i){START}{V}", ()),
+    (OBLIGATION, f"(?i){START}(?:{_any(SUBJECTS)}{R}|(?:all(?={G}work{R})|the(?={G}system{R})))(?:{G}{W}){{0,3}}{G}(?:{DUTY}{R}|should{G}be{G}{V})", ()),
+    (OBLIGATION, f"(?i){L}but{G}{V}", ("but",)),
+    (OBLIGATION, f"(?i)[A-Za-z][^A-Za-z]*,{V}", (",",)),
+    (FORBIDDEN, f"(?i){START}(?:do{G}not|never){G}{V}", ("not", "never")),
+    (FORBIDDEN, f"(?i){START}no{G}{W}", ("no",)),
+    (FORBIDDEN, f"(?i){START}bid(?:{G}{W}){{0,5}}{G}(?:prohibited|forbidden){R}", ("bid",)),
 ]
 #: After "if": the first clause, of up to 14 words on, that tells to do something; what it begins with tells which.
 CONDITIONAL = rf"(?i){START}if(?:{G}{W}){{0,13}}?[^A-Za-z]*[,;:][ \t\r\n]*(?=(?:make{G}sure{G}to{G}{V}|do{G}not{G}{V}|{V}))([A-Za-z]+)"
@@ -67,14 +69,21 @@ LEAD_IN = f"(?i){L}(?:to{G}get|if{G}you{G}(?:need|hit)|the{G}tests{G}are){R}"
 SENTENCE = r"[.\n][ \t\r]*(?=[A-Za-z])"
 
 
+def _holds(low: Column, texts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in texts]) if texts else F.lit(True)
+
+
 def mask(text: Column) -> Column:
     """The modality mask of a text; 0 for null."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), METATEXT, "$1 ")
+    low = F.lower(plain)
     out = F.lit(0)
-    for bit, pattern in RULES:
-        out = out.bitwiseOR(F.when(plain.rlike(pattern), bit).otherwise(0))
-    heads = F.transform(F.regexp_extract_all(plain, F.lit(CONDITIONAL), F.lit(1)), F.lower)
+    for bit, pattern, texts in RULES:
+        out = out.bitwiseOR(F.when(_holds(low, texts) & plain.rlike(pattern), bit).otherwise(0))
+    none = F.array().cast("array<string>")
+    heads = F.when(_holds(low, ("if",)), F.transform(F.regexp_extract_all(plain, F.lit(CONDITIONAL), F.lit(1)), F.lower)).otherwise(none)
     out = out.bitwiseOR(F.when(F.exists(heads, lambda h: h != "do"), OBLIGATION).otherwise(0)).bitwiseOR(F.when(F.exists(heads, lambda h: h == "do"), FORBIDDEN).otherwise(0))
     told = F.transform(F.filter(F.split(plain, SENTENCE), lambda s: s.rlike(LEAD_IN)), lambda s: F.regexp_replace(s, f"(?s)^.*?{LEAD_IN.replace('(?i)', '(?i:')})", ""))
+    told = F.when(_holds(low, ("get", "you", "tests")), told).otherwise(none)
     out = out.bitwiseOR(F.when(F.exists(told, lambda s: s.rlike(f"(?i){L}{V}")), OBLIGATION).otherwise(0))
     return out.bitwiseOR(F.when(F.exists(told, lambda s: s.rlike(f"(?i){L}don{G}t{G}{V}")), FORBIDDEN).otherwise(0))
