@@ -62,10 +62,15 @@ class Store:
             raise Conflict(f"version {expected} is no longer the newest")
         path = self._path(self._marker(expected + 1))
         self._fs.mkdirs(path.getParent())
+        # The claim is made once, by one writer; the marker gets its name only when it is whole, so a reader never sees a part of it.
         try:
-            out = self._fs.create(path, False)  # never over an existing marker
+            self._fs.create(self._path(f"{self._marker(expected + 1)}.claim"), False).close()
         except Exception as e:
-            raise Conflict(f"version {expected + 1} was made by another") from e
+            raise Conflict(f"version {expected + 1} was claimed by another") from e
+        part = self._path(f"{self._marker(expected + 1)}.{uuid.uuid4().hex}.part")
+        out = self._fs.create(part, False)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
+        if not self._fs.rename(part, path):
+            raise Conflict(f"version {expected + 1} could not be named")
         return expected + 1

@@ -18,6 +18,8 @@ QUERIES, ORACLE_SQL, query = registry()
 def _folder(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of this machine only where none is named (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/streams" if root else "file://" + tempfile.mkdtemp(prefix="spark-streams-")
 
 

@@ -63,3 +63,17 @@ def test_authored_dreams_and_journal(spark, tmp_path):
     assert [r.id for r in m.list_collection("dream:u").collect()] == ["d#dream#000000"]
     m.hint(spark.createDataFrame([(f"h{i}", i, "s", "start", None) for i in range(9)], "id string, ts_ms long, session_id string, hook string, reason string"), 5)
     assert [r.id for r in m.journal("s", 2).collect()] == ["h4", "h5"]
+
+
+def test_ingest_marks_each_turn_by_its_own_user(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}")
+    m.insert(spark.createDataFrame([("user:u1", "m1", "i prefer the harbour"), ("turns:u1", "t1", "i prefer the harbour")], "collection string, id string, text string"))
+    rows = [("s", "a", "i prefer the harbour", "user", 1, "u1", 0.5), ("s", "b", "i prefer the harbour", "user", 2, "u2", 0.5), ("s", "c", "noted", "assistant", 3, "u1", 0.2)]
+    df = spark.createDataFrame(rows, TURN)
+    got = {r.id: r for r in m.gate(df.where("role = 'user'")).collect()}
+    assert got["a"].h == pytest.approx(0.0) and got["b"].h == 1.0 and got["a"].d == got["b"].d == pytest.approx(0.4)
+    m.ingest(df)
+    kept = {r.collection: r for r in m.records().where("id like 'u_:%'").collect()}
+    assert set(kept) == {"user:u1", "user:u2"}
+    assert float(kept["user:u2"].metadata["gating_h"]) == 1.0 and float(kept["user:u1"].metadata["stability_weight"]) == 0.5
+    assert {r.scope: r.n for r in m.status().collect()} == {"session": 3, "session_raw": 3, "turns": 3, "user": 3}
