@@ -195,30 +195,57 @@ class Transducer:
         return chains[0][:same]
 
 
-class Utf8:
-    """UTF-8 read piece by piece: whole code points come out, an unfinished one waits for the next bytes.
+def _utf8_steps() -> list[bytes]:
+    """The machine's steps: for each state and byte the next state. Between code points it is in state 0; ``_NONE`` is no step.
 
-    Bytes that can't be part of UTF-8 become U+FFFD, as ``errors="replace"`` has it.
+    States 1, 2 and 3 wait for so many bytes of any kind that may follow; 4 to 7 come behind the first bytes
+    after which the next byte is limited: E0 (no shorter form), ED (no surrogates), F0 (no shorter form) and F4 (no more than U+10FFFF).
     """
+    steps = [bytearray([_NONE]) * 256 for _ in range(8)]
+    for state, low, high, to in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        steps[state][low : high + 1] = bytes([to]) * (high + 1 - low)
+    for low, high, to in ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7)):
+        steps[0][low : high + 1] = bytes([to]) * (high + 1 - low)
+    return [bytes(x) for x in steps]
+
+
+_NONE = 8
+_STEPS = _utf8_steps()
+
+
+class Utf8:
+    """UTF-8 read byte by byte: a code point comes out with its last byte, what is unfinished is kept as the state.
 
-    #: Bytes that follow a first byte of each kind.
-    _FOLLOW = bytes(0 if b < 0xC2 or b > 0xF4 else 1 if b < 0xE0 else 2 if b < 0xF0 else 3 for b in range(256))
+    Bytes that can't be part of UTF-8 become U+FFFD, one for each longest beginning of a code point, as ``errors="replace"`` has it.
+    """
 
     def __init__(self):
-        self.waiting = b""
+        self.state = self.code = 0
 
     def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.waiting + data
-        cut = len(data)
-        if not last:
-            for back in range(1, min(4, len(data)) + 1):
-                byte = data[-back]
-                if byte & 0xC0 != 0x80:
-                    if self._FOLLOW[byte] >= back:
-                        cut -= back
-                    break
-        self.waiting = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        out, state, code = [], self.state, self.code
+        for byte in data:
+            to = _STEPS[state][byte]
+            if to == _NONE:
+                out.append("\ufffd")
+                if state == 0:
+                    continue
+                state, to = 0, _STEPS[0][byte]
+                if to == _NONE:
+                    out.append("\ufffd")
+                    continue
+            if state:
+                code = code << 6 | byte & 0x3F
+            else:
+                code = byte if byte < 0x80 else byte & (0x1F if byte < 0xE0 else 0x0F if byte < 0xF0 else 0x07)
+            state = to
+            if state == 0:
+                out.append(chr(code))
+        if last and state:
+            out.append("\ufffd")
+            state = 0
+        self.state, self.code = state, code
+        return "".join(out)
 
 
 class Codec:
@@ -234,6 +261,8 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.spoken = [str(i) for i in range(max(self.merges.bytes) + 1)]
         self.bytes = [self.merges.bytes.get(i, b"") for i in range(max(self.merges.bytes) + 1)]
+        # The text of each token that begins and ends between code points; other tokens take the machine byte by byte.
+        self.whole = [_text_of(x) for x in self.bytes]
 
     def _unit(self, unit: str) -> bytes:
         ids: list[bytes] = []
@@ -271,15 +300,25 @@ class Codec:
         return b"".join(map(self.bytes.__getitem__, ids))
 
     def decode_stream(self, parts: Iterable[Iterable[int]]) -> Iterator[str]:
-        """Text of ids that come in parts; a code point cut by a part's end comes with the next."""
-        machine = Utf8()
+        """Text of ids that come in parts; a code point cut by a token's or a part's end comes with the next."""
+        machine, whole = Utf8(), self.whole
         for ids in parts:
-            if text := machine.feed(self.decode(ids)):
+            texts = [whole[i] for i in ids]
+            if machine.state or None in texts:
+                texts = [t if t is not None and not machine.state else machine.feed(self.bytes[i]) for t, i in zip(texts, ids, strict=True)]
+            if text := "".join(texts):
                 yield text
         if text := machine.feed(b"", last=True):
             yield text
 
 
+def _text_of(token: bytes) -> str | None:
+    try:
+        return token.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def codec(path: str, pattern: str) -> Codec:
     """One for each worker process."""
     return C.hold(("bpe", path, pattern), lambda: Codec(path, pattern))
@@ -310,8 +349,8 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
     return coded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, with_text: bool = False) -> DataFrame:
-    """Per document n_tokens, ids_sha256 and decoded_sha256; ``with_text``: the decoded text as well."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_text: bool = False, part: int = 65_536) -> DataFrame:
+    """Per document n_tokens, ids_sha256 and decoded_sha256; ``with_text``: the decoded text as well. Ids are decoded as a stream, in parts."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", text string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,12 +361,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_text: bool = False
                 n, spoken, back, out = [], [], [], []
                 for t in texts[i:j]:
                     ids = c.encode(t).tolist()
-                    data = c.decode(ids)
                     n.append(len(ids))
                     spoken.append(hashlib.sha256(",".join(map(c.spoken.__getitem__, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(data).hexdigest())
+                    digest, read = hashlib.sha256(), []
+                    for text in c.decode_stream(ids[k : k + part] for k in range(0, len(ids), part)):
+                        digest.update(text.encode())
+                        if with_text:
+                            read.append(text)
+                    back.append(digest.hexdigest())
                     if with_text:
-                        out.append("".join(Utf8().feed(data, last=True)))
+                        out.append("".join(read))
                 arrays = [b.column(0)[i:j], pa.array(n, pa.int64()), pa.array(spoken, pa.string()), pa.array(back, pa.string()), *([pa.array(out, pa.string())] if with_text else [])]
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
 
