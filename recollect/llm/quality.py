@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: int
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(features(C.texts_of(b.column(0))).tolist(), pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "fold"])
 
-    rows = C.saved(texts.select("text", "quality", fold(F.col("doc_id")).cast("int").alias("fold")).mapInArrow(run, "x array<double>, y int, fold int").coalesce(8))
+    rows = C.saved(texts.select("text", "quality", fold(F.col("doc_id")).cast("int").alias("fold")).mapInArrow(run, "x array<double>, y int, fold int").repartition(8))  # at most ``most`` rows; the scan before it keeps its width
     d = len(NAMES)
     sums = _summed(rows, lambda x, y, f: np.concatenate([[len(x), y.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
     rng = np.random.default_rng(seed)
