@@ -254,15 +254,17 @@ def hot(counted: DataFrame, key: str, n: str = "n") -> list:
     return [r[0] for r in counted.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key).collect()]
 
 
-def spread(rows: DataFrame, few: DataFrame, key: str, hot_keys: list, by: list[str]) -> DataFrame:
+def spread(rows: DataFrame, few: DataFrame, key: str, hot_keys: list, by: list[str], how: str = "inner", always: bool = False) -> DataFrame:
     """``rows`` joined with ``few``, which has one row a key. Rows of a hot key are dealt by their columns ``by``, each part with a copy of its row of ``few``.
 
-    The plan is the same with and without hot keys (a null, which equals none, stands for an empty list).
+    Without hot keys it is a plain join, unless the plan is to be ``always`` the same (a null, which equals none, stands for an empty list then).
     """
+    if not hot_keys and not always:
+        return rows.join(few, key, how)
     listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot_keys or [None]], StructType([StructField(key, rows.schema[key].dataType)]))).withColumn("_hot", F.lit(True))  # HOT_KEYS at most
     dealt = rows.join(listed, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(few.join(listed, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"]).drop("_salt")
+    return dealt.join(few.join(listed, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
 #: Edges that a partition of a component search holds at least, if there are as many.

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import ngram_join
 
 PERMUTATIONS = 128
 #: 32 bands of 4: a pair at similarity 0.8 shares one with probability 1 - (1 - 0.8**4)**32, over 0.9999999.
@@ -114,35 +115,18 @@ def with_following(docs: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "text", "_guard", "_in").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Near copies by signature bands: rows (doc_id, near_id, likeness), each document with the least id it is alike to.
+def near_classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """Near copies by signature bands: per document class_id, text_id, n_copies and n_links, as ``ngram_join.classes`` has them.
 
-    Documents with equal fingerprints count as one, whose least id stands for it. In
-    each bucket of a band every fingerprint meets the bucket's least id only, so a
-    bucket of n makes n - 1 candidates; likeness is then taken over the shingle
-    sets themselves (exact Jaccard), and those at ``least`` or more stay.
+    Different texts whose signatures agree in a band share a bucket. Of a bucket all pairs are compared by
+    signature, in tiles; what hangs together is verified by exact Jaccard over the shingle sets, pair by pair and in
+    tiles too. Tiles return counts and spanning forests, so no pair is given out and no link is lost to a stand-in.
     """
-    signed = C.saved(fingerprint(docs).where("doc_id is not null"))
-    stand = signed.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    raw = F.unbase64("fingerprint")
-    bytes_each = 2 * PERMUTATIONS // BANDS
-    bands = stand.select("doc_id", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring(raw, 1 + i * bytes_each, bytes_each)) for i in range(BANDS)])).alias("bucket"))
-    least_id = bands.groupBy("bucket").agg(F.min("doc_id").alias("near_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    links = bands.join(least_id, "bucket").where("doc_id > near_id").select("doc_id", "near_id").distinct()
-    same = signed.join(stand.withColumnRenamed("doc_id", "near_id"), "fingerprint").where("doc_id > near_id").select("doc_id", "near_id")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["doc_id"])
-    pairs = links.unionByName(same).join(text, "doc_id").join(text.select(F.col("doc_id").alias("near_id"), F.col("text").alias("near_text")), "near_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        C.release()
-        for b in batches:
-            likeness = []
-            for x, y in zip(C.texts_of(b.column("text")), C.texts_of(b.column("near_text")), strict=True):
-                words, first, _, _ = C.word_hashes([x, y])
-                s, at = C.shingle_hashes(words, first)
-                u, v = np.unique(s[: at[1]]), np.unique(s[at[1] :])
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                likeness.append(both / (len(u) + len(v) - both) if len(u) + len(v) else 1.0)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("near_id"), pa.array(likeness, pa.float64())], ["doc_id", "near_id", "likeness"])
-
-    return pairs.mapInArrow(run, "doc_id long, near_id long, likeness double").where(F.col("likeness") >= least)
+    stand = ngram_join.stands(docs, C.permutations(PERMUTATIONS), bits=16)
+    size = 2 * PERMUTATIONS // BANDS
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", 1 + i * size, size)) for i in range(BANDS)])).alias("bucket")
+    bands = stand.where("sketch is not null").select("id", bucket)
+    counted = C.saved(bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least"), F.max("id").alias("most")).where("n > 1"))
+    once = counted.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket", "n")  # of buckets of the same texts, one
+    near = C.spread(bands, once, "bucket", C.hot(counted, "bucket"), ["id"])
+    return ngram_join.of_documents(docs, ngram_join.with_classes(docs, stand, near.select("id", "bucket", "n"), "<u2", least))

@@ -15,13 +15,13 @@ shingle sets. Neither step gives out pairs: a tile of a bucket returns a spannin
 forest and counts, so a group of n near copies makes about n rows. Large buckets and groups
 are cut into tiles of ``TILE`` sets against ``TILE`` sets, each a unit of work.
 
-Equal texts are one set, its class; results have a row for each document.
+Equal texts are one set, numbered once and written down before the join begins; results have a row for each document.
+What belongs to a text is joined by the text's digest, never by doc_id, so different texts under one id stay apart.
 
-Defined cases: a null text counts as empty; texts without words make one class, linked to
-nothing else; a text of fewer than five words has one shingle of all its words; rows with a
-null doc_id are left out (they have no name to be linked by); repeated rows of one doc_id
-count as one document each, in the class of its text; an empty table gives no rows;
-further columns are ignored by ``classes`` and kept by ``one_of_each``.
+Defined cases: a null text counts as empty; texts without words make one class, linked to nothing else; a text of fewer
+than five words has one shingle of all its words; rows without a doc_id have results like all others, but give no class
+its name unless no row of it has one (then it is null); repeated rows of one doc_id count as one document each, in the
+class of their text; an empty table gives no rows; further columns are ignored by ``classes`` and kept by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -44,6 +44,8 @@ SPLIT = 0.8
 #: Standard error of an estimate at 0.8 is 0.035: a pair at the threshold falls below with probability 1e-5.
 LIKELY = 0.65
 TILE = 256
+#: Stands for a doc_id that is null.
+NO_ID = -(1 << 63)
 
 
 def _hashed(*xs) -> np.ndarray:
@@ -53,9 +55,9 @@ def _hashed(*xs) -> np.ndarray:
     return h
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, perms: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 32) -> DataFrame:
     """Rows (doc_id, key, sketch): key is the text's SHA-256, sketch its MinHash tokens (null without words)."""
-    perms = C.permutations(SKETCH, seed=23)
+    perms = perms or C.permutations(SKETCH, seed=23)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         C.release()
@@ -64,11 +66,17 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i, j in C.grouped(texts):
                 words, first, _, _ = C.word_hashes(texts[i:j])
                 s, at = C.shingle_hashes(words, first)
-                signs = C.signatures(s, at, perms)
+                signs = C.signatures(s, at, perms, bits)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array([x.tobytes() if n else None for x, n in zip(signs, np.diff(at), strict=True)], pa.binary())], ["doc_id", "key", "sketch"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).where("doc_id is not null").mapInArrow(run, "doc_id long, key binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).mapInArrow(run, "doc_id long, key binary, sketch binary")
+
+
+def stands(docs: DataFrame, perms: tuple[np.ndarray, np.ndarray] | None = None, bits: int = 32) -> DataFrame:
+    """A row for each different text: key, least_id, sketch, n_copies, and id, its number. Checkpointed, so that numbers stay as they are."""
+    stand = sketches(docs, perms, bits).groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("sketch").alias("sketch"), F.count("*").alias("n_copies"))
+    return C.saved(stand.withColumn("id", F.monotonically_increasing_id()))
 
 
 def _first_buckets(sets: DataFrame) -> DataFrame:
@@ -106,12 +114,13 @@ def leaves(sets: DataFrame) -> DataFrame:
         counted = C.saved(frontier.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least"), F.max("id").alias("most")).where("n > 1"))
         done = counted if depth == DEPTH - 1 else counted.where(F.col("n") <= SMALL)
         done = done.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket"))
-        part = frontier.join(done.select("bucket", "n"), "bucket")
+        done = done.select("bucket", "n")  # of up to SMALL sets each, but at the last depth
+        part = frontier.join(done, "bucket") if depth < DEPTH - 1 else C.spread(frontier, done, "bucket", C.hot(counted, "bucket"), ["id"], always=True)
         found = part if found is None else found.unionByName(part)
         if depth == DEPTH - 1:
             break
         large = counted.where(F.col("n") > SMALL).select("bucket")
-        frontier = _split(frontier.join(large, "bucket").join(sets, "id"))
+        frontier = _split(C.spread(frontier, large, "bucket", C.hot(counted, "bucket"), ["id"], always=True).join(sets, "id"))
     return found.select("id", "bucket", "n")
 
 
@@ -157,8 +166,7 @@ def _by_tile(rows: DataFrame, value: str, compare: Callable, schema: str) -> Dat
                     if len(out) > 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
                         out = []
-                if not held or held[-1][0] != i:  # a repeated row of one id and text
-                    held.append((i, v, s))
+                held.append((i, v, s))
         if len(held) > 1:
             out += compare(*zip(*held, strict=True))
         if out:
@@ -173,17 +181,22 @@ def _pairs_to_see(sides: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray] | Non
     return None if s[0] < 0 else (np.flatnonzero(s == s[0]), np.flatnonzero(s != s[0]))
 
 
-def _likely(ids: tuple, values: tuple, sides: tuple) -> list[tuple[int, int]]:
-    sketch = np.frombuffer(b"".join(values), "<u4").reshape(-1, SKETCH)
-    blocks = _pairs_to_see(sides)
-    left, right = blocks or (np.arange(len(ids)),) * 2
-    a, b = [], []
-    for k, i in enumerate(left.tolist()):
-        others = right[k + 1 :] if blocks is None else right
-        near = others[(sketch[others] == sketch[i]).sum(axis=1) >= LIKELY * SKETCH]
-        a.append(np.full(len(near), i))
-        b.append(near)
-    return [(ids[x], ids[y]) for x, y in _forest(len(ids), np.concatenate(a), np.concatenate(b))]
+def _likely(kind: str) -> Callable:
+    """(a, b): a forest of the pairs of a tile whose sketches agree in ``LIKELY`` of their values or more."""
+
+    def compare(ids: tuple, values: tuple, sides: tuple) -> list[tuple[int, int]]:
+        sketch = np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
+        blocks = _pairs_to_see(sides)
+        left, right = blocks or (np.arange(len(ids)),) * 2
+        a, b = [], []
+        for k, i in enumerate(left.tolist()):
+            others = right[k + 1 :] if blocks is None else right
+            near = others[(sketch[others] == sketch[i]).sum(axis=1) >= LIKELY * sketch.shape[1]]
+            a.append(np.full(len(near), i))
+            b.append(near)
+        return [(ids[x], ids[y]) for x, y in _forest(len(ids), np.concatenate(a), np.concatenate(b))]
+
+    return compare
 
 
 def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1 << 13) -> np.ndarray:
@@ -229,40 +242,68 @@ def _linked(least: float) -> Callable:
     return compare
 
 
-def linked(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(membership, counts, labels): (doc_id, id) with id the least doc_id of an equal text; (id, n_links); (id, class_id)."""
-    stand = sketches(docs).groupBy("key").agg(F.min(F.struct("doc_id", "sketch")).alias("m"), F.count("*").alias("n_copies"))
-    stand = C.saved(stand.select("key", F.col("m.doc_id").alias("id"), F.col("m.sketch").alias("sketch"), "n_copies"))
-    sets = stand.where("sketch is not null").select("id", "sketch")
-    near = leaves(sets)
-    blocks = F.ceil(F.col("n") / (2 * TILE))
-    likely = _by_tile(_tiled(near, "bucket", blocks).join(sets, "id"), "sketch", _likely, "a long, b long")
-    groups = C.saved(C.components(likely).select(F.col("node").alias("id"), F.col("label").alias("group")))
+def _text(docs: DataFrame, *more: Column) -> DataFrame:
+    """(key, doc, text) of each row: the text's digest, and the doc_id, which is the least long where it is null."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text")).where("id is not null")
-    sized = groups.groupBy("group").agg(F.count("*").alias("n"))
+    return docs.select(F.unhex(F.sha2(text, 256)).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), text.alias("text"), *more)
+
+
+def linked(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """A row for each different text: key (its SHA-256), least_id (least doc_id of its documents, null if none has one), n_copies,
+    n_links (texts at ``least`` or more), class_id (least doc_id of all texts that hang together), and kept (whether the text stands for
+    its class: the one that class_id is of; by key, if ids tie or there are none)."""
+    stand = stands(docs)
+    near = leaves(stand.where("sketch is not null").select("id", "sketch"))
+    return with_classes(docs, stand, near, "<u4", least)
+
+
+def with_classes(docs: DataFrame, stand: DataFrame, near: DataFrame, kind: str, least: float) -> DataFrame:
+    """``linked`` from the texts (key, id, least_id, sketch of values of a ``kind``, n_copies) and buckets (id, bucket, n) in which to look for links."""
+    blocks = F.ceil(F.col("n") / (2 * TILE))
+    hints = _by_tile(_tiled(near, "bucket", blocks).join(stand.where("sketch is not null").select("id", "sketch"), "id"), "sketch", _likely(kind), "a long, b long")
+    groups = C.saved(C.components(hints).select(F.col("node").alias("id"), F.col("label").alias("group")))
+    sized = C.saved(groups.groupBy("group").agg(F.count("*").alias("n")))
+    groups = C.saved(C.spread(groups, sized, "group", C.hot(sized, "group"), ["id"]))
+    named = groups.select("id").join(stand.select("id", "key", F.coalesce("least_id", F.lit(NO_ID)).alias("doc")), "id")
+    # One row of each text in a group; rows of one id and text are already together.
+    texts = _text(docs).join(named, ["key", "doc"]).groupBy("key", "doc", "id").agg(F.first("text").alias("text")).select("id", "text")
     cut = F.greatest(F.ceil(F.col("n") / TILE), F.lit(1))
-    out = C.saved(_by_tile(_tiled(groups.join(sized, "group").join(stand.select("id", "key"), "id"), "group", cut).join(texts, ["id", "key"]), "text", _linked(least), "id long, other long, n_links long"))
+    out = C.saved(_by_tile(_tiled(groups, "group", cut).join(texts, "id"), "text", _linked(least), "id long, other long, n_links long"))
     counts = out.where("other < 0").groupBy("id").agg(F.sum("n_links").alias("n_links"))
-    labels = C.components(out.where("other >= 0").select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("class_id"))
-    return texts.select(F.col("id").alias("doc_id"), "key").join(stand.select("key", "id", "n_copies"), "key").drop("key"), counts, labels
+    labels = C.components(out.where("other >= 0").select(F.col("id").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("id"), F.col("label").alias("class"))
+    rank = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("doc"), F.col("key").alias("key"))
+    members = C.saved(labels.join(stand.select("id", "key", "least_id"), "id").select("id", "class", rank.alias("rank")))
+    best = C.saved(members.groupBy("class").agg(F.min("rank").alias("best"), F.count("*").alias("n")))
+    found = C.spread(members, best.select("class", "best"), "class", C.hot(best, "class"), ["id"]).join(counts, "id").select("id", "best", "n_links")
+    own = F.coalesce(F.col("best"), rank)
+    every = stand.select("id", "key", "least_id", "n_copies").join(found, "id", "left")
+    return every.select("key", "least_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), own["doc"].alias("class_id"), (own["key"] == F.col("key")).alias("kept"))
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Per document: class_id (least doc_id of all that hang together by links or equal text), text_id (least doc_id of its
     text), n_copies (documents of its text), n_links (different texts at ``least`` or more to its text)."""
-    members, counts, labels = linked(docs, least)
-    out = members.join(counts.join(labels, "id"), "id", "left")
-    return out.select("doc_id", F.coalesce("class_id", "id").alias("class_id"), F.col("id").alias("text_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return of_documents(docs, linked(docs, least))
+
+
+def of_documents(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The results of ``linked`` for each document."""
+    texts = C.saved(texts)
+    few = texts.select("key", "class_id", F.col("least_id").alias("text_id"), "n_copies", "n_links")
+    rows = _text(docs).select("key", F.col("doc"))
+    out = C.spread(rows, few, "key", C.hot(texts, "key", "n_copies"), ["doc"])
+    return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "class_id", "text_id", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The documents, with all their columns, that have the least doc_id of their class; documents without an id stay."""
-    key = F.col("doc_id").cast("long")
-    gone = classes(docs, least).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, key == gone["_gone"], "left_anti")
-    again = C.saved(docs.groupBy(key.alias("_again")).agg(F.count("*").alias("n")).where("_again is not null and n > 1").select("_again"))
-    if again.isEmpty():
-        return left
-    once = left.join(again, key == again["_again"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, key == again["_again"], "left_anti").unionByName(once)
+    """Of each class one document, with all its columns: the one with the least doc_id (null last), of several texts of that id the one
+    with the least digest, of rows with equal id and text the least by all columns (as JSON)."""
+    texts = linked(docs, least)
+    packed = _text(docs, F.struct("*").alias("row")).drop("text")
+    stays = texts.where("kept").select("key", F.coalesce("least_id", F.lit(NO_ID)).alias("doc"))
+    left = packed.join(stays, ["key", "doc"], "left_semi")
+    again = C.saved(_text(docs).groupBy("key", "doc").agg(F.count("*").alias("n")).where("n > 1").select("key", "doc"))
+    if not again.isEmpty():
+        once = left.join(again, ["key", "doc"], "left_semi").groupBy("key", "doc").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.join(again, ["key", "doc"], "left_anti").unionByName(once)
+    return left.select("row.*")
