@@ -96,8 +96,9 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("payload")).withColumn("_sha", F.unhex(F.sha1("payload")))
     # Each copy of a payload is the same bytes; only payloads that occur more than once get a row here.
     of = F.struct(F.col("page_id"), F.col("url"))
-    many = rows.where(F.octet_length("payload") >= least_bytes).groupBy("_sha").agg(F.max(of).alias("_best"), F.count("*").alias("_n")).where("_n > 1")
-    joined = rows.join(many, "_sha", "left")
+    many = C.saved(rows.where(F.octet_length("payload") >= least_bytes).groupBy("_sha").agg(F.max(of).alias("_best"), F.count("*").alias("_n")).where("_n > 1"))
+    # Pages of a very common payload are dealt over several tasks, and so over several archives.
+    joined = C.spread(rows, many.select("_sha", "_best"), "_sha", C.hot(many, "_sha", "_n"), ["page_id", "url"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, path = 0, f"{folder}/pages-{TaskContext.get().partitionId():05d}.warc.gz"

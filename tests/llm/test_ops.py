@@ -16,7 +16,7 @@ import oracle
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import bpe, common, decontaminate, html_wrapper, line_dedup, minhash, ngram_join, quality, queries, sharding, token_store, warc
+from recollect.llm import bpe, common, decontaminate, files, html_wrapper, line_dedup, minhash, ngram_join, quality, queries, sharding, token_store, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -103,10 +103,14 @@ def test_following_over_many_ranges(docs):
         assert got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
 
 
-def test_near_pairs(odd, none):
-    pairs = {(r.doc_id, r.near_id): r.likeness for r in minhash.near_pairs(odd).collect()}
-    assert pairs[6, 5] == 1.0 and 0.8 <= pairs[7, 5] < 1.0 and (8, 5) not in pairs
-    assert minhash.near_pairs(none).count() == 0
+def test_near_classes_are_brute_force(spark, docs, odd, none):
+    assert rows_of(minhash.near_classes(docs)) == brute(docs.select("doc_id", "text").collect())
+    # A is alike to B and C just below the threshold, these to each other above it: B and C keep their link.
+    base = prose(31, 400).split()
+    changed = lambda a, b, w: " ".join(base[:a] + [w] * (b - a) + base[b:])
+    rows = odd_rows() + [(20, " ".join(base), None, None, None), (21, changed(0, 50, "p"), None, None, None), (22, changed(0, 50, "p").replace(base[399], "q"), None, None, None)]
+    assert rows_of(minhash.near_classes(with_clashes(spark.createDataFrame(rows, SCHEMA)))) == brute([(r[0], r[1]) for r in rows])
+    assert rows_of(minhash.near_classes(none)) == []
 
 
 # 2
@@ -174,6 +178,23 @@ def test_all_passages_within_a_fifth_of_edits_are_found(n):
         assert {(t, k): e for t, k, e, _ in got} == {(t, k): e for t in range(200) for k in range(20) if (e := decontaminate.distance(words[0][k], words[1][t])[0]) <= n // 5}
 
 
+@pytest.mark.parametrize("n", [6, 10, 14, 15, 40, 60, 80, 200])
+@pytest.mark.parametrize("rate", [0.1, 0.2])
+def test_walks_alone_reach_their_recall(n, rate, monkeypatch):
+    """Without the counted grams: windows, walks and samples find nine of ten passages of every length at every accepted rate of edits."""
+    monkeypatch.setattr(decontaminate.Benchmark, "_add_sharing", lambda *a: None)
+    rng, items, texts = random.Random(100 * n + int(100 * rate)), [prose(7000 + 40 * n + i, n) for i in range(20)], []
+    for k in range(100):
+        w = items[k % 20].split()
+        for _ in range(int(n * rate + 1e-9)):
+            at, kind = rng.randrange(len(w)), rng.randrange(4)
+            w[at : at + (kind > 0)] = [] if kind == 1 else ["edited"]
+        own, at = prose(9000 + k, 100).split(), rng.randrange(100)
+        texts.append(" ".join(own[:at] + w + own[at:]))
+    found = {(t, k) for t, k, _, _ in decontaminate.Benchmark(list(range(20)), items).matches(texts)}
+    assert len(found & {(k, k % 20) for k in range(100)}) >= 90
+
+
 def test_leaks_are_those_of_sql(spark, docs):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, common.read(spark, oracle.SF_DIR, "benchmark")).where("edits = 0").collect()}
     norm = lambda t: " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()))
@@ -198,6 +219,39 @@ def test_random_access():
         f.token(5000)
 
 
+def test_look_ups_read_ranges_of_a_file(tmp_path):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50_000, 200_000)
+    whole = b"".join(token_store.dump(np.arange(2), np.array([0, 7, 200_000]), ids))
+    (tmp_path / "t.dac").write_bytes(whole)
+    with files.ranged(f"file://{tmp_path}/t.dac") as opened:
+
+        class Counted:
+            read = 0
+
+            def read_at(self, n, at):
+                self.read += n
+                return opened.read_at(n, at)
+
+        counted = Counted()
+        f = token_store.TokenFile(counted)
+        counted.read = 0
+        assert [f.token(i) for i in range(0, 200_000, 2001)] == ids[::2001].tolist()
+        assert f.document(1).tolist() == ids[7:].tolist() and f.slice(100, 130).tolist() == ids[100:130].tolist()
+        counted.read = 0
+        f.token(123_456)
+        assert counted.read < 300
+
+
+def test_large_blocks_make_several_files(spark):
+    path = queries.vocabulary("word_bpe_49k.json")
+    df = spark.createDataFrame([(i, "one two three " * (i % 9)) for i in range(300)], "doc_id long, text string")
+    manifest = token_store.write(df, common.shared_dir(spark, "tokens"), path, file_ids=100)
+    assert manifest.count() > 20
+    key = lambda r: r.doc_id
+    assert sorted(token_store.read(spark, manifest).collect(), key=key) == sorted(token_store.stored(spark, df, path).collect(), key=key)
+
+
 def test_token_files_hold_the_librarys_ids(spark, odd, none, docs):
     from tokenizers import Tokenizer
 
@@ -220,7 +274,12 @@ def test_encoder_is_the_library():
     parts = [" ", "  ", "\n", "\t", "\x0b", "\x85", "the", "THE", "ß", "é", "É", "漢字", "😀", "'s", "'", "12", "...", "$$$", "é", "İ", "ﬁ", "<|endoftext|>", "ing", ",", "!!"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(3000)]
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, "<u4").tolist() for t in texts for b in e([t])] == want
+    assert [x.tolist() for t in texts for x in e([t])] == want
+    assert [x.tolist() for i in range(0, 3000, 97) for x in e(texts[i : i + 97])] == want
+    e.MOST = 50  # the table starts anew
+    assert e.by_pieces and [x.tolist() for i in range(0, 3000, 97) for x in e(texts[i : i + 97])] == want
+    other = token_store.Encoder(queries.vocabulary("byte_bpe_50k.json"))
+    assert not other.by_pieces and [x.tolist() for x in other(texts[:200])] == [x.ids for x in other.tokenizer.encode_batch(texts[:200], add_special_tokens=False)]
 
 
 # 4
@@ -250,12 +309,26 @@ def test_utf8_machine():
         assert "".join(u.feed(data[i : i + n]) for i in range(0, len(data), n)) + u.feed(b"", True) == data.decode("utf-8", "replace")
 
 
+def test_utf8_machine_on_any_bytes():
+    rng = random.Random(6)
+    pool = [*"aé漢😀".encode(), 0x80, 0xBF, 0xC0, 0xC1, 0xE0, 0xED, 0xA0, 0x9F, 0xF0, 0xF4, 0x90, 0xF5, 0xFF]
+    for _ in range(5000):
+        data, u, at = bytes(rng.choice(pool) for _ in range(rng.randrange(12))), bpe.Utf8(), 0
+        text = ""
+        while at < len(data):
+            n = rng.randrange(1, 4)
+            text, at = text + u.feed(data[at : at + n]), at + n
+        assert text + u.feed(b"", True) == data.decode("utf-8", "replace")
+
+
 def test_bpe_round_trip(spark, odd, none):
     path, pattern = queries.vocabulary("byte_bpe_multi_50k.tiktoken"), queries.split_pattern()
     got = sorted((str(r.doc_id), r.decoded_sha256, r.n_tokens > 0) for r in bpe.round_trip(with_clashes(odd), path, pattern).collect())
     assert got == sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest(), bool(r[1])) for r in odd_rows())
     back = bpe.decode(bpe.encode(odd, path, pattern), path, pattern, part=3)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r[0]), r[1] or "") for r in odd_rows())
+    texts = sorted((str(r.doc_id), r.text) for r in bpe.round_trip(odd, path, pattern, with_text=True, part=2).collect())
+    assert texts == sorted((str(r[0]), r[1] or "") for r in odd_rows())
     assert bpe.round_trip(none, path, pattern).count() == 0
 
 
@@ -287,9 +360,41 @@ def test_html_without_article(spark):
 def test_wrapper_aligning():
     w = lambda s: html_wrapper.wrapper(html_wrapper.tree(s))
     a, b, c = w("<ul><li>1<li>2</ul><p>x</p>"), w("<ul><li>3</ul><h2>t</h2><p>x</p>"), w("<p>x</p><h2>t</h2><p>y</p>")
-    assert html_wrapper.written(html_wrapper.aligned(a, b)) == "(<ul>(<li>#text</>)+</>)(<h2>'t'</>)?(<p>'x'</>)"
+    assert html_wrapper.written(html_wrapper.aligned(a, b)) == "(<ul>(<li>#text</>)+</>)(<h2>#same</>)?(<p>#same</>)"
     assert "(" in html_wrapper.written(html_wrapper.aligned(html_wrapper.aligned(a, b), c))
-    assert html_wrapper.aligned(a, a) == a
+    assert html_wrapper.written(html_wrapper.aligned(a, a)) == html_wrapper.written(a)
+    assert html_wrapper.aligned(a, b)[0][2][0][2] == [["#", "1", [], [3, 0, 2]]]  # three characters in two pages
+
+
+def test_what_the_wrapper_tells(spark):
+    """Inside an article: constant texts of any length and number, and lists of links; an article that holds little; an empty wrapper."""
+    notices = "".join(f"<p>{prose(600 + k, 60)}</p>" for k in range(50))
+    page = "<html><body><article><h1>Head {0}</h1>" + notices + "<p>Story {0}</p><p>{1}</p><div><a href='/a'>x {0}</a><a href='/b'>y {0}</a></div></article></body></html>"
+    own = [prose(660 + i, 4000) for i in range(8)]
+    sources = [page.format(i, own[i]) for i in range(8)]
+    df = lambda rows: spark.createDataFrame([(i, "http://n.example/", t) for i, t in enumerate(rows)], "page_id long, url string, html string")
+    read = lambda rows: {r.page_id: r.text for r in html_wrapper.extracted(df(rows)).collect()}
+    assert read(sources) == {i: f"Head {i} Story {i} {own[i]}" for i in range(8)}
+    whole = html_wrapper.wrapper(html_wrapper.tree(sources[0]))
+    assert html_wrapper.Reader([], 8).read(sources[0]) == "" and "Story 0" in html_wrapper.Reader(whole, 1).read(sources[0])
+    few = read(sources[:3])  # too few pages to tell
+    assert all(prose(600, 60) in t for t in few.values())
+    same = read([sources[0]] * 9)  # copies of one page: what all have is not chrome
+    assert all("Story 0" in t and prose(649, 60) in t for t in same.values())
+    teaser = "<html><body><article><p>Teaser {0}</p></article><div><h2>Real {0}</h2>" + "".join(f"<p>Long text {{0}} {k} of the page</p>" for k in range(9)) + "</div></body></html>"
+    assert read([teaser.format(i) for i in range(4)]) == {i: f"Teaser {i} Real {i} " + " ".join(f"Long text {i} {k} of the page" for k in range(9)) for i in range(4)}
+    # Wrappers too large for a broadcast go out with salts.
+    salted = {r.page_id: r.text for r in html_wrapper.extracted(df(sources), most_broadcast=0, salts=3).collect()}
+    assert salted == read(sources)
+
+
+def test_html_pages_without_any_article_element(spark):
+    """The driver's pages with div elements in the article's place: the host's text, but for chrome, is what is left."""
+    pages = common.read(spark, oracle.SF_DIR, "pages")
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div>"), "</article>", "</div>"))
+    a = {r.page_id: r.text for r in html_wrapper.extracted(pages).collect()}
+    b = {r.page_id: r.text for r in html_wrapper.extracted(plain).collect()}
+    assert sum(a[i] == b[i] for i in a) >= 0.95 * len(a)
 
 
 def test_html_whole_table(spark):
@@ -337,13 +442,13 @@ def test_isotonic():
 # 7
 
 
-def brute(rows: list[tuple]) -> dict:
-    """(class_id, text_id, n_copies, n_links) by doc_id."""
-    rows = [(i, t or "") for i, t in rows if i is not None]
-    text_id, copies = {}, collections.Counter(t for _, t in rows)
+def brute(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, class_id, text_id, n_copies, n_links) of each row, sorted."""
+    rows = [(i, t or "") for i, t in rows]
+    ids, copies = collections.defaultdict(list), collections.Counter(t for _, t in rows)
     for i, t in rows:
-        text_id[t] = min(i, text_id.get(t, i))
-    sets = {t: shingles(t) for t in text_id}
+        ids[t] += [] if i is None else [i]
+    sets = {t: shingles(t) for t in ids}
     at = collections.defaultdict(list)
     for t, s in sets.items():
         for x in s:
@@ -363,20 +468,34 @@ def brute(rows: list[tuple]) -> dict:
             a, b = top(a), top(b)
             if a != b:
                 up[b] = a
-    least = {}
+    of_class = collections.defaultdict(list)
     for t in sets:
-        least[top(t)] = min(least.get(top(t), text_id[t]), text_id[t])
-    return {i: (least[top(t)], text_id[t], copies[t], links[t]) for i, t in rows}
+        of_class[top(t)] += ids[t]
+    return sorted(((i, min(of_class[top(t)], default=None), min(ids[t], default=None), copies[t], links[t]) for i, t in rows), key=repr)
 
 
-def result(df) -> dict:
-    return {r.doc_id: (r.class_id, r.text_id, r.n_copies, r.n_links) for r in ngram_join.classes(df).collect()}
+def rows_of(df) -> list[tuple]:
+    return sorted(((r.doc_id, r.class_id, r.text_id, r.n_copies, r.n_links) for r in df.collect()), key=repr)
 
 
 def test_join_is_brute_force(spark, docs, odd, none):
-    assert result(docs) == brute(docs.select("doc_id", "text").collect())
-    assert result(with_clashes(odd)) == brute([(r[0], r[1]) for r in odd_rows()])
-    assert result(none) == {}
+    assert rows_of(ngram_join.classes(docs)) == brute(docs.select("doc_id", "text").collect())
+    assert rows_of(ngram_join.classes(with_clashes(odd))) == brute([(r[0], r[1]) for r in odd_rows()])
+    assert rows_of(ngram_join.classes(none)) == []
+
+
+def test_hot_keys_are_dealt(spark, docs, monkeypatch):
+    """Every join of a common key through its salted form."""
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "SALTS", 3)
+    some = docs.limit(250)
+    assert rows_of(ngram_join.classes(some)) == brute(some.select("doc_id", "text").collect())
+    a = {r.doc_id: r.text for r in line_dedup.cleaned(some).collect()}
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(60)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archived(spark, pages).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 59 else ("revisit", 59) for i in range(60)}
+    monkeypatch.undo()
+    assert a == {r.doc_id: r.text for r in line_dedup.cleaned(some).collect()}
 
 
 def test_join_of_a_large_group(spark):
@@ -388,17 +507,25 @@ def test_join_of_a_large_group(spark):
             w[at] = f"w{rng.randrange(3)}"
         rows.append((i, " ".join(w), None, None, None))
     df = spark.createDataFrame(rows, SCHEMA)
-    assert result(df) == brute([(r[0], r[1]) for r in rows])
+    assert rows_of(ngram_join.classes(df)) == brute([(r[0], r[1]) for r in rows])
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(df).collect())
-    assert kept == sorted({c for c, *_ in brute([(r[0], r[1]) for r in rows]).values()})
+    assert kept == sorted({c for _, c, *_ in brute([(r[0], r[1]) for r in rows])})
 
 
 def test_one_of_each_keeps_columns(odd):
     df = with_clashes(odd)
     out = ngram_join.one_of_each(df)
     assert out.columns == df.columns
-    # Texts 5, 6, 7 and the repeated 5 are one group, 0 to 2 have no words but different texts.
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [0, 2, 3, 4, 5, 8, 9, 10, 11, None]))
+    # Texts 5, 6, 7, the repeated 5 and the text without an id are one group; null and "" are one text, "  \n\t " another.
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(map(str, [0, 2, 3, 4, 5, 8, 9, 10, 11]))
+
+
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    base, own = prose(41, 90), [prose(42 + k, 90) for k in range(6)]
+    near = base.replace(base.split()[40], "changed", 1)
+    rows = [(5, own[0]), (5, own[1]), (8, near), (8, own[2]), (3, base), (None, own[3]), (None, own[4]), (None, near), (None, own[4]), (9, own[5]), (9, own[5])]
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.one_of_each(spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA)).collect()), key=repr)
+    assert got == sorted([(5, own[0]), (5, own[1]), (8, own[2]), (3, base), (None, own[3]), (None, own[4]), (9, own[5])], key=repr)
 
 
 # 8
@@ -495,6 +622,38 @@ def test_first_occurrence_stays_where_copies_overlap_it(spark):
     assert got == {1: f"{a}\n{a}", 2: f"{b}"}
 
 
+def cleaned_by_brute_force(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, cleaned text) of (doc_id, text, hash) rows: every occurrence of a chunk's bytes but the first goes."""
+    lines = {r: (r[1] or "").split("\n") for r in rows}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    at = collections.defaultdict(list)
+    for n, r in enumerate(order):
+        filled = [k for k, x in enumerate(lines[r]) if x.split()]
+        for a, b in [*zip(filled, filled[1:]), *((k, k) for k in filled if len(lines[r][k].split()) >= line_dedup.LONG)]:
+            at["\n".join(lines[r][a : b + 1])].append((n, a, b + 1))
+    gone = collections.defaultdict(set)
+    for places in at.values():
+        (n0, _, end), *later = sorted(places)
+        for n, a, b in later:
+            gone[order[n]].update(range(max(a, end) if n == n0 else a, b))
+    return sorted(((r[0], r[1] if r[1] is None else "\n".join(x for k, x in enumerate(lines[r]) if k not in gone[r])) for r in rows), key=repr)
+
+
+def test_lines_are_brute_force(spark, docs):
+    known = lambda df: [tuple(r) for r in df.select("doc_id", "text", F.xxhash64("text")).collect()]
+    rng, pool = random.Random(12), [prose(700 + k, 8 + 7 * (k % 8)) for k in range(30)] + ["", " "]
+    passage = [prose(790 + k, 20) for k in range(4)]
+    own = lambda k, n: [prose(810 + 10 * k + i, 15) for i in range(n)]
+    rows = [(rng.choice([None, 1, 2, 3, 4]), "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for _ in range(120)]
+    rows += [(None, "\n".join(own(0, 6))), (None, "\n".join(passage + own(1, 3))), (None, "\n".join(own(2, 2) + passage)), (7, "\n".join(own(3, 6))), (7, "\n".join(own(4, 2) + passage)), (7, None), (None, None), (7, "\n".join(own(3, 6)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.cleaned(df).collect()), key=repr)
+    assert got == cleaned_by_brute_force(known(df))
+    texts = [t or "" for _, t in got]
+    assert all(any(x in t for t in texts) for k, n in ((0, 6), (1, 3), (2, 2), (3, 6), (4, 2)) for x in own(k, n)) and sum(passage[2] in t for t in texts) == 1
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.cleaned(docs).collect()), key=repr) == cleaned_by_brute_force(known(docs))
+
+
 # 10
 
 
