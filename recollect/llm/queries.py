@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_wrapper, line_dedup, minhash, ngram_join, quality, sharding, token_store, warc
+from . import bpe, clustering, common, decontaminate, fim, html_wrapper, line_dedup, minhash, ngram_join, quality, secrets, sharding, sql, token_store, warc
 
 
 def vocabulary(name: str) -> str:
@@ -63,7 +63,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(spark, common.read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_decontaminate, op3_token_files, op4_byte_bpe, op5_html_text, op6_quality, op7_ngram_join, op8_shards, op9_line_dedup, op10_warc)}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(common.read(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(common.read(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(common.read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_decontaminate, op3_token_files, op4_byte_bpe, op5_html_text, op6_quality, op7_ngram_join, op8_shards, op9_line_dedup, op10_warc, op11_clusters, op12_secrets, op13_fill_in_middle)}
 
 ORACLE_SQL = {
     "op10_warc": """
@@ -77,4 +89,7 @@ ORACLE_SQL = {
           CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
         FROM d
     """,
+    "op11_clusters": sql.clusters(),
+    "op12_secrets": sql.secrets(),
+    "op13_fill_in_middle": sql.fill_in_middle(),
 }
