@@ -21,8 +21,17 @@ def _terms(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'), lambda x: x <> '')"
 
 
+# Words of three letters or more that no slot is made of.
+EMPTY_WORDS = {
+    "articles and links": "the and for with that this from into before after since between",
+    "questions": "what when where which many long how would could should does did",
+    "talk": "have your about some they them been just want looking look help need recommend suggestions suggest advice think also take took days first earlier",
+}
+
+
 def _content(text: str) -> str:
-    return f"list_filter({_terms(text)}, lambda x: length(x) >= 3 AND NOT list_contains({_list(temporal.STOPWORDS)}, x))"
+    empty = sorted({w for ws in EMPTY_WORDS.values() for w in ws.split()})
+    return f"list_filter({_terms(text)}, lambda x: length(x) >= 3 AND NOT list_contains({_list(empty)}, x))"
 
 
 @query(rf"""WITH {turns_sql()}, t AS (SELECT id, list_filter({_terms('text')}, lambda x: NOT list_contains({_list(temporal.INTENT_STOPWORDS)}, x)) AS t FROM turns WHERE role = 'user'),
@@ -50,18 +59,32 @@ def _spoken() -> F.Column:
     return F.concat(told, F.col("text"))
 
 
-def _counts(text: str, patterns) -> str:
-    return " + ".join("len(regexp_extract_all({}, '{}'))".format(text, p.replace("'", "''")) for p in patterns)
+# Plain phrases about plans, each way they are said; the SQL looks for them as they stand, with white space as one space.
+I_AM, I_HAVE = ("i'm", "im", "i am"), ("i've", "ive", "i have")
+PLANNED = ["considering", "planning", "i want to", "i would like to", *(f"{x} been looking" for x in I_HAVE)]
+PLANNED += [f"{x} {y}" for x in I_AM for y in ("thinking about", "looking at", "looking into", "hoping to")]
+PLANNED += [f"{x} going to {y}" for x in I_AM for y in ("visit", "go", "try", "do")] + [f"{x} trying to {y}" for x in I_AM for y in ("decide", "plan", "figure")]
+OWN = ["i", "i'm", "i've"]
+
+
+def _counts(text: str, phrases: list[str]) -> str:
+    """How often the phrases stand in a text, as words."""
+    one = f"regexp_replace({text}, '\\s+', ' ', 'g')"
+    return " + ".join(f"len(regexp_extract_all({one}, '\\b{p.replace(chr(39), chr(39) * 2)}\\b'))" for p in phrases)
+
+
+def _past(text: str) -> str:
+    return f"least(greatest(1 - ({_counts(text, PLANNED)})::DOUBLE / greatest({_counts(text, OWN)}, 1), 0), 1)"
 
 
 @query(rf"""WITH s AS (SELECT conv_id, turn, lower({SPOKEN}) AS t FROM conversations)
-    SELECT conv_id, turn, round(least(greatest(1 - ({_counts('t', temporal.PROSPECTIVE)})::DOUBLE / greatest({_counts('t', temporal.FIRST_PERSON)}, 1), 0), 1), 6) + 0.0 AS pastness FROM s""")
+    SELECT conv_id, turn, round({_past('t')}, 6) + 0.0 AS pastness FROM s""")
 def c19_pastness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "conversations").select("conv_id", "turn", r6(temporal.pastness(_spoken())).alias("pastness"))
 
 
 WITNESS = rf"""s AS (SELECT conv_id, turn, lower({SPOKEN}) AS low, {_content(SPOKEN)} AS t FROM conversations),
-    w AS (SELECT conv_id, turn, t, least(greatest(1 - ({_counts('low', temporal.PROSPECTIVE)})::DOUBLE / greatest({_counts('low', temporal.FIRST_PERSON)}, 1), 0), 1) AS past,
+    w AS (SELECT conv_id, turn, t, {_past('low')} AS past,
       list_sum(list_transform(list_filter(['harbour', 'trip'], lambda x: list_contains(t, x)), lambda x: CASE WHEN list_position(t, x) - 1 < len(t) * 0.3 THEN 1.0 ELSE 0.5 END)) AS m,
       len(list_filter(['old', 'museum'], lambda x: list_contains(t, x))) / 2.0 AS other FROM s)"""
 
