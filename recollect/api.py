@@ -122,40 +122,36 @@ class Memory:
     # searching
 
     def search(self, queries: DataFrame, collections: list[str], k: int = 8, excluded: DataFrame | None = None) -> DataFrame:
-        """(query_id, rank, id, collection, score, text) of many text queries (query_id, text) over some collections; excluded (collection, id) never take a place."""
+        """(query_id, rank, id, collection, score, text) of many text queries (query_id, text) over some collections; excluded (collection, id) never take a place. Ties go by collection and id."""
         rows = self.records().where(F.col("collection").isin(collections))
         if excluded is not None:
             rows = rows.join(excluded.select("collection", "id").distinct(), ["collection", "id"], "left_anti")
-        # Ids of records are texts; the search ranks by a number that keeps their order within equal scores.
-        keyed = rows.withColumn("_n", F.xxhash64("collection", "id"))
         asked = queries.select("query_id", self.embed(F.col("text")).alias("vector"))
-        found = retrieve.top_k_over_collections(keyed.select(F.col("_n").alias("id"), "vector", "collection"), asked, k)
-        texts = keyed.select(F.col("_n"), F.col("id").alias("_id"), "text", "ts_ms", "role", "type", "access_count")
-        return found.join(texts, found.id == texts["_n"]).drop("_n", "id").withColumnRenamed("_id", "id")
+        found = retrieve.top_k_over_collections(rows.select("id", "vector", "collection"), asked, k, exclude_self=False)
+        return found.join(rows.select("collection", "id", "text", "ts_ms", "role", "type", "access_count"), ["collection", "id"])
 
     def search_raw(self, queries: DataFrame, session_id: str, k: int = 8) -> DataFrame:
         return self.search(queries, [f"session_raw:{session_id}"], k)
 
-    def _hits(self, asked: DataFrame, kind: str, k: int) -> DataFrame:
-        """The k nearest records of each question (query_id, vector, place) in its own place, a collection."""
-        rows = self.records().join(asked.select(F.col("place").alias("collection")).distinct(), "collection", "left_semi")
-        keyed = rows.select(F.xxhash64("collection", "id").alias("id"), "vector", "collection")
-        near = retrieve.top_k(keyed, asked.select("query_id", "vector"), k, per_collection=True, exclude_self=False)
-        own = near.join(asked.select("query_id", F.col("place").alias("collection")), ["query_id", "collection"])
-        return own.select(F.col("query_id").alias("id"), F.lit(kind).alias("kind"), "rank", "score")
+    def _of_users(self, kind: str, users: DataFrame) -> DataFrame:
+        """(id, vector, user_ns, ts_ms) of these users' records of a kind of collection; those without a time count as older than any other."""
+        rows = self.records().where(F.col("collection").startswith(f"{kind}:")).withColumn("user_ns", F.expr(f"substring(collection, {len(kind) + 2})"))
+        return rows.join(users, "user_ns", "left_semi").select("id", "vector", "user_ns", F.coalesce("ts_ms", F.lit(-(1 << 62))).alias("ts_ms"))
 
     def gate(self, turns: DataFrame) -> DataFrame:
-        """Turns (id, text, user_ns) with h, r and g, each against its own user's turns and memories."""
-        asked = turns.select(F.xxhash64("id").alias("query_id"), self.embed(F.coalesce("text", F.lit(""))).alias("vector"), F.coalesce(F.col("user_ns").cast("string"), F.lit("")).alias("_ns"))
-        near = self._hits(asked.withColumn("place", F.concat(F.lit("turns:"), "_ns")), "turn", 10).unionByName(self._hits(asked.withColumn("place", F.concat(F.lit("user:"), "_ns")), "memory", 5))
-        hits = gate.from_hits(near)
-        rows = gate.signals(turns).withColumn("_q", F.xxhash64("id")).join(hits.withColumnRenamed("id", "_q"), "_q", "left")
-        return gate.gated(rows.withColumn("h", F.coalesce("h", F.lit(1.0))).withColumn("r", F.coalesce("r", F.lit(0.0)))).drop("_q")
+        """Users' turns (id, text, user_ns, ts_ms) with all signals, h, r and g, as of each turn: its user's turns up to it, itself included, and the
+        user's memories from before it, whether they are stored already or in ``turns`` too."""
+        asked = turns.withColumn("user_ns", F.col("user_ns").cast("string")).withColumn("vector", self.embed(F.coalesce("text", F.lit(""))))
+        users = asked.select("user_ns").distinct()
+        now = asked.select("id", "vector", "user_ns", "ts_ms")
+        new = lambda kind, named: store.replaced(self._of_users(kind, users), now.withColumn("id", named), ["user_ns", "id"])
+        scored = gate.scored_as_of(asked, new("turns", F.col("id")), new("user", F.concat("user_ns", F.lit(":"), "id")))
+        return scored.drop("vector")
 
     def ingest(self, turns: DataFrame) -> int:
         """Turns into session and raw history, those of users into the turn index and, with their gate scores, into their durable memory.
 
-        The gate marks and does not filter. Scores are those against what was stored before.
+        The gate marks and does not filter. Each turn is scored after it and those before it came into the index, and those before it into the memory.
         """
         said = turns.where("role = 'user' and user_ns is not null")
         scores = ["g", "t", "h", "r", "d", "p", "a", "dtech", "gconv", "gtech"]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import retrieve
 
 # The words and phrases of each family, and the weights of the families.
 DEFINERS = ["func", "def", "class"]
@@ -120,6 +121,30 @@ def from_hits(hits: DataFrame) -> DataFrame:
     return agg.select("id", (1 - F.coalesce("m", F.lit(0.0))).alias("h"), r.alias("r"))
 
 
+def hits_as_of(turns: DataFrame, index: DataFrame, memories: DataFrame) -> DataFrame:
+    """Search hits of each turn as of its time: its 10 nearest in its user's turn index, itself and its own time included, and its 5 nearest among
+    the user's memories from before it; rows (id, kind, rank, score) for ``from_hits``.
+
+    All three have id, vector, user_ns and ts_ms; ids are those of one user at least. Users meet nobody else's rows: the search goes by tiles within each user, and
+    no more than k rows a turn and tile are shuffled.
+    """
+    asked = turns.select(F.struct("user_ns", "id").alias("query_id"), "vector", "user_ns", "ts_ms")
+    found = None
+    for kind, rows, k, order in (("turn", index, 10, "<="), ("memory", memories, 5, "<")):
+        # A turn is in the index before it is asked about, so it finds itself.
+        near = retrieve.top_k(rows.withColumn("collection", F.lit(kind)), asked, k, exclude_self=False, within="user_ns", as_of=("ts_ms", order))
+        part = near.select(F.col("query_id.user_ns").alias("user_ns"), F.col("query_id.id").alias("id"), F.lit(kind).alias("kind"), "rank", "score")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def scored_as_of(turns: DataFrame, index: DataFrame, memories: DataFrame) -> DataFrame:
+    """Turns (id, text, vector, user_ns, ts_ms, ...) with all signals, h and r as of each turn, g and passes."""
+    hits = from_hits(hits_as_of(turns, index, memories).withColumn("id", F.struct("user_ns", "id")))
+    rows = signals(turns).join(hits.select(F.col("id.user_ns").alias("user_ns"), F.col("id.id").alias("id"), "h", "r"), ["user_ns", "id"], "left")
+    return gated(rows.withColumn("h", F.coalesce("h", F.lit(1.0))).withColumn("r", F.coalesce("r", F.lit(0.0))))
+
+
 def gated(turns: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Turns (with h and r, and the text's own signals) with g = (1 - t) * gconv + t * gtech, and whether it passes."""
     gconv = 0.35 * F.col("h") + 0.4 * F.col("r") + 0.25 * F.col("d")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
+from ..functions import vector as V
 from ..operators import gate
-from .common import r6, registry
+from .common import r6, registry, turns_sql
 
 QUERIES, ORACLE_SQL, query = registry()
 
@@ -136,3 +137,20 @@ def g1_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda n: (F.col("id") % n) / float(n)
     out = gate.gated(found.withColumns({"t": share(10), "d": share(7), "p": share(3), "a": share(4), "dtech": share(5)}))
     return out.select("id", r6("h").alias("h"), r6("r").alias("r"), r6("g").alias("g"), "passes")
+
+
+@query(rf"""WITH {turns_sql()}, u AS (SELECT * FROM turns WHERE role = 'user'),
+    w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM u),
+    h AS (SELECT id, i, sum(('0x' || substr(sha256(w), 2 * i + 1, 2))::INT / 127.5 - 1.0) AS x FROM w CROSS JOIN (SELECT unnest(range(8)) AS i) GROUP BY id, i),
+    v AS (SELECT u.id, u.user_ns, u.ts_ms, list(x ORDER BY i) AS v FROM h JOIN u ON u.id = h.id GROUP BY ALL),
+    p AS (SELECT a.id, b.id AS other, b.ts_ms < a.ts_ms AS earlier, list_cosine_similarity(a.v, b.v) AS score FROM v a JOIN v b ON a.user_ns = b.user_ns AND b.ts_ms <= a.ts_ms),
+    t AS (SELECT id, count(*) FILTER (score >= 0.8) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS rank FROM p) WHERE rank <= 10 GROUP BY id),
+    m AS (SELECT id, avg(greatest(score, 0)) AS m, count(*) FILTER (score >= 0.85) AS s FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, other) AS rank FROM p WHERE earlier) WHERE rank <= 5 GROUP BY id),
+    x AS (SELECT t.id, 1 - coalesce(m, 0) AS h, least(n / 5.0, 1.0) * (1 - least(coalesce(s, 0) / 3.0, 1.0)) AS r FROM t LEFT JOIN m ON m.id = t.id),
+    c AS (SELECT x.id, h, r, g.t, 0.35 * h + 0.4 * r + 0.25 * d AS gconv, 0.4 * p + 0.35 * a + 0.25 * dtech AS gtech FROM x JOIN ({signals_sql('u', 'id')}) g ON g.id = x.id),
+    y AS (SELECT id, h, r, least(greatest((1 - t) * gconv + t * gtech, 0), 1) AS g FROM c)
+    SELECT id, round(h, 6) + 0.0 AS h, round(r, 6) + 0.0 AS r, round(g, 6) + 0.0 AS g, round(g, 9) >= 0.35 AS passes FROM y""")
+def g9_gate_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns as they came in: each is gated after it was put into the turn index, against the memories made of those before it."""
+    said = model.turns(spark, sf_dir).where("role = 'user'").withColumn("vector", V.hashed_embedding(F.col("text"), 8))
+    return gate.scored_as_of(said, said, said).select("id", r6("h").alias("h"), r6("r").alias("r"), r6("g").alias("g"), "passes")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import vector as V
-from ..operators import retrieve
+from ..operators import index, retrieve
 from .common import VECTORS_SQL, r6, registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -44,6 +44,35 @@ def r3_multi_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.top_k_over_collections(some, _queries(v), 8).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "collection", r6("score").alias("score"))
 
 
+@query(f"""WITH {SCORED}, x AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(score, 9) DESC, id) AS pos FROM s),
+    k AS (SELECT * FROM x WHERE NOT (pos <= 3 AND (collection = 'label:0' OR query_id % 40 = 0))),
+    c AS (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY round(score, 9) DESC, id) AS place FROM k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, collection, id) AS rank FROM c WHERE place <= 8)
+    SELECT query_id, rank, id, collection, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 8""")
+def r3_search_with_excludes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All collections, without what a first search found: each query's three best of one collection, and of all collections for every second query. No place is lost to what is left out."""
+    v = model.vectors(spark, sf_dir)
+    seen = retrieve.top_k(v, _queries(v), 3, per_collection=True).where("collection = 'label:0' or query_id % 40 = 0")
+    found = retrieve.top_k_over_collections(v, _queries(v), 8, seen.select("query_id", "collection", "id"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "collection", r6("score").alias("score"))
+
+
+@query(f"""WITH {SCORED.replace("q.id % 20 = 0 AND ", "")}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+    SELECT query_id, rank, id, round(score, 6) + 0.0 AS score FROM r WHERE rank <= 3""")
+def r1_all_against_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of every vector: both sides are large, so they meet by tiles."""
+    v = model.vectors(spark, sf_dir)
+    return retrieve.top_k(v, v.select(F.col("id").alias("query_id"), "vector"), 3).select("query_id", F.col("rank").cast("long").alias("rank"), "id", r6("score").alias("score"))
+
+
+@query()
+def r1_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by the inverted file."""
+    v = model.vectors(spark, sf_dir)
+    fitted = index.fit(v)
+    return index.search(index.indexed(v, fitted), fitted, _queries(v)).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
 @query(f"""WITH {VECTORS_SQL}, t AS (SELECT unnest([1, 2, 3]) AS tier, unnest([16, 32, 64]) AS size),
     s AS (SELECT q.id AS query_id, v.id, tier, list_cosine_similarity(q.vector[1:size], v.vector[1:size]) AS score FROM v q JOIN v ON q.id % 20 = 0 AND q.id <> v.id CROSS JOIN t),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id, tier ORDER BY round(score, 9) DESC, id) AS rank, max(score) OVER (PARTITION BY query_id, tier) AS best FROM s),
