@@ -172,12 +172,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots = np.full(4 * self.MOST, -1, np.int32)
+        # A power of two, so that a step from slot to slot by a mask reaches them all.
+        self.slots = np.full(1 << (4 * self.MOST - 1).bit_length(), -1, np.int32)
         self.hashes = np.zeros(1024, np.uint64)
         self.at = np.zeros(1024, np.int64)
         self.count = np.zeros(1024, np.int64)
         self.ids = np.zeros(4096, np.uint32)
-        self.n = self.n_ids = 0
+        # The pieces' own bytes: a hash finds a row, the bytes say whether it is the piece's.
+        self.place = np.zeros(1024, np.int64)
+        self.size = np.zeros(1024, np.int64)
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        # Rows that can be found by their hash; the others belong to one piece of one text.
+        self.listed = np.zeros(1024, np.int64)
+        self.n = self.n_ids = self.n_bytes = self.n_listed = 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -205,7 +212,7 @@ class Encoder:
         out = [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         for k in odd:
             out[k] = whole[k]
-        if self.n > self.MOST:
+        if self.n > self.MOST or self.n_bytes > self.LONGEST * self.MOST:
             self._forget()
         return out
 
@@ -223,6 +230,7 @@ class Encoder:
             self._learn(buf, starts[which], ends[which], kind[which])
             self._remember(h[which])
             rows[new] = self._found(h[new])
+        long |= self._others(buf, starts, ends, np.where(long, -1, rows))
         if long.any():
             at = np.flatnonzero(long)
             first = self.n
@@ -232,6 +240,20 @@ class Encoder:
             self.n += len(at)
         return rows
 
+    def _others(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which pieces have a row (not -1) of another piece, whose hash is the same."""
+        out = np.zeros(len(rows), bool)
+        size = ends - starts
+        out[(rows >= 0) & (self.size[rows] != size)] = True
+        at = np.flatnonzero((rows >= 0) & ~out)
+        size = size[at]
+        if len(at):
+            behind = np.cumsum(size)
+            inner = np.arange(behind[-1]) - np.repeat(behind - size, size)
+            differ = buf[np.repeat(starts[at], size) + inner] != self.bytes[np.repeat(self.place[rows[at]], size) + inner]
+            out[at] = np.add.reduceat(differ, behind - size, dtype=np.int64) > 0
+        return out
+
     def _found(self, h: np.ndarray) -> np.ndarray:
         mask = len(self.slots) - 1
         out = np.full(len(h), -1, np.int64)
@@ -239,7 +261,9 @@ class Encoder:
         row = self.slots[slot].astype(np.int64)
         open_ = np.flatnonzero(row >= 0)
         row, slot = row[open_], slot[open_]
-        while len(open_):
+        for _ in range(len(self.slots) + 1):
+            if not len(open_):
+                return out
             same = self.hashes[row] == h[open_]
             out[open_[same]] = row[same]
             other = np.flatnonzero(~same)
@@ -247,15 +271,15 @@ class Encoder:
             row = self.slots[slot].astype(np.int64)
             more = np.flatnonzero(row >= 0)
             open_, row, slot = open_[more], row[more], slot[more]
-        return out
+        raise RuntimeError("the table of pieces has no free slot")
 
     def _grow(self, n: int) -> None:
         if n > len(self.hashes):
             size = max(n, 2 * len(self.hashes))
-            self.hashes, self.at, self.count = (np.resize(x, size) for x in (self.hashes, self.at, self.count))
+            self.hashes, self.at, self.count, self.place, self.size = (np.resize(x, size) for x in (self.hashes, self.at, self.count, self.place, self.size))
         if len(self.slots) < 4 * n:
-            self.slots = np.full(2 * len(self.slots), -1, np.int32)
-            self._place(np.arange(self.n))
+            self.slots = np.full(1 << (4 * n - 1).bit_length(), -1, np.int32)
+            self._place(self.listed[: self.n_listed])
 
     def _remember(self, h: np.ndarray) -> None:
         """Gives the rows behind the last, which ``_learn`` has filled, their hashes (all different, none known)."""
@@ -264,15 +288,22 @@ class Encoder:
         self.hashes[rows] = h
         self.n += len(h)
         self._place(rows)
+        if self.n_listed + len(rows) > len(self.listed):
+            self.listed = np.resize(self.listed, max(self.n_listed + len(rows), 2 * len(self.listed)))
+        self.listed[self.n_listed : self.n_listed + len(rows)] = rows
+        self.n_listed += len(rows)
 
     def _place(self, rows: np.ndarray) -> None:
         mask = len(self.slots) - 1
         slot = (self.hashes[rows] >> np.uint64(40)).astype(np.int64) & mask
-        while len(rows):
+        for _ in range(len(self.slots) + 1):
+            if not len(rows):
+                return
             free = np.flatnonzero(self.slots[slot] < 0)
             self.slots[slot[free]] = rows[free]
             left = np.flatnonzero(self.slots[slot] != rows)
             rows, slot = rows[left], slot[left] + 1 & mask
+        raise RuntimeError("the table of pieces has no free slot")
 
     def _learn(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray) -> None:
         """Ids of the pieces, put behind those of the rows so far."""
@@ -280,6 +311,14 @@ class Encoder:
         listed = [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         n = len(listed)
         self._grow(self.n + n)
+        size = ends - starts
+        behind = self.n_bytes + np.cumsum(size)
+        if n and behind[-1] > len(self.bytes):
+            self.bytes = np.resize(self.bytes, max(int(behind[-1]), 2 * len(self.bytes)))
+        self.place[self.n : self.n + n], self.size[self.n : self.n + n] = behind - size, size
+        if n:
+            self.bytes[self.n_bytes : behind[-1]] = buf[np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+            self.n_bytes = int(behind[-1])
         at, count = self.at[self.n : self.n + n], self.count[self.n : self.n + n]
         parts: list[np.ndarray] = []
         behind = self.n_ids

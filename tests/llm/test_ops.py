@@ -278,10 +278,31 @@ def test_encoder_is_the_library():
     assert [x.tolist() for i in range(0, 3000, 97) for x in e(texts[i : i + 97])] == want
     e.MOST = 50  # the table starts anew
     assert e.by_pieces and [x.tolist() for i in range(0, 3000, 97) for x in e(texts[i : i + 97])] == want
+    e.LONGEST = 3  # longer pieces get rows of their own, whatever their hash
+    assert [x.tolist() for i in range(0, 3000, 97) for x in e(texts[i : i + 97])] == want
     other = token_store.Encoder(queries.vocabulary("byte_bpe_50k.json"))
     assert not other.by_pieces and [x.tolist() for x in other(texts[:200])] == [x.ids for x in other.tokenizer.encode_batch(texts[:200], add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("most", [1, 3, 50, 1000])
+def test_tables_of_any_size(most):
+    e, rng = token_store.Encoder(queries.vocabulary("word_bpe_49k.json")), random.Random(most)
+    e.MOST = most
+    e._forget()
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(rng.randrange(60))) for _ in range(300)]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for i in range(0, 300, 31) for x in e(texts[i : i + 31])] == want
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    hashes = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda *a: (hashes(*a) % np.uint64(7)) << np.uint64(40))
+    e = token_store.Encoder(queries.vocabulary("word_bpe_49k.json"))
+    texts = [prose(i, 40) + f" x{i}y é漢 {i}" for i in range(60)]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for i in range(0, 60, 7) for x in e(texts[i : i + 7])] == want
+
+
 # 4
 
 
@@ -709,5 +730,5 @@ def test_components(spark):
 
 
 def test_queries_by_name():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert duckdb.connect() is not None
