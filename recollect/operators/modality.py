@@ -1,89 +1,278 @@
-"""Modality of instructions in text as column expressions: obligation 2, forbidden 4, permitted 8.
+"""Modality of instructions in text: obligation 2, forbidden 4, permitted 8.
 
-A word is a run of ASCII letters. Each rule is a pattern over words and the gaps between
-them; a text's mask is the union of the rules that match, and a text with a mask is promoted.
+A word is a run of ASCII letters. All rules are followed in one pass by an automaton over words: what a word is to the rules (most are
+nothing to any) and what stands before it (``GAP`` flags) make a symbol; a state is the set of rules under way with what each waits for, together with
+the lead-in of the sentence. Transitions are worked out when they are first met and then looked up, so a text costs one look-up a word.
+Texts go to the workers in Arrow batches; a text's mask is the union of the rules that complete, and a text with a mask is promoted.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OBLIGATION, FORBIDDEN, PERMITTED = 2, 4, 8
 
 # Verbs that make a bare imperative.
-VERBS = (
-    "act answer ask avoid be build bypass change check cite compromise consult create delete deny design eliminate ensure escalate follow format ground implement include inspect keep leak maintain mark "
-    "modify pitch prefer preserve prioritize promise read rebuild reduce refactor refer reference reject republish rerun retreat return reveal rewrite run signal skip structure suggest treat trust update use "
-    "validate verify weaken wipe write"
-).split()
+VERBS = frozenset(
+    (
+        "act answer ask avoid be build bypass change check cite compromise consult create delete deny design eliminate ensure escalate follow format ground implement include inspect keep leak maintain mark "
+        "modify pitch prefer preserve prioritize promise read rebuild reduce refactor refer reference reject republish rerun retreat return reveal rewrite run signal skip structure suggest treat trust update use "
+        "validate verify weaken wipe write"
+    ).split()
+)
 # Subjects, labels and fields that make a rule of what follows.
-SUBJECTS = ["functions", "code", "logic", "tests", "work"]
-LABELS = ["build", "test", "lint", "benchmarks", "production", "development"]
-FIELDS = [("ALLOC", "STRATEGY"), ("CONCURRENCY", "MODEL"), ("PERFORMANCE", "TARGET"), ("ANTI", "VM"), ("SANDBOX", "AWARE"), ("EBPF", "MONITORING")]
-TALES = ["imagine", "picture", "envision", "suppose"]
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(words) + ")"
-
-
-W, G, R = "[A-Za-z]+", "[^A-Za-z]+", "(?![A-Za-z])"
-L = "(?<![A-Za-z])"
-START = r"(?:\A|[\n.!?:;])[ \t\r]*"
-COLON = r"[^A-Za-z:]*:[^A-Za-z]*(?=[A-Za-z])"
-V = _any(VERBS) + R
-DUTY = _any(["must", "shall", "required"])
-NOT = f"(?={G}not{R})"
-YOU = f"{L}you(?:{G}{W}){{0,2}}{G}"
-NO_TALE = f"(?!{G}(?:to{G})?{_any(TALES)}{R})"
-METATEXT = f"(?i)({L}the{G}design{G}(?:goal|purpose){G}is)[^A-Za-z]*:[^A-Za-z]*"
-
-#: (bit, pattern, texts one of which must occur in lower case) of the rules that look at a whole text. Most texts lack them, and are not matched.
-RULES = [
-    (OBLIGATION, f"(?i){YOU}(?:{DUTY}{R}(?!{G}not{R})|should{R}){NO_TALE}", ("you",)),
-    (FORBIDDEN, f"(?i){YOU}(?:(?:{DUTY}|may|can){R}{NOT}|(?:never|cannot){R}){NO_TALE}", ("you",)),
-    (PERMITTED, f"(?i){YOU}may{R}(?!{G}not{R}){NO_TALE}", ("may",)),
-    (OBLIGATION, f"(?i){START}you{G}(?:are|speak|reference|ask){R}", ("you",)),
-    (OBLIGATION, f"(?i){START}{_any(LABELS)}{R}(?:{COLON}|{G}{W}{COLON})", (":",)),
-    (OBLIGATION, START + _any(f"{a}{G}{b}" for a, b in FIELDS) + R + COLON, (":",)),
-    (OBLIGATION, f"{START}ON(?:{G}[A-Z]+{R}){{1,3}}[^A-Za-z]*->[^A-Za-z]*(?=[A-Za-z])", ("->",)),
-    (OBLIGATION, f"(?i){START}every(?:{G}{W}){{0,4}}{G}(?:{DUTY}|should){R}", ("every",)),
-    (OBLIGATION, f"(?i){START}(?:always|please|strictly){G}{V}", ("always", "please", "strictly")),
-    (OBLIGATION, f"(?i){START}default{G}requirement{COLON}(?:{V}|every{R})", ("default",)),
-    (OBLIGATION, f"(?i){START}don{G}t{G}forget{R}", ("forget",)),
-    (OBLIGATION, f"(?i){START}{V}", ()),
-    (OBLIGATION, f"(?i){START}(?:{_any(SUBJECTS)}{R}|(?:all(?={G}work{R})|the(?={G}system{R})))(?:{G}{W}){{0,3}}{G}(?:{DUTY}{R}|should{G}be{G}{V})", ()),
-    (OBLIGATION, f"(?i){L}but{G}{V}", ("but",)),
-    (OBLIGATION, f"(?i)[A-Za-z][^A-Za-z]*,{V}", (",",)),
-    (FORBIDDEN, f"(?i){START}(?:do{G}not|never){G}{V}", ("not", "never")),
-    (FORBIDDEN, f"(?i){START}no{G}{W}", ("no",)),
-    (FORBIDDEN, f"(?i){START}bid(?:{G}{W}){{0,5}}{G}(?:prohibited|forbidden){R}", ("bid",)),
-]
-#: After "if": the first clause, of up to 14 words on, that tells to do something; what it begins with tells which.
-CONDITIONAL = rf"(?i){START}if(?:{G}{W}){{0,13}}?[^A-Za-z]*[,;:][ \t\r\n]*(?=(?:make{G}sure{G}to{G}{V}|do{G}not{G}{V}|{V}))([A-Za-z]+)"
-#: Openings after which any imperative of the same sentence counts.
-LEAD_IN = f"(?i){L}(?:to{G}get|if{G}you{G}(?:need|hit)|the{G}tests{G}are){R}"
-SENTENCE = r"[.\n][ \t\r]*(?=[A-Za-z])"
-
-
-def _holds(low: Column, texts: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in texts]) if texts else F.lit(True)
+SUBJECTS = frozenset(["functions", "code", "logic", "tests", "work"])
+LABELS = frozenset(["build", "test", "lint", "benchmarks", "production", "development"])
+FIELDS = {"ALLOC": "STRATEGY", "CONCURRENCY": "MODEL", "PERFORMANCE": "TARGET", "ANTI": "VM", "SANDBOX": "AWARE", "EBPF": "MONITORING"}
+TALES = frozenset(["imagine", "picture", "envision", "suppose"])
+DUTIES = frozenset(["must", "shall", "required"])
+#: A modal near "you": its modality as it stands, and before "not".
+MODALS = {**dict.fromkeys(DUTIES, (OBLIGATION, FORBIDDEN)), "should": (OBLIGATION, OBLIGATION), "may": (PERMITTED, FORBIDDEN), "never": (FORBIDDEN, FORBIDDEN), "cannot": (FORBIDDEN, FORBIDDEN), "can": (0, FORBIDDEN)}
+#: What must follow a word at the start of a sentence, and the modality of both.
+OPENERS = {**dict.fromkeys(["always", "please", "strictly"], ("VERB", OBLIGATION)), "never": ("VERB", FORBIDDEN), "do": ("not VERB", FORBIDDEN), "no": ("ANY", FORBIDDEN), "don": ("t forget", OBLIGATION)}
+OTHER = frozenset("you are speak not to every default requirement forget if bid prohibited forbidden make sure do all the system t don but then get need hit goal purpose is on".split())
+KNOWN = VERBS | SUBJECTS | LABELS | TALES | DUTIES | OTHER | frozenset(MODALS) | frozenset(OPENERS) | frozenset(x.lower() for p in FIELDS.items() for x in p)
+
+#: What stands between two words: the second begins a sentence, or comes after a full stop or line break; a comma right before it; a clause mark as the
+#: last sign; a colon or an arrow anywhere.
+START, STOP, COMMA, CLAUSE, COLON, ARROW = (1 << i for i in range(6))
+SPLIT = re.compile("([A-Za-z]+)")
+
+
+def gap(between: str, first: bool) -> int:
+    sentence, clause = between.rstrip(" \t\r"), between.rstrip(" \t\r\n")
+    end, mark = sentence[-1:], clause[-1:]
+    out = (START if end in "\n.!?:;" and (end or first) else 0) | (STOP if end in "\n." and (end or first) else 0)
+    out |= (COMMA if between.endswith(",") else 0) | (CLAUSE if mark and mark in ",;:" else 0)
+    return out | (COLON if ":" in between else 0) | (ARROW if "->" in between else 0)
+
+
+class State(NamedTuple):
+    """``rules``: (name, what is left to follow, further number or bits) of each rule under way; the rest is what came before."""
+
+    rules: frozenset
+    since_you: int = 9
+    last: tuple[str, str] = ("", "")
+    goal: int = 0
+    lead: bool = False
+    then: bool = False
+
+
+GOAL = [("the",), ("design",), ("goal", "purpose"), ("is",)]
+
+
+def _follows(state: State, word: str, caps: bool, before: int) -> tuple[set, int]:
+    """The rules of a state after one more word, and the modality of those that it completes."""
+    rules, mask = set(), 0
+    verb, capital = word in VERBS, word.upper() if caps else ""
+    for name, left, extra in state.rules:
+        if name == "modal":  # extra: modality, that before "not", whether "to" was seen
+            plain, negated, to = extra
+            if word == "not" and not to:
+                mask |= negated
+            elif word == "to" and not to:
+                rules.add((name, left, (plain, negated, True)))
+            elif word not in TALES:
+                mask |= plain
+        elif name == "next":  # left: what must follow, word by word
+            want, _, rest = left.partition(" ")
+            if want == "ANY" or word == want or (want == "VERB" and verb):
+                if rest:
+                    rules.add((name, rest, extra))
+                else:
+                    mask |= extra
+        elif name == "colon":  # a colon before this word, or (extra more times) before the next
+            if before & COLON:
+                mask |= OBLIGATION
+            elif extra:
+                rules.add((name, left, extra - 1))
+        elif name == "field":
+            if left == ":":
+                mask |= OBLIGATION if before & COLON else 0
+            elif capital == left:
+                rules.add((name, ":", extra))
+        elif name == "arrow":  # extra: capitals seen behind ON
+            if extra and before & ARROW:
+                mask |= OBLIGATION
+            if caps and extra < 3:
+                rules.add((name, left, extra + 1))
+        elif name == "within":  # left: a set of words, extra: how far, modality
+            far, bits = extra
+            if word in _SETS[left]:
+                mask |= bits
+            elif far > 1:
+                rules.add((name, left, (far - 1, bits)))
+        elif name == "default":
+            if left == "requirement":
+                if word == left:
+                    rules.add((name, ":", extra))
+            elif before & COLON and (verb or word == "every"):
+                mask |= OBLIGATION
+        elif name == "scoped":  # left: the word that must come now, extra: how far a modal may still be
+            if left and word != left:
+                continue
+            if word in DUTIES:
+                mask |= OBLIGATION
+            else:
+                if word == "should":
+                    rules.add(("next", "be VERB", OBLIGATION))
+                if extra > 1:
+                    rules.add((name, "", extra - 1))
+        elif name == "if":
+            rule, bits = _conditional(left, extra, word, verb, before)
+            mask |= bits
+            if rule:
+                rules.add(rule)
+    return rules, mask
+
+
+def _conditional(left: str, extra: int, word: str, verb: bool, before: int) -> tuple[tuple | None, int]:
+    """A condition, whose first clause of up to 14 words on that tells to do something decides. left: what such a clause still needs."""
+    far = extra - 1
+    if left:
+        want, _, rest = left.partition(" ")
+        if want == "VERB" and verb:
+            return None, FORBIDDEN if rest == "F" else OBLIGATION
+        if word == want:
+            return ("if", rest, far), 0
+    if far >= 0 and before & CLAUSE:
+        if word == "make":
+            return ("if", "sure to VERB O", far), 0
+        if word == "do":
+            return ("if", "not VERB F", far), 0
+        if verb:
+            return None, OBLIGATION
+    return (("if", "", far) if far > 0 else None), 0
+
+
+_SETS = {"duty": DUTIES | {"should"}, "ban": frozenset(["prohibited", "forbidden"])}
+
+
+def step(state: State, word: str, caps: bool, before: int) -> tuple[State, int]:
+    """The state after a word (in lower case; "" if it is nothing to any rule), and the modality of the rules that it completes."""
+    lead = state.lead and not before & STOP
+    rules, mask = _follows(state, word, caps, before)
+    verb = word in VERBS
+    meta = state.goal == len(GOAL) and bool(before & COLON)
+    since = state.since_you + 1
+    if word == "you":
+        since = 0
+        if before & START:
+            rules |= {("next", x, OBLIGATION) for x in ("are", "speak", "reference", "ask")}
+    elif since <= 3 and word in MODALS:
+        rules.add(("modal", "", (*MODALS[word], False)))
+    if before & START:
+        if word in LABELS:
+            rules.add(("colon", "", 1))
+        if caps and word.upper() in FIELDS:
+            rules.add(("field", FIELDS[word.upper()], 0))
+        if caps and word == "on":
+            rules.add(("arrow", "", 0))
+        if word == "every":
+            rules.add(("within", "duty", (5, OBLIGATION)))
+        if word == "bid":
+            rules.add(("within", "ban", (6, FORBIDDEN)))
+        if word == "default":
+            rules.add(("default", "requirement", 0))
+        if word in OPENERS:
+            rules.add(("next", *OPENERS[word]))
+        if word == "if":
+            rules.add(("if", "", 14))
+        if verb and not meta:
+            mask |= OBLIGATION
+        if word in SUBJECTS:
+            rules.add(("scoped", "", 4))
+        if word in ("the", "all"):
+            rules.add(("scoped", "system" if word == "the" else "work", 4))
+    if verb and ((lead and not meta) or state.then or state.last[1] == "but" or (before & COMMA and state.last != ("", ""))):
+        mask |= OBLIGATION
+    if lead and word == "don":
+        rules.add(("next", "t VERB", FORBIDDEN))
+    then = state.then or (lead and word == "then")
+    told = (word == "get" and state.last[1] == "to") or (word in ("need", "hit") and state.last == ("if", "you")) or (word == "are" and state.last == ("the", "tests") and not before & STOP)
+    goal = state.goal + 1 if state.goal < len(GOAL) and word in GOAL[state.goal] else 1 if word == "the" else 0
+    kept = word if word in ("to", "if", "you", "the", "tests", "but") else "-"
+    return State(frozenset(rules), min(since, 9), (state.last[1] or "-", kept), goal, lead or told, then), mask
+
+
+def ending(state: State) -> int:
+    """Modality of what no further word can change: modals that wait for a "not"."""
+    out = 0
+    for name, _, extra in state.rules:
+        out |= extra[0] if name == "modal" else 0
+    return out
+
+
+class Scanner:
+    """The automaton, determinised as texts are read."""
+
+    #: States that are kept; then it starts anew.
+    MOST = 1 << 16
+
+    def __init__(self):
+        self._forget()
+        self.gaps: dict[tuple[str, bool], int] = {}
+
+    def _forget(self) -> None:
+        self.states, self.numbers, self.next = [], {}, []
+        self._number(State(frozenset()))
+
+    def _number(self, state: State) -> int:
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.next.append({})
+        return self.numbers[state]
+
+    def mask(self, text: str | None) -> int:
+        if not text:
+            return 0
+        if len(self.states) > self.MOST:
+            self._forget()
+        parts = SPLIT.split(text)
+        at, out, gaps = 0, 0, self.gaps
+        for i in range(1, len(parts), 2):
+            between, raw = parts[i - 1], parts[i]
+            before = 0 if between == " " else gaps.get((between, i == 1))
+            if before is None:
+                if len(gaps) > self.MOST:
+                    gaps.clear()
+                before = gaps[between, i == 1] = gap(between, i == 1)
+            if i == 1 and between == " ":
+                before = START | STOP
+            low = raw.lower()
+            symbol = (low if low in KNOWN else "", raw.isupper(), before)
+            found = self.next[at].get(symbol)
+            if found is None:
+                state, bits = step(self.states[at], *symbol)
+                found = self.next[at][symbol] = (self._number(state), bits)
+            at, bits = found
+            out |= bits
+        return out | ending(self.states[at])
+
+
+_scanner: Scanner | None = None
+
+
+def scanner() -> Scanner:
+    """One for each worker process."""
+    global _scanner
+    if _scanner is None:
+        _scanner = Scanner()
+    return _scanner
 
 
 def mask(text: Column) -> Column:
     """The modality mask of a text; 0 for null."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), METATEXT, "$1 ")
-    low = F.lower(plain)
-    out = F.lit(0)
-    for bit, pattern, texts in RULES:
-        out = out.bitwiseOR(F.when(_holds(low, texts) & plain.rlike(pattern), bit).otherwise(0))
-    none = F.array().cast("array<string>")
-    heads = F.when(_holds(low, ("if",)), F.transform(F.regexp_extract_all(plain, F.lit(CONDITIONAL), F.lit(1)), F.lower)).otherwise(none)
-    out = out.bitwiseOR(F.when(F.exists(heads, lambda h: h != "do"), OBLIGATION).otherwise(0)).bitwiseOR(F.when(F.exists(heads, lambda h: h == "do"), FORBIDDEN).otherwise(0))
-    told = F.transform(F.filter(F.split(plain, SENTENCE), lambda s: s.rlike(LEAD_IN)), lambda s: F.regexp_replace(s, f"(?s)^.*?{LEAD_IN.replace('(?i)', '(?i:')})", ""))
-    told = F.when(_holds(low, ("get", "you", "tests")), told).otherwise(none)
-    out = out.bitwiseOR(F.when(F.exists(told, lambda s: s.rlike(f"(?i){L}{V}")), OBLIGATION).otherwise(0))
-    return out.bitwiseOR(F.when(F.exists(told, lambda s: s.rlike(f"(?i){L}don{G}t{G}{V}")), FORBIDDEN).otherwise(0))
+
+    @F.pandas_udf("int")
+    def scanned(texts: pd.Series) -> pd.Series:
+        s = scanner()
+        return pd.Series([s.mask(t) for t in texts], dtype="int32")
+
+    return scanned(text.cast("string"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..operators import authored, modality
 from ..streaming import turns as streaming
+from . import modality as rules
 from .common import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -45,11 +46,14 @@ def z2_compaction_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.completed(streaming.triggers(_stream(spark, sf_dir)), _folder(spark), "update").select("session_id", "fired", "tokens")
 
 
-@query()
+@query(f"""WITH x AS (SELECT 'sample' AS kind, unnest(range({len(rules.SAMPLES)})) AS id, unnest([{', '.join("'" + t.replace("'", "''") + "'" for t in rules.SAMPLES)}]) AS text
+      UNION ALL SELECT 'document', doc_id, text FROM documents UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations)
+    SELECT *, modality_mask <> 0 AS promoted FROM ({rules.masks_sql('x', 'kind, id')})""")
 def d1_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = spark.createDataFrame([("sample", i, t) for i, t in enumerate(rules.SAMPLES)], "kind string, id long, text string")
     docs = model.table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
     turns = model.table(spark, sf_dir, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return docs.unionByName(turns).select("kind", "id", modality.mask(F.col("text")).alias("modality_mask")).withColumn("promoted", F.col("modality_mask") != 0)
+    return samples.unionByName(docs).unionByName(turns).select("kind", "id", modality.mask(F.col("text")).alias("modality_mask")).withColumn("promoted", F.col("modality_mask") != 0)
 
 
 @query()
