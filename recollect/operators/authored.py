@@ -1,10 +1,12 @@
-"""Authored Markdown documents to tiered nodes, with column expressions over lines and windows."""
+"""Authored Markdown documents to tiered nodes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markdown
 from ..functions import text as T
 from .modality import mask
 
@@ -32,49 +34,31 @@ def hop_targets(front: Column, key: str = "hop_targets") -> Column:
 def nodes(docs: DataFrame) -> DataFrame:
     """Nodes of (source_doc, text) documents: ordinal, kind, tier, text, position, token_estimate, promoted, modality_mask, hop_targets.
 
-    A line's kind follows from the line and from whether it lies in a fence (fences passed so far, odd inside); a node
-    is a run of lines of a kind: a top-level list item with what is indented below it, a quote, a paragraph, a heading,
-    code. Tier 1 is for list items and frontmatter, 2 for quotes and promoted paragraphs, 0 for the rest.
+    A node is the frontmatter, an item of a top-level list with all that lies below it, a quote, a paragraph, a heading, code or HTML. Tier 1 is for list
+    items and frontmatter, 2 for quotes and promoted paragraphs, 0 for the rest. ``position`` is the byte at which a node's text begins. Blocks are read document by
+    document in Arrow batches; nothing is shuffled.
     """
     d = docs.select("source_doc", F.coalesce("text", F.lit("")).alias("raw"))
     front = frontmatter(F.col("raw"))
-    lines = d.select("source_doc", F.octet_length(F.regexp_extract("raw", FRONT, 0)).alias("base"), F.posexplode(F.split(body(F.col("raw")), "\n")).alias("n", "line"))
-    w = Window.partitionBy("source_doc").orderBy("n")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("line").rlike(r"^ {0,3}(?:```|~~~)")
-    lines = lines.withColumn("inside", F.coalesce(F.sum(fence.cast("int")).over(before), F.lit(0)) % 2 == 1)
-    lines = lines.withColumn("at", F.col("base") + F.coalesce(F.sum(F.octet_length("line") + 1).over(before), F.lit(0)))
-    own = (
-        F.when(F.col("inside") | fence, "code")
-        .when(F.trim("line") == "", "blank")
-        .when(F.col("line").rlike(r"^ {0,3}#{1,6}(?:\s|$)"), "heading")
-        .when(F.col("line").rlike(r"^ {0,3}>"), "quote")
-        .when(F.col("line").rlike(r"^ {0,1}(?:[-*+]|\d{1,9}[.)])\s"), "item")
-        .when(F.col("line").rlike(r"^(?:\t| {2,})\S"), "indented")
-        .otherwise("text")
-    )
-    lines = lines.withColumn("own", own)
-    # What is indented, or text right behind it, goes on with the item, quote or paragraph above; without one it is code.
-    lead = F.last(F.when(~F.col("own").isin("indented", "blank", "text"), F.col("own")).when((F.col("own") == "text"), F.col("own")), ignorenulls=True).over(before)
-    previous = F.lag("own").over(w)
-    above = F.last(F.when(F.col("own") != "indented", F.col("own")), ignorenulls=True).over(before)
-    kind = F.when((F.col("own") == "indented") & ((lead == "item") | (lead.isin("quote", "text") & (above != "blank"))), "more").when(F.col("own") == "indented", "code").when((F.col("own") == "text") & previous.isin("item", "quote", "indented") & lead.isin("item", "quote"), "more").otherwise(F.col("own"))
-    lines = lines.withColumn("kind", kind).withColumn("opens", fence & ~F.col("inside"))
-    last = F.lag("kind").over(w)
-    starts = F.when(F.col("kind").isin("more", "blank"), False).when(F.col("kind").isin("item", "heading"), True).when(F.col("kind") == "code", F.col("opens") | ~F.coalesce(last == "code", F.lit(False))).otherwise(~F.coalesce((last == F.col("kind")) | ((last == "more") & lead.isin("item") & (F.col("kind") == "text")), F.lit(False)))
-    lines = lines.withColumn("node", F.sum(starts.cast("int")).over(w)).where("node > 0")
-    # A node's lines: a document's own, bounded by its text.
-    joined = lines.groupBy("source_doc", "node").agg(F.min_by("kind", "n").alias("kind"), F.min("at").alias("position"), F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]).alias("l"))
-    code = F.regexp_replace(F.array_join("l", "\n"), r"^\s*(?:```|~~~)[^\n]*\n|\n\s*(?:```|~~~)\s*$|\s+$", "")
-    plain = T.one_line(F.regexp_replace(F.array_join(F.transform("l", lambda x: F.regexp_replace(x, r"^\s*(?:>\s?|#{1,6}\s+|[-*+]\s+|\d{1,9}[.)]\s+)", "")), " "), r"\s+#+\s*$", ""))
-    kinds = F.create_map(*[F.lit(x) for p in (("item", "list"), ("quote", "blockquote"), ("text", "paragraph"), ("heading", "heading"), ("code", "code")) for x in p])
-    found = joined.select("source_doc", "node", kinds[F.col("kind")].alias("kind"), "position", F.when(F.col("kind") == "code", code).otherwise(plain).alias("text"))
-    head = d.where(front != "").select("source_doc", F.lit(0).cast("long").alias("node"), F.lit("frontmatter").alias("kind"), F.lit(0).cast("long").alias("position"), F.trim(front).alias("text"))
-    both = head.unionByName(found.withColumn("position", F.col("position").cast("long"))).where("text <> ''").withColumn("modality_mask", mask(F.col("text"))).withColumn("promoted", F.col("modality_mask") != 0)
-    tier = F.when(F.col("kind").isin("list", "frontmatter"), 1).when((F.col("kind") == "blockquote") | ((F.col("kind") == "paragraph") & F.col("promoted")), 2).otherwise(0)
-    both = both.withColumn("tier", tier).withColumn("ordinal", F.row_number().over(Window.partitionBy("source_doc").orderBy("node")) - 1)
-    both = both.join(d.select("source_doc", hop_targets(front).alias("_hops")), "source_doc")
-    return both.select("source_doc", "ordinal", "position", "kind", "tier", "text", T.tokens_ceil(F.col("text")).alias("token_estimate"), "promoted", "modality_mask", F.when(F.col("tier") == 0, F.col("_hops")).otherwise(F.array().cast("array<string>")).alias("hop_targets"))
+    rows = d.withColumn("_front", front).withColumn("_hops", hop_targets(F.col("_front"))).withColumn("_base", F.octet_length(F.regexp_extract("raw", FRONT, 0)))
+    body_nodes = F.transform(_blocks(body(F.col("raw"))), lambda b: F.struct(b["kind"].alias("kind"), (b["position"] + F.col("_base")).alias("position"), b["text"].alias("text")))
+    head = F.regexp_replace("_front", r"(?U)^\s+|\s+$", "")
+    first = F.when(head != "", F.array(F.struct(F.lit("frontmatter").alias("kind"), F.lit(0).cast("long").alias("position"), head.alias("text")))).otherwise(F.array().cast("array<struct<kind:string,position:bigint,text:string>>"))
+    found = rows.select("source_doc", "_hops", F.posexplode(F.concat(first, body_nodes)).alias("ordinal", "b")).select("source_doc", "_hops", "ordinal", "b.*")
+    found = found.withColumn("modality_mask", mask(F.when(F.col("kind") == "paragraph", F.col("text")))).withColumn("promoted", F.col("modality_mask") != 0)
+    tier = F.when(F.col("kind").isin("list", "frontmatter"), 1).when((F.col("kind") == "blockquote") | F.col("promoted"), 2).otherwise(0)
+    hops = F.when(F.col("tier") == 0, F.col("_hops")).otherwise(F.array().cast("array<string>"))
+    return found.withColumn("tier", tier).select("source_doc", "ordinal", "position", "kind", "tier", "text", T.tokens_ceil(F.col("text")).alias("token_estimate"), "promoted", "modality_mask", hops.alias("hop_targets"))
+
+
+def _blocks(text: Column) -> Column:
+    """The top-level blocks of Markdown texts: an array of (kind, position, text)."""
+
+    @F.pandas_udf("array<struct<kind:string,position:bigint,text:string>>")
+    def read(texts: pd.Series) -> pd.Series:
+        return pd.Series([[b._asdict() for b in markdown.top_blocks(t or "")] for t in texts])
+
+    return read(text)
 
 
 def cache_key(text: Column, tokenizer: Column) -> Column:

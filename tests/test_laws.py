@@ -177,7 +177,7 @@ def test_nodes(spark):
     got = authored.nodes(spark.createDataFrame([("d", text), ("e", None), ("f", "plain")], "source_doc string, text string")).orderBy("source_doc", "ordinal").collect()
     assert [(r.kind, r.tier, r.text) for r in got if r.source_doc == "d"] == [
         ("frontmatter", 1, "hop_targets: [a, 'b', a]\ntitle: x"), ("heading", 0, "Head"), ("paragraph", 0, "Some text over lines"), ("list", 1, "always use it nested"), ("list", 1, "second"),
-        ("blockquote", 2, "quoted lazily"), ("code", 0, "# code\n\n- no item"), ("paragraph", 2, "You must do it"), ("code", 0, "    indented code"),
+        ("blockquote", 2, "quoted lazily"), ("code", 0, "# code\n\n- no item"), ("paragraph", 2, "You must do it"), ("code", 0, "indented code"),
     ]
     assert [r.hop_targets for r in got if r.source_doc == "d"][1] == ["a", "b"] and [r.ordinal for r in got if r.source_doc == "d"] == list(range(9))
     assert all(text.encode()[r.position :].lstrip(b"#>- `\n").startswith(r.text.split("\n")[0].split(" ")[0].lstrip("# ").encode()) for r in got if r.source_doc == "d" and r.kind in ("heading", "paragraph", "list"))
