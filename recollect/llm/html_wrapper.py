@@ -14,12 +14,15 @@ that all those pages have there. From that the wrapper's parts are judged (``jud
 
 * The article is the article or main element that holds most of the host's text (text of chrome left out), if that is at least half of it;
   in a host without such an element it is the whole page.
-* Within it go texts that every page of the host has there (notices, adverts, bylines of the site), unless most of the article is alike
-  in all pages, which are then copies; and elements whose text is nearly all links (menus, related pages). Both need ``MIN_PAGES`` pages.
+* Within it go texts that every page of the host has there (notices, adverts, bylines of the site). A text of the article might be in all pages by
+  accident, and the more so the more of the article is alike: with a share q of texts (by number or by size, the less) constant, n pages all have a given
+  one with probability q ** (n - 1), and it goes once that is below ``ACCIDENT``. Copies of one page so lose nothing. Headings stay however many pages have
+  them: what stands below them varies. So go elements whose text is nearly all links (menus, related pages), with the same certainty.
 * What varies from page to page and is no article either (rotating adverts, comments, side notes) no alignment can tell; it goes by
   element and by the words in class, id and role.
 
-A page is then read along its judged wrapper: text comes out only where the wrapper has a slot that stays.
+A page is then read along its judged wrapper: text comes out only where the wrapper has a slot that stays. Elements more than ``DEPTH`` deep lie side by side
+in the one at that depth, but for articles and chrome, which are told apart at any depth.
 
 Defined cases: null or empty html gives the empty text; a null url belongs to the host ""; null ids and
 repeated rows are kept; a page that breaks off is read as far as it goes; text of any length is read
@@ -43,8 +46,8 @@ from . import common as C
 
 # Fixed values of HTML and of the names that pages give to what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title xmp noembed noframes object canvas audio video select button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template iframe svg textarea title xmp noembed noframes object canvas audio video select".split())
+INLINE = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics button a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "thead": set(), "tfoot": {"tr", "td", "th", "tbody", "thead"}}
 HOLDS = frozenset("ul ol menu dl table article section div main aside nav header footer form blockquote body html td th details dialog figure".split())
@@ -54,15 +57,19 @@ CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu menus modal nav navbar navigation "
     "newsletter notice notices notification pagination popup promo promoted related share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets copyright".split()
 )
+#: Words that stand beside these in one name and say no more than where or what kind of box it is; a name with any other word ("share-price") is no chrome.
+BOX_WORDS = frozenset("bar box block area inner outer wrap wrapper container content list links link item items button buttons icon icons top bottom left right main site page section post entry article global primary secondary mobile desktop small large inline sticky fixed".split())
+#: Words that name the head and foot of a page, and within an article those of the article.
+ENDS = frozenset("header footer banner masthead".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 th dt caption legend summary figcaption".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
 
-#: Pages of a host from which on constant texts and link lists are told by its wrapper.
-MIN_PAGES = 6
+#: Probability of an accident below which a text that all pages have is taken for the host's, and the least share that is reckoned with.
+ACCIDENT, LEAST_SHARE = 0.04, 0.45
+#: Nesting that is kept.
+DEPTH = 100
 #: Share of a host's text that its article holds at least, and of links in a list of links.
 ARTICLE_SHARE, LINKS_SHARE = 0.5, 0.9
-#: Share of constant text beyond which pages are taken for copies: in articles, and in whole pages (which have more that all pages share).
-COPIES_SHARE, COPIES_SHARE_OF_PAGE = 0.5, 0.95
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(?=/?[a-zA-Z])[^>]*$|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile("[a-z]+")
@@ -78,22 +85,28 @@ class Node:
 
 
 def _key(tag: str, attributes: str) -> str:
+    """The tag with its naming words, the role behind "@", and "!" if a name is that of chrome ("^": of a head or foot)."""
     if not attributes or "=" not in attributes:
         return tag
-    words, role = set(), ""
+    words, role, sign = set(), "", ""
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() == "role":
             role = f"@{value.strip()}"
-        else:
-            words.update(_WORD.findall(value))
-    return tag + "".join(f".{w}" for w in sorted(words)) + role
+            continue
+        for token in value.split():
+            own = set(_WORD.findall(token))
+            words |= own
+            if own & CHROME_WORDS and own <= CHROME_WORDS | BOX_WORDS:
+                sign = "!" if own & (CHROME_WORDS - ENDS) else sign or "^"
+    return tag + "".join(f".{w}" for w in sorted(words)) + role + sign
 
 
 def tree(source: str) -> Node:
     """The page as nested tokens. Inline tags vanish, br and the like count as white space."""
     root = Node("#page", "#page")
     stack, text, linked, in_link = [root], [], 0, 0
+    deep: list[int] = []
 
     def flush() -> None:
         nonlocal text, linked
@@ -106,6 +119,8 @@ def tree(source: str) -> Node:
     def close(upto: int) -> None:
         flush()
         del stack[upto:]
+        while deep and deep[-1] >= upto:
+            deep.pop()
 
     raw, at, n = None, 0, len(source)
     while at < n:
@@ -161,7 +176,12 @@ def tree(source: str) -> Node:
         if m[4] and tag not in HOLDS:
             continue
         node = Node(_key(tag, m[3]), tag)
-        stack[-1].parts.append(node)
+        if len(stack) <= DEPTH or not deep and (_is_main(node.key) or _chrome(node.key)):
+            stack[-1].parts.append(node)
+        else:
+            node.parts = stack[-1].parts  # side by side
+        if len(stack) > DEPTH and _chrome(node.key):
+            deep.append(len(stack))  # nothing below it is told apart
         stack.append(node)
         in_link = 0
     close(1)
@@ -254,13 +274,14 @@ def written(parts: list[list]) -> str:
 
 
 def _chrome(key: str) -> bool:
-    named, _, role = key.partition("@")
-    tag, *words = named.split(".")
-    return tag in CHROME_TAGS or role in CHROME_ROLES or (tag not in ("html", "body", "article", "main") and not CHROME_WORDS.isdisjoint(words))
+    named, _, role = key.rstrip("!^").partition("@")
+    tag = named.split(".")[0]
+    return tag in CHROME_TAGS or role in CHROME_ROLES or (tag not in ("html", "body", "article", "main") and key[-1] in "!^")
 
 
 def _is_main(key: str) -> bool:
-    return key.split(".")[0].split("@")[0] in ("article", "main") or key.endswith("@main")
+    named, _, role = key.rstrip("!^").partition("@")
+    return named.split(".")[0] in ("article", "main") or role == "main"
 
 
 def _text(parts: list[list]) -> tuple[int, int]:
@@ -302,32 +323,33 @@ def judged(parts: list[list], pages: int) -> tuple[dict[str, Judged], bool]:
     best = max(_mains(parts), key=lambda p: _text(p[2])[0], default=None)
     if best is not None and _text(best[2])[0] < ARTICLE_SHARE * _text(parts)[0]:
         best = None
-    many = pages >= MIN_PAGES
-
-    def has_copies(inner: list[list], share: float) -> bool:
-        """Whether texts that all pages have make up most of the text."""
-        slots = list(_slots(inner))
-        return sum(x & 0xFFFFF for p in slots for x in p[2]) * pages > share * sum(p[3][0] for p in slots)
+    known = [p for p in _slots(best[2] if best is not None else parts) if p[3][1] < LINKS_SHARE * p[3][0]]
+    constant = sum(len(p[2]) for p in known), sum(x & 0xFFFFF for p in known for x in p[2]) * pages
+    q = min(constant[0] / max(1, sum(max(len(p[2]), 1) for p in known)), constant[1] / max(1, sum(p[3][0] for p in known)))
 
-    constants = many and not (has_copies(best[2], COPIES_SHARE) if best is not None else has_copies(parts, COPIES_SHARE_OF_PAGE))
+    def certain(n: int, share: float = LEAST_SHARE) -> bool:
+        """Whether what n pages have is the host's and no accident."""
+        return max(share, LEAST_SHARE) ** (n - 1) < ACCIDENT
 
-    def down(inner: list[list], inside: bool) -> dict[str, Judged]:
+    def down(inner: list[list], inside: bool, heading: bool) -> dict[str, Judged]:
         out = {}
         for p in inner:
             for x in p[2] if p[0] == "()" else [p]:
                 if x[0] == "#":
-                    fixed = frozenset(x[2]) if constants and x[3][2] >= MIN_PAGES else frozenset()
+                    fixed = frozenset(x[2]) if not heading and certain(x[3][2], q) else frozenset()
                     out["#"] = Judged(False, inside, fixed, {})
                     continue
+                tag = x[0].rstrip("!^").split("@")[0].split(".")[0]
                 article = x is best or (best is not None and x[0] == best[0] and not inside and _is_main(x[0]))
                 within = inside or article
-                title = x[0].split(".")[0].split("@")[0] == "header" and within and best is not None and CHROME_WORDS.isdisjoint(x[0].split("@")[0].split(".")[1:])
+                # Within an article, its own head and foot are none of the page's.
+                own = within and best is not None and ((tag == "header" and x[0][-1] != "!") or (x[0][-1] == "^" and tag not in CHROME_TAGS))
                 n, links = _text(x[2])
-                listing = many and within and not article and x[0].split(".")[0].split("@")[0] in LISTS and links >= LINKS_SHARE * max(1, n) and _pages(x[2]) >= MIN_PAGES
-                out[x[0]] = Judged(article, (not _chrome(x[0]) or title) and not listing, frozenset(), down(x[2], within))
+                listing = within and not article and tag in LISTS and links >= LINKS_SHARE * max(1, n) and certain(_pages(x[2]))
+                out[x[0]] = Judged(article, (not _chrome(x[0]) or own) and not listing, frozenset(), down(x[2], within, tag in HEADINGS))
         return out
 
-    return down(parts, best is None), best is not None
+    return down(parts, best is None, False), best is not None
 
 
 def _slots(parts: list[list]) -> Iterator[list]:
@@ -427,27 +449,54 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame, most_broadcast: int = 16_000_000, salts: int = 16) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page.
+
+    Tasks get each wrapper once: all of them, if they are ``most_broadcast`` characters at most; else pages are dealt by host, pages of a hot host to
+    ``salts`` tasks, and every part of a host begins with its wrapper.
+    """
     found = wrappers(pages)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumn("host", _host(F.col("url")))
-    size = found.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
-    if size <= most_broadcast:
-        joined = rows.join(F.broadcast(found), "host")
-    else:  # pages of a hot host go to several tasks, with a copy of the wrapper each
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "_salt"])
+    size = found.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def answer(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readers: dict[str, Reader] = {}
+    if size <= most_broadcast:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: (r.wrapper, r.pages) for r in found.collect()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            readers: dict[str, Reader] = {}
+            for b in batches:
+                texts = []
+                for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                    if host not in readers:
+                        if len(readers) > 500:
+                            readers.clear()
+                        w, n = shared.value[host]
+                        readers[host] = Reader(json.loads(w), n)
+                    texts.append(readers[host].read(source or ""))
+                yield answer(b.column("page_id").to_pylist(), b.column("url").to_pylist(), texts)
+
+        return rows.mapInArrow(run, schema)
+
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("page_id", "long"), ("url", "string"), ("html", "string"))]
+    first = found.select(*none, "host", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), "pages", "wrapper")
+    dealt = rows.select("page_id", "url", "html", "host", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("_salt"), F.lit(None).cast("long").alias("pages"), F.lit(None).cast("string").alias("wrapper"))
+    both = first.unionByName(dealt).repartition("host", "_salt").sortWithinPartitions("host", "_salt", F.col("wrapper").isNull())
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = None
         for b in batches:
-            texts = []
-            for host, n, w, source in zip(*(b.column(k).to_pylist() for k in ("host", "pages", "wrapper", "html")), strict=True):
-                if host not in readers:
-                    if len(readers) > 500:
-                        readers.clear()
-                    readers[host] = Reader(json.loads(w), n)
-                texts.append(readers[host].read(source or ""))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "host", "pages", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            ids, urls, texts = [], [], []
+            for page_id, url, source, w, n in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "wrapper", "pages")), strict=True):
+                if w is not None:
+                    reader = Reader(json.loads(w), n)
+                    continue
+                ids.append(page_id)
+                urls.append(url)
+                texts.append(reader.read(source or ""))
+            yield answer(ids, urls, texts)
+
+    return both.mapInArrow(along, schema)
