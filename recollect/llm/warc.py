@@ -60,31 +60,46 @@ def record(page_id, url: str, kind: str, refers_to, payload: bytes, length: int,
     return z.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n") + z.compress(body + b"\r\n\r\n") + z.flush()
 
 
+#: Bytes of a header, at most; it ends with an empty line.
+HEAD = 1 << 16
+
+
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, body) of each gzip member of a stream of bytes; holds one record at a time.
 
-    A member that breaks off, a missing Content-Length or a missing end raises ValueError.
+    A header is inflated first, then as many bytes as its Content-Length says and the four that end a record; a member that holds more is refused before
+    more is inflated. A member that breaks off at any byte, a missing Content-Length or a missing end raises ValueError.
     """
-    inflate, out, data = zlib.decompressobj(31), bytearray(), b""
-    while True:
-        if not data:
-            data = next(pieces, b"")
-            if not data:
-                if out or not inflate.eof and inflate.unconsumed_tail:
+    data = next(pieces, b"")
+    while data:
+        inflate = zlib.decompressobj(31)
+
+        def upto(out: bytearray, size: int, stop: bytes = b"") -> None:
+            """Inflates until ``out`` has ``size`` bytes or holds ``stop``, or the member ends."""
+            nonlocal data
+            seen = max(0, len(out) - len(stop))
+            while len(out) < size and not inflate.eof and not (stop and stop in out[seen:]):
+                seen = max(0, len(out) - len(stop))
+                if not data and not (data := next(pieces, b"")):
                     raise ValueError("the archive ends within a record")
-                return
-        out += inflate.decompress(data)
-        data = b""
-        if inflate.eof:
-            head, found, rest = bytes(out).partition(b"\r\n\r\n")
-            fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in x)
-            if not found or not head.startswith(b"WARC/") or "Content-Length" not in fields:
-                raise ValueError("no WARC header")
-            n = int(fields["Content-Length"])
-            if rest[n:] != b"\r\n\r\n":
-                raise ValueError("a record is longer or shorter than its Content-Length")
-            yield fields, rest[:n]
-            data, out, inflate = inflate.unused_data, bytearray(), zlib.decompressobj(31)
+                try:
+                    out += inflate.decompress(data, min(PIECE, size - len(out)))
+                except zlib.error as e:
+                    raise ValueError("no gzip member") from e
+                data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+
+        out = bytearray()
+        upto(out, HEAD, b"\r\n\r\n")
+        head, found, rest = bytes(out).partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:] if ": " in x)
+        if not found or not head.startswith(b"WARC/") or not fields.get("Content-Length", "").isdigit():
+            raise ValueError("no WARC header")
+        n, out = int(fields["Content-Length"]), bytearray(rest)
+        upto(out, n + 5)
+        if not inflate.eof or out[n:] != b"\r\n\r\n":
+            raise ValueError("a record is longer or shorter than its Content-Length")
+        yield fields, bytes(out[:n])
+        data = data or next(pieces, b"")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
