@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import model
 from ..operators import authored, modality
+from ..operators import store
+from ..sources import files
+from ..streaming import sync
 from ..streaming import turns as streaming
 from . import modality as rules
 from .common import registry
@@ -62,3 +66,40 @@ def a3_authored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     front = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntitle: t\nhop_targets: [a, "), F.col("lang"), F.lit("]\n---\n"))).otherwise("")
     marked = F.concat(front, F.lit("# Head\n\n"), F.col("text"), F.lit("\n\n- always use it\n  more\n- second\n\n> quoted\n\n```\ncode\n```\n"))
     return authored.nodes(d.select(F.col("doc_id").cast("string").alias("source_doc"), marked.alias("text")))
+
+
+def _notes(spark: SparkSession, sf_dir: str, late: bool) -> DataFrame:
+    """Conversations as notes in files: at first their first two turns; later all turns, of which some change nothing, some files are too young to be taken, and some are gone."""
+    c = model.table(spark, sf_dir, "conversations")
+    said = F.array_join(F.transform(F.sort_array(F.collect_list(F.when((F.col("turn") < 2) | (F.lit(late) & (F.col("conv_id") % 3 != 0)), F.struct("turn", "text")))), lambda t: t["text"]), "\n\n")
+    notes = c.groupBy("conv_id").agg(F.concat(F.lit("## Deep sleep\n- "), F.regexp_replace(said, "\\s+", " "), F.lit(" {score=0.7 recall="), F.max("turn").cast("string"), F.lit(" unique=2}")).alias("text"))
+    notes = notes.select(F.concat(F.lit("n"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), "text", F.octet_length("text").cast("long").alias("size"), (F.lit(2000 if late else 1000) + F.when(F.col("conv_id") % 5 == 1, 900).otherwise(0)).cast("long").alias("mtime_ms"), "conv_id")
+    return notes.where("conv_id % 7 <> 0").drop("conv_id") if late else notes.drop("conv_id")
+
+
+def _followed(spark: SparkSession, sf_dir: str, parse) -> str:
+    folder = f"{_folder(spark)}/notes-{uuid.uuid4().hex}"
+    for late, now in ((False, 2500), (True, 2150), (True, 4000)):
+        sync.follow(spark, lambda late=late: _notes(spark, sf_dir, late), folder, parse, clock=lambda now=now: now).awaitTermination()
+    return folder
+
+
+NOTES = r"""a AS (SELECT conv_id, '## Deep sleep' || chr(10) || '- ' || regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn < 2), '\s+', ' ', 'g') || ' {score=0.7 recall=' || max(turn) || ' unique=2}' AS old,
+      '## Deep sleep' || chr(10) || '- ' || regexp_replace(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn < 2 OR conv_id % 3 <> 0), '\s+', ' ', 'g') || ' {score=0.7 recall=' || max(turn) || ' unique=2}' AS new FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"""WITH {NOTES} SELECT 'n' || conv_id || '.md' AS path, 0 AS epoch, 'new' AS change, sha256(old) AS digest FROM a WHERE old IS NOT NULL
+    UNION ALL SELECT 'n' || conv_id || '.md', 1, 'gone', NULL FROM a WHERE conv_id % 7 = 0
+    UNION ALL SELECT 'n' || conv_id || '.md', CASE WHEN conv_id % 5 = 1 THEN 2 ELSE 1 END, 'changed', sha256(new) FROM a WHERE conv_id % 7 <> 0 AND new <> old""")
+def z3_followed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What three ticks over a changing tree of notes see; a note that changed a moment ago is taken by the tick after."""
+    folder = _followed(spark, sf_dir, lambda d: d.select("source_doc", F.length("text").alias("n")))
+    return sync.log(spark, folder).select("path", "epoch", "change", "digest")
+
+
+@query(f"""WITH {NOTES}, e AS (SELECT conv_id, trim(substr(new, 17, strpos(new, ' {{score=') - 17)) AS text, regexp_extract(new, 'recall=([0-9]+)', 1)::INT AS recall_count FROM a WHERE conv_id % 7 <> 0)
+    SELECT 'n' || conv_id || '.md#dream#000000' AS id, text, 2 AS line, recall_count FROM e WHERE recall_count >= 2 AND octet_length(encode(text)) >= 16""")
+def z4_followed_diaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The promoted entries of diaries that are followed in the same way."""
+    folder = _followed(spark, sf_dir, lambda d: store.promoted(files.diary(d)))
+    return sync.current(spark, folder).select("id", "text", "line", "recall_count")
