@@ -7,7 +7,7 @@ under the same functions. ``WALKS`` walks are taken over windows of each item's
 of each output ``SAMPLES`` samples of ``BITS`` positions are hashed, and a window whose hash
 equals that of an item is a candidate. Documents have a window every ``STRIDE`` words; an item has one at ``STRIDE`` offsets
 next to one another, and so again after each half of a window's length up to its end. So of each stretch of the item some window of
-a passage starts at the same word, and a long item is found by any of its stretches. A window has at most about half of its item's words, so that some
+a passage starts at the same word, and a long item is found by any of its stretches. From 39 words on a window has at most half of its item's words, so that some
 window has few of the edits: after an edit a walk takes some steps to fall in with the other again, and whole items of a hundred words with a fifth of edits hardly agree anywhere.
 Items too short for that have windows of ``SHORT`` words at every word, and so have documents, if there are such items.
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STRIDE = 8
-WALKS = 4
+WALKS = 8
 SAMPLES = 8
 BITS = 5
 #: The same for the windows of short items, which stand at every word.
@@ -48,15 +48,15 @@ MOST_EDITS = 0.2
 LEAST_WORDS = 6
 #: Table cells of verification that are worked on together.
 MOST_HITS = 1 << 20
-#: Words of a window of short items, and in each size class; an item belongs to the largest that fits twice and leaves room for STRIDE offsets.
+#: Words of a window of short items, and in each size class; an item belongs to the largest that fits twice (the least: once) and leaves room for STRIDE offsets.
 SHORT, CLASSES = 4, (8, 16, 32)
 BLOCK_CHARS = 16_000_000
 BLOCK_ITEMS = 20_000
 
 
 def size_class(n_words: int) -> tuple[int, int]:
-    """Words and stride of the windows of an item: the largest class of at most half its words less STRIDE - 1; if there is none, SHORT at every word."""
-    return max([(c, STRIDE) for c in CLASSES if 2 * c + STRIDE - 1 <= n_words], default=(SHORT, 1))
+    """Words and stride of the windows of an item: the largest class of at most half its words less STRIDE - 1 (the least: of all); if there is none, SHORT at every word."""
+    return max([(c, STRIDE) for c in CLASSES if (1 if c == CLASSES[0] else 2) * c + STRIDE - 1 <= n_words], default=(SHORT, 1))
 
 
 class Walks:
