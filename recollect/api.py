@@ -165,15 +165,18 @@ class Memory:
 
     # compaction
 
-    def compact(self, sessions: list[str], target: int = 20) -> DataFrame:
-        """Summaries, coverage edges and guidance shards of the sessions' older turns, in one commit; gives the result of each session."""
+    def compact(self, sessions: list[str], target: int = 20, model: compact.Summariser | None = None) -> DataFrame:
+        """Summaries, coverage edges and guidance shards of the sessions' older turns, in one commit; gives the result of each session.
+
+        Buckets of turns that the gate holds worth it (``gating_score`` of their metadata) go to the ``model``, if there is one.
+        """
         version = self.store.version()
         turns = self.records().where(F.col("collection").isin([f"session:{s}" for s in sessions]))
         dealt = compact.older_buckets(turns, target)
         marked = protect.protected(dealt)
         # Large code blocks and encoded lines give way to placeholders before anything is summarised.
-        clean = marked.where("protection is null").withColumn("text", protect.sanitised(F.col("text")))
-        made = protect.ladder(clean).where("accepted")
+        clean = marked.where("protection is null").withColumn("text", protect.sanitised(F.col("text"))).withColumn("gating_score", F.col("metadata")["gating_score"].try_cast("double"))
+        made = protect.ladder(clean, embed=self.embed, model=model).where("accepted")
         rows = made.select(F.concat(F.lit("session_summary:"), "session_id").alias("collection"), "id", "text", F.col("end_ms").alias("ts_ms"), "session_id", F.lit("summary").alias("type"), F.create_map(F.lit("confidence"), F.col("confidence").cast("string"), F.lit("decay_rate"), F.col("decay_rate").cast("string")).alias("metadata"))
         kept = protect.shards(marked).select("collection", "id", "text", F.col("source_turn_ts").alias("ts_ms"), "type", F.create_map(F.lit("protection_reason"), "protection_reason").alias("metadata"))
         new = self._filled(rows).unionByName(self._filled(kept))

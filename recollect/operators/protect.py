@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -49,9 +49,6 @@ def sanitised(text: Column) -> Column:
     return F.when(flat == "", "[no text]").otherwise(flat)
 
 
-def ladder(dealt: DataFrame, densities: tuple[float, float] = (0.4, 0.25), embed=V.hashed_embedding) -> DataFrame:
+def ladder(dealt: DataFrame, densities: tuple[float, float] = (0.4, 0.25), embed=V.hashed_embedding, model: compact.Summariser | None = None) -> DataFrame:
     """The first summary of each bucket, of those made denser and denser, that is shorter than its sources; declined if none is."""
-    tries = [compact.summaries(dealt, d, embed).withColumn("step", F.lit(k)).withColumn("density", F.lit(d)) for k, d in enumerate(densities)]
-    both = tries[0].unionByName(tries[1])
-    order = Window.partitionBy(*compact.BUCKET).orderBy(F.col("accepted").desc(), "step")
-    return both.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    return compact.escalated(dealt, model, densities, embed)

@@ -21,9 +21,9 @@ def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact.older_buckets(t)
 
 
-def summary_sql(pick: str, tag: str) -> str:
-    """Summaries of the chosen turns, with their own vectors, as relations s, se and t with a tag behind their names."""
-    return rf"""s{tag} AS (SELECT session_id, bucket, string_agg(text, ' ' ORDER BY ts_ms, id) FILTER (chosen) AS text, 'summary:' || substr(sha256(session_id || ':' || string_agg(id || ',', '' ORDER BY ts_ms, id)), 1, 16) AS id,
+def summary_sql(pick: str, tag: str, text: str = "string_agg(text, ' ' ORDER BY ts_ms, id) FILTER (chosen)") -> str:
+    """Summaries of the chosen turns (or another text of a bucket's), with their own vectors, as relations s, se and t with a tag behind their names."""
+    return rf"""s{tag} AS (SELECT session_id, bucket, {text} AS text, 'summary:' || substr(sha256(session_id || ':' || string_agg(id || ',', '' ORDER BY ts_ms, id)), 1, 16) AS id,
       list(id ORDER BY ts_ms, id) AS ids, sum(tokens)::BIGINT AS source_tokens, count(*) AS turns FROM {pick} GROUP BY 1, 2 HAVING count(*) >= 2),
     sw{tag} AS (SELECT session_id, bucket, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM s{tag}),
     sh{tag} AS (SELECT session_id, bucket, i, sum(('0x' || substr(sha256(w), 2 * i + 1, 2))::INT / 127.5 - 1.0) AS x FROM sw{tag} CROSS JOIN (SELECT unnest(range({SIZE})) AS i) GROUP BY ALL),
@@ -103,6 +103,28 @@ def x8_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect.ladder(_dealt(spark, sf_dir), embed=_embed).select("session_id", "bucket", "step", "accepted")
 
 
+def _first_words(n: int) -> str:
+    return rf"array_to_string(list_filter(regexp_split_to_array(string_agg(text, ' ' ORDER BY ts_ms, id), '\s+'), lambda x: x <> '')[1:{n}], ' ')"
+
+
+@query(f"""WITH {DEALT}, pick1 AS (SELECT * REPLACE (row_number() OVER (PARTITION BY session_id, bucket ORDER BY round(sim, 9) DESC, ts_ms, id) <= ceil(count(*) OVER (PARTITION BY session_id, bucket) * 0.25) AS chosen) FROM pick),
+    {summary_sql('pick1', '1')}, {summary_sql('pick', '64', _first_words(64))}, {summary_sql('pick', '32', _first_words(32))},
+    g AS (SELECT session_id, bucket, round(avg((length(text) % 100) / 100.0), 9) >= 0.55 AS routed FROM pick GROUP BY 1, 2),
+    tries AS (SELECT t.session_id, t.bucket, t.source_tokens, routed, unnest([0, 1, 2]) AS step,
+        unnest([CASE WHEN routed AND t64.align >= 0.65 THEN 'abstractive' ELSE 'extractive' END, CASE WHEN routed AND t32.align >= 0.65 THEN 'abstractive' ELSE 'extractive' END, 'extractive']) AS method,
+        unnest([CASE WHEN routed AND t64.align >= 0.65 THEN t64.text ELSE t.text END, CASE WHEN NOT routed THEN t1.text WHEN t32.align >= 0.65 THEN t32.text ELSE t.text END, t1.text]) AS text,
+        unnest([CASE WHEN routed AND t64.align >= 0.65 THEN 0.8 * t64.confidence + 0.2 * 0.5 ELSE t.confidence END, CASE WHEN NOT routed THEN t1.confidence WHEN t32.align >= 0.65 THEN 0.8 * t32.confidence + 0.2 * 0.5 ELSE t.confidence END, t1.confidence]) AS confidence
+      FROM t JOIN t1 USING (session_id, bucket) JOIN t64 USING (session_id, bucket) JOIN t32 USING (session_id, bucket) JOIN g USING (session_id, bucket)),
+    tried AS (SELECT *, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < source_tokens AS ok FROM tries WHERE routed OR step < 2)
+    SELECT session_id, bucket, CASE WHEN routed THEN 'abstractive' ELSE 'extractive' END AS route, step, method, text, round(confidence, 6) + 0.0 AS confidence, ok AS accepted FROM tried
+    QUALIFY row_number() OVER (PARTITION BY session_id, bucket ORDER BY ok DESC, step) = 1""")
+def x6_routed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets that the gate holds worth it go to a model, which here writes the first words it may; what is not aligned or not shorter falls back."""
+    rows = _dealt(spark, sf_dir).withColumn("gating_score", (F.length("text") % 100) / 100.0 + 0.05)
+    out = compact.escalated(rows, lambda texts, most: (" ".join(" ".join(texts).split()[:most]), 0.5), embed=_embed)
+    return out.select("session_id", "bucket", "route", "step", "method", "text", r6("confidence").alias("confidence"), "accepted")
+
+
 @query()
 def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import protect, rank
