@@ -89,6 +89,11 @@ class Memory:
         version = self.store.version()
         return self.store.commit({"records": store.flushed(self.records(), prefix, exact)}, version)
 
+    def delete_collections(self, prefix: str) -> int:
+        """Deletes all collections whose name begins with the prefix."""
+        version = self.store.version()
+        return self.store.commit({"records": store.without_collections(self.records(), prefix)}, version)
+
     def bump_access_counts(self, used: DataFrame) -> int:
         version = self.store.version()
         return self.store.commit({"records": store.bumped(self.records(), used).select(*self.records().columns)}, version)

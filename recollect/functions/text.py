@@ -101,3 +101,30 @@ def number(value: Column) -> Column:
 def eviction_priority(idle_ms: Column, size: Column, uses: Column, k: float = 1.2e11) -> Column:
     """How soon an unused model goes: idle time times size, less the more it was used."""
     return idle_ms * size / (k * (1 + F.log(uses + 1.0)))
+
+
+def fnv64(text: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes as 16 hexadecimal digits.
+
+    The hash is kept as four numbers of 16 bits: its prime is 2**40 + 435, so a step multiplies each by 435, adds those that 40 bits shift into
+    the upper two, and carries.
+    """
+    digits = F.hex(text.cast("binary"))
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(places, lambda i: F.conv(F.substring(digits, i, 2), 16, 10).cast("long"))
+    basis = F.array(*[F.lit(0xCBF29CE484222325 >> s & 0xFFFF).cast("long") for s in (0, 16, 32, 48)])
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFF))
+    up = lambda x, n: F.shiftright(x, n)
+
+    def carried(p: Column) -> Column:
+        # p: the products of the four parts, not yet carried.
+        first = p[1] + up(p[0], 16)
+        second = p[2] + up(first, 16)
+        return F.array(low(p[0]), low(first), low(second), low(p[3] + up(second, 16)))
+
+    def step(h: Column, code: Column) -> Column:
+        a = h[0].bitwiseXOR(code)
+        return carried(F.array(a * 435, h[1] * 435, h[2] * 435 + low(F.shiftleft(a, 8)), h[3] * 435 + up(a, 8) + low(F.shiftleft(h[1], 8))))
+
+    part = lambda h, i: F.lpad(F.lower(F.hex(h[i])), 4, "0")
+    return F.aggregate(codes, basis, step, lambda h: F.concat(part(h, 3), part(h, 2), part(h, 1), part(h, 0)))

@@ -111,6 +111,8 @@ def header(items: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("query_id", "section").orderBy("position"))
     mark = F.create_map(*[F.lit(x) for s in SECTIONS for x in (s[0], s[2])])
     shown = F.when(F.col("section") == "tail", tagged(F.col("text"), F.col("role"), "session")).when(F.col("section") == "recalled", tagged(F.col("text"), F.col("role"), "recalled")).otherwise(F.col("text"))
+    if {"collection", "user_id"} <= set(items.columns):  # records that name no speaker speak for whose they are
+        items = items.withColumn("role", role_of(F.col("role"), F.col("collection"), F.col("user_id")))
     rows = items.withColumn("_n", number).withColumn("_line", F.concat(F.lit("["), mark[F.col("section")], F.col("_n").cast("string"), F.lit("] "), shown))
     # What is selected fits a prompt, so lists of it are short.
     by = rows.groupBy("query_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_line"))), lambda s: s["_line"]), "\n").alias("lines"))

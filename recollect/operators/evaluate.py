@@ -30,6 +30,25 @@ def recall_at(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1,
     return out.select("query_id", *[(F.coalesce(f"n{k}", F.lit(0)) / F.least("relevant", F.lit(k))).alias(f"recall_{k}") for k in ks], F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("mrr"))
 
 
+def recall_by_collection(ranked: DataFrame, queries: DataFrame, records: DataFrame, ks: tuple[int, ...] = (1, 3, 8)) -> DataFrame:
+    """``recall_at`` where a query's relevant records are all others of its own collection: counted, never listed.
+
+    ranked: query_id, rank, id, collection; queries: query_id, collection (of records themselves); records: collection.
+    """
+    sizes = records.groupBy("collection").agg((F.count("*") - 1).alias("relevant")).where("relevant > 0")
+    total = queries.select("query_id", "collection").join(sizes, "collection")
+    hit = ranked.join(queries.select("query_id", F.col("collection").alias("_own")), "query_id").where("collection = _own")
+    hits = hit.groupBy("query_id").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in ks], F.min("rank").alias("best"))
+    out = total.join(hits, "query_id", "left")
+    return out.select("query_id", *[(F.coalesce(f"n{k}", F.lit(0)) / F.least("relevant", F.lit(k))).alias(f"recall_{k}") for k in ks], F.coalesce(1.0 / F.col("best"), F.lit(0.0)).alias("mrr"))
+
+
+def failure_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how far two runs fail at the same queries (query_id), as the Jaccard similarity of their failures; 1 if neither fails."""
+    both = a.select("query_id").distinct().withColumn("_a", F.lit(1)).join(b.select("query_id").distinct().withColumn("_b", F.lit(1)), "query_id", "full_outer")
+    return both.agg(F.count("_a").alias("first"), F.count("_b").alias("second"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("common"), F.count("*").alias("n")).select("first", "second", "common", F.coalesce(F.try_divide(F.col("common").cast("double"), F.col("n")), F.lit(1.0)).alias("jaccard"))
+
+
 def error_rates(rows: DataFrame) -> DataFrame:
     """Shares of false positives among negatives and false negatives among positives of (expected, got)."""
     e, g = F.col("expected"), F.col("got")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..functions import vector as V
 
 
 def ordered():
@@ -39,18 +45,84 @@ def buckets(turns: DataFrame, target: int = 20) -> DataFrame:
     return turns.withColumn("_n", n).withColumn("_at", at).withColumn("bucket", F.floor(F.col("_at") * parts / F.col("_n")).cast("long")).drop("_n", "_at")
 
 
+def cluster_aggregates(dealt: DataFrame) -> DataFrame:
+    """Per (session_id, bucket): turns, first and last time, mean gating score (none counts 0) from 0 to 1, and the first user in time that is known."""
+    known = F.when(F.col("user_id").isNotNull(), F.struct("ts_ms", "id"))
+    mean = F.avg(F.coalesce(F.col("gating_score"), F.lit(0.0)))
+    return dealt.groupBy("session_id", "bucket").agg(F.count("*").alias("turns"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.greatest(F.least(mean, F.lit(1.0)), F.lit(0.0)).alias("mean_gating"), F.min_by("user_id", known).alias("user_id"))
+
+
+class _Newest:
+    """Of the summaries met so far those that can still be taken: newest last.
+
+    A summary is taken if it fits what the newer ones leave. Once newer ones of its size or less fill the budget together with it, it never
+    fits again: either they are all taken, or one of them did not fit already. So few are kept, whatever came before.
+    """
+
+    def __init__(self, budget: int):
+        self.budget, self.kept, self.any = budget, [], False
+
+    def add(self, tokens: int, text: str) -> None:
+        self.any = True
+        self.kept.append((tokens, text))
+        if len(self.kept) > 64:
+            newer, kept = [], []
+            for c, t in reversed(self.kept):
+                if sum(x for x in newer if x <= c) + c <= self.budget:
+                    kept.append((c, t))
+                newer.append(c)
+            self.kept = kept[::-1]
+
+    def taken(self) -> tuple[int, list[str]]:
+        used, texts = 0, []
+        for c, t in reversed(self.kept):
+            if used + c <= self.budget:
+                used += c
+                texts.append(t)
+        return used, texts[::-1]
+
+
 def prior_context(starts: DataFrame, summaries: DataFrame, budget: int = 96) -> DataFrame:
     """For each (session_id, bucket, start_ms) the summaries before it, newest first while they fit (others skipped), joined oldest first.
 
-    summaries: session_id, ts_ms, id, text, tokens. A range join by session, then a fold over the session's few summaries.
+    summaries: session_id, ts_ms, id, text, tokens. One ordered pass over a session's starts and summaries; of the summaries only those are held that a
+    later start could still take. Starts before any summary have no row.
     """
-    s = summaries.alias("s")
-    near = starts.alias("c").join(s, (F.col("c.session_id") == F.col("s.session_id")) & (F.col("s.ts_ms") < F.col("c.start_ms")))
-    near = near.select("c.session_id", "c.bucket", F.struct((-F.col("s.ts_ms")).alias("o"), F.col("s.id").alias("id"), F.col("s.tokens").cast("long").alias("c"), F.col("s.text").alias("t")).alias("x"))
-    listed = near.groupBy("session_id", "bucket").agg(F.sort_array(F.collect_list("x")).alias("l"))
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("texts"))
-    fold = F.aggregate("l", empty, lambda a, x: F.when(a["used"] + x["c"] <= budget, F.struct((a["used"] + x["c"]).alias("used"), F.concat(F.array(x["t"]), a["texts"]).alias("texts"))).otherwise(a))
-    return listed.select("session_id", "bucket", fold.alias("f")).select("session_id", "bucket", F.col("f.used").alias("prior_tokens"), F.array_join("f.texts", "\n\n").alias("prior"))
+    none = lambda kind: F.lit(None).cast(kind)
+    asked = starts.select("session_id", F.col("start_ms").alias("ts_ms"), F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("bucket"), none("string").alias("id"), none("long").alias("tokens"), none("string").alias("text"))
+    given = summaries.select("session_id", "ts_ms", F.lit(1).alias("kind"), none("long").alias("bucket"), F.col("id").cast("string").alias("id"), F.col("tokens").cast("long").alias("tokens"), "text")
+    # Of one time starts come first, and of summaries the least id last: it counts as the newest.
+    both = asked.unionByName(given).repartition("session_id").sortWithinPartitions("session_id", "ts_ms", "kind", F.desc("id"))
+    schema = StructType([starts.schema["session_id"], StructField("bucket", LongType()), StructField("prior_tokens", LongType()), StructField("prior", StringType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, newest = None, _Newest(budget)
+        for df in frames:
+            out = []
+            for s, kind, bucket, tokens, text in zip(df["session_id"], df["kind"], df["bucket"], df["tokens"], df["text"], strict=True):
+                if s != session:
+                    session, newest = s, _Newest(budget)
+                if kind == 1:
+                    newest.add(int(tokens), text)
+                elif newest.any:
+                    used, texts = newest.taken()
+                    out.append((s, int(bucket), used, "\n\n".join(texts)))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return both.mapInPandas(run, schema)
+
+
+def token_windows(docs: DataFrame, key: str, text: str = "text", size: int = 512, step: int = 256) -> DataFrame:
+    """(key, start, words) of each document's windows of ``size`` words, one every ``step``, up to the one that reaches the end (which may be shorter)."""
+    words = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), " ").alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - (size - step) - 1, F.lit(0)), F.lit(step))
+    return words.select(key, "_w", F.explode(starts).alias("start")).select(key, "start", F.slice("_w", F.col("start") + 1, size).alias("words"))
+
+
+def pooled(docs: DataFrame, key: str, embed, dims: int, text: str = "text", size: int = 512, step: int = 256) -> DataFrame:
+    """(key, vector, n): the mean of the vectors of each document's windows, at whatever length it comes out."""
+    windows = token_windows(docs, key, text, size, step).withColumn("_v", embed(F.array_join("words", " ")))
+    return V.mean_by(windows, [key], "_v", dims, "vector")
 
 
 def recall_projection(turns: DataFrame, min_turns: int = 4, budget: int = 128) -> DataFrame:

@@ -92,3 +92,23 @@ def repaired(tiered: DataFrame, marks: DataFrame, sizes: tuple[int, ...] = (64,
     sized = F.coalesce(*[F.when((F.col("tier") == n) & (F.size("vector") >= n), V.prefix(F.col("vector"), n)) for n in sizes])
     new = asked.select(F.concat("collection", F.lit(":"), F.col("tier").cast("string"), F.lit("d")).alias("collection"), "id", sized.alias("vector")).where("vector is not null").withColumn("dirty", F.lit(False))
     return replaced(tiered, new, ["collection", "id"])
+
+
+def without_collections(records: DataFrame, prefix: str) -> DataFrame:
+    """Records left after all collections whose name begins with the prefix are deleted (an empty prefix deletes none)."""
+    return records if not prefix else records.where(~F.col("collection").startswith(prefix))
+
+
+def authored_records(nodes: DataFrame, embed) -> DataFrame:
+    """Authored nodes (source_doc, ordinal, tier, text, ...) as records of their tier's collection: only variants are searched for, so those of the others
+    have a vector of one zero."""
+    tier = F.when(F.col("tier") == 1, "authored:hard").when(F.col("tier") == 2, "authored:soft").otherwise("authored:variant")
+    vector = F.when(F.col("tier") == 0, embed(F.col("text"))).otherwise(F.array(F.lit(0.0)))
+    return nodes.withColumn("collection", tier).withColumn("id", F.format_string("%s#%06d", "source_doc", F.col("ordinal").cast("int"))).withColumn("vector", vector)
+
+
+def authored_replaced(records: DataFrame, docs: DataFrame, new: DataFrame) -> DataFrame:
+    """Records (collection, source_doc, ...) with all nodes of the documents (source_doc), in whatever tier, replaced by the new ones."""
+    gone = docs.select("source_doc").distinct().withColumn("_authored", F.lit(True))
+    kept = records.withColumn("_authored", F.col("collection").startswith("authored:")).join(gone, ["source_doc", "_authored"], "left_anti")
+    return kept.select(*records.columns).unionByName(new.select(*records.columns))

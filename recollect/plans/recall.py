@@ -34,12 +34,12 @@ def _content(text: str) -> str:
     return f"list_filter({_terms(text)}, lambda x: length(x) >= 3 AND NOT list_contains({_list(empty)}, x))"
 
 
-@query(rf"""WITH {turns_sql()}, t AS (SELECT id, list_filter({_terms('text')}, lambda x: NOT list_contains({_list(temporal.INTENT_STOPWORDS)}, x)) AS t FROM turns WHERE role = 'user'),
+@query(rf"""WITH {turns_sql()}, t AS (SELECT id, list_filter({_terms('text')}, lambda x: NOT list_contains({_list(temporal.INTENT_STOPWORDS)}, x)) AS t FROM turns),
     p AS (SELECT id, size, i, t[i:i + size - 1] AS p FROM (SELECT id, t, unnest([4, 3, 2]) AS size FROM t) JOIN (SELECT unnest(range(1, 3000)) AS i) ON i + size - 1 <= len(t)),
     ok AS (SELECT id, array_to_string(p, ' ') AS phrase, min((5 - size) * 100000 + i) AS pos FROM p WHERE len(list_filter(p, lambda x: length(x) < 3)) = 0 GROUP BY 1, 2)
     SELECT id, phrase, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS position FROM ok QUALIFY position < 12""")
 def c9_intent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = model.turns(spark, sf_dir).where("role = 'user'")
+    t = model.turns(spark, sf_dir)
     return t.select("id", F.posexplode(temporal.intent_phrases(F.col("text"))).alias("position", "phrase")).withColumn("position", F.col("position").cast("long"))
 
 
@@ -148,11 +148,11 @@ def c23_role_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.turns(spark, sf_dir).select("id", r6(rank.role_weight(F.col("role"))).alias("weight"), r6(rank.stability(F.col("role"), (F.length("text") % 100) / 100.0)).alias("stability"))
 
 
-#: Five authored items of each of two scopes, hard and soft, and the queries' own sessions (some have no turns).
+#: All benchmark items as authored ones, ten to a scope, hard and soft, and the queries' own sessions (some have no turns).
 WHOLE = rf"""{turns_sql('conv_id % 10')}, {ranking.CANDIDATES}, {ranking.TWO_PASS}, {ranking.HOPS},
-    au AS (SELECT 'a' || item_id % 2 AS scope, 'item' || item_id AS id, item_id AS rank, item_id % 7 + 3 AS tokens, item_id % 4 < 2 AS hard FROM benchmark WHERE item_id < 20),
+    au AS (SELECT 'a' || item_id // 10 AS scope, 'item' || item_id AS id, item_id AS rank, item_id % 7 + 3 AS tokens, item_id % 4 < 2 AS hard FROM benchmark),
     d AS (SELECT query_id, bool_or(id % 6 = 0) AS deep, arg_min(final_score, rank) AS top, count(*) FILTER (rank <= 4) AS n, count(*) FILTER (rank <= 4 AND type = 'summary') AS s, avg(confidence) FILTER (rank <= 4) AS mean FROM ranked GROUP BY 1),
-    q0 AS (SELECT v.id AS query_id, v.id // 20 % 13 AS session_id, 'a' || v.id // 20 % 2 AS scope, CASE WHEN v.id % 100 = 0 THEN 120.0 ELSE 1000.0 + 4 * v.id END AS budget, v.id % 40 = 0 AS comparison,
+    q0 AS (SELECT v.id AS query_id, v.id // 20 % 13 AS session_id, 'a' || v.id // 20 % 4 AS scope, CASE WHEN v.id % 100 = 0 THEN 120.0 ELSE 1000.0 + 4 * v.id END AS budget, v.id % 40 = 0 AS comparison,
       coalesce((deep AND top < 0.15) OR (n >= 4 AND s = n AND mean < 0.5), false) OR v.id % 60 = 0 AS fired FROM v LEFT JOIN d ON v.id = d.query_id WHERE v.id % 20 = 0),
     qt AS (SELECT query_id, t.*, ceil(length(text) / 4.0)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY ts_ms DESC, id DESC) AS back,
       lag(role) OVER (PARTITION BY query_id ORDER BY ts_ms, id) AS prev FROM q0 JOIN turns t USING (session_id)),
@@ -200,12 +200,12 @@ def assemble_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select("query_id", vid.alias("id"), "hop", "final_score", (F.col("id") % 7 == 0).alias("elevated"), (F.col("id") % 30 + 5).alias("tokens"), ((F.col("hop") == 0) & (F.col("id") % 5 == 0)).alias("from_session"))
     turn = F.col("id") / 20
     queries = v.where("id % 20 = 0").select(
-        F.col("id").alias("query_id"), (F.floor(turn) % 13).alias("session_id"), F.concat(F.lit("a"), (F.floor(turn) % 2).cast("string")).alias("scope"),
+        F.col("id").alias("query_id"), (F.floor(turn) % 13).alias("session_id"), F.concat(F.lit("a"), (F.floor(turn) % 4).cast("string")).alias("scope"),
         F.when(F.col("id") % 100 == 0, 120.0).otherwise(1000.0 + 4 * F.col("id")).alias("budget"), (F.col("id") % 40 == 0).alias("comparison"),
     )
     queries = queries.join(fired, "query_id", "left").withColumn("fired", F.coalesce("fired", F.lit(False)) | (F.col("query_id") % 60 == 0))
-    authored = model.table(spark, sf_dir, "benchmark").where("item_id < 20").select(
-        F.concat(F.lit("a"), (F.col("item_id") % 2).cast("string")).alias("scope"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("id"), F.col("item_id").alias("rank"), (F.col("item_id") % 7 + 3).alias("tokens"), (F.col("item_id") % 4 < 2).alias("hard")
+    authored = model.table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("a"), F.floor(F.col("item_id") / 10).cast("string")).alias("scope"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("id"), F.col("item_id").alias("rank"), (F.col("item_id") % 7 + 3).alias("tokens"), (F.col("item_id") % 4 < 2).alias("hard")
     )
     turns = model.turns(spark, sf_dir, 10).select("session_id", "id", "ts_ms", "role", F.ceil(F.length("text") / 4).alias("tokens"))
     recovery = c.where("id % 3 = 1").select("query_id", vid.alias("id"), F.col("score").alias("final_score"), (F.col("id") % 40 + 4).alias("tokens"), (F.col("id") % 6 == 4).alias("witness"))

@@ -145,3 +145,10 @@ def r6_three_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = store.in_tiers(model.vectors(spark, sf_dir), (16, 32, 100))
     return out.select("collection", "id", "dirty", F.when(~F.col("dirty"), F.size("vector")).cast("long").alias("size"), r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(f"""WITH {VECTORS_SQL}, c AS (SELECT id, vector[1:16] AS p FROM v), n AS (SELECT id, p, sqrt(list_sum(list_transform(p, lambda x: x * x))) AS n FROM c)
+    SELECT id, unnest(range(16)) AS position, round(unnest(p) / n, 6) + 0.0 AS value FROM n""")
+def r5_prefix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = model.vectors(spark, sf_dir).select("id", F.posexplode(V.prefix(F.col("vector"), 16)).alias("position", "value"))
+    return p.select("id", F.col("position").cast("long").alias("position"), r6("value").alias("value"))

@@ -75,3 +75,26 @@ def w6_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k13_recall_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = model.turns(spark, sf_dir, 10).withColumn("tokens", T.tokens_floor(F.col("text")))
     return session.recall_projection(t).select("collection", "id")
+
+
+@query("""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents), s AS (SELECT doc_id, unnest(range(0, greatest(len(w) - 256, 1), 256)) AS start FROM w),
+    x AS (SELECT s.doc_id, start, unnest(list_filter(regexp_split_to_array(lower(array_to_string(w[start + 1:start + 512], ' ')), '\\s+'), lambda x: x <> '')) AS t FROM s JOIN w ON w.doc_id = s.doc_id),
+    c AS (SELECT doc_id, start, t, count(*) AS n FROM x GROUP BY ALL), d AS (SELECT t, sha256(t) AS h FROM c GROUP BY t),
+    h AS (SELECT doc_id, start, i, sum(n * (('0x' || substr(h, 2 * i + 1, 2))::INT / 127.5 - 1.0)) AS x FROM c JOIN d ON d.t = c.t CROSS JOIN (SELECT unnest(range(4)) AS i) GROUP BY ALL),
+    v AS (SELECT doc_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id, start)) AS x FROM h)
+    SELECT doc_id, i AS position, round(avg(x), 6) + 0.0 AS value, count(*) AS windows FROM v GROUP BY 1, 2""")
+def w6_pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the vectors of each document's windows, entry by entry (texts without words have none in the SQL, and are left out)."""
+    from ..functions import vector as V
+
+    d = model.table(spark, sf_dir, "documents").where(r"text rlike '\\S'")
+    p = session.pooled(d, "doc_id", lambda t: V.hashed_embedding(t, 4), 4)
+    return p.select("doc_id", "n", F.posexplode("vector").alias("position", "value")).select("doc_id", F.col("position").cast("long").alias("position"), r6("value").alias("value"), F.col("n").alias("windows"))
+
+
+@query(f"""WITH {turns_sql('conv_id % 10')}, {BUCKETS}, g AS (SELECT *, CASE WHEN role = 'user' THEN 'u' || user_ns END AS user_id, CASE WHEN length(text) % 7 > 0 THEN (length(text) % 300) / 100.0 END AS gate FROM b)
+    SELECT session_id, bucket, count(*) AS turns, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, round(greatest(least(avg(coalesce(gate, 0)), 1), 0)::DOUBLE, 6) + 0.0 AS mean_gating, first(user_id ORDER BY ts_ms, id) FILTER (user_id IS NOT NULL) AS user_id FROM g GROUP BY 1, 2""")
+def w4_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.length("text")
+    t = model.turns(spark, sf_dir, 10).withColumn("user_id", F.when(F.col("role") == "user", F.concat(F.lit("u"), F.col("user_ns").cast("string")))).withColumn("gating_score", F.when(n % 7 > 0, (n % 300) / 100.0))
+    return session.cluster_aggregates(session.buckets(t)).withColumn("mean_gating", r6("mean_gating"))

@@ -89,8 +89,7 @@ def e2_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = model.vectors(spark, sf_dir)
     q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("collection").alias("of"))
     ranked = retrieve.top_k(v, q.select("query_id", "vector"), 8)
-    relevant = v.select("id", "collection").join(q.select("query_id", F.col("of").alias("collection")), "collection").where("id <> query_id").select("query_id", "id")
-    return evaluate.recall_at(ranked, relevant).select("query_id", *[r6(c).alias(c) for c in ("recall_1", "recall_3", "recall_8", "mrr")])
+    return evaluate.recall_by_collection(ranked, q.select("query_id", F.col("of").alias("collection")), v).select("query_id", *[r6(c).alias(c) for c in ("recall_1", "recall_3", "recall_8", "mrr")])
 
 
 @query("""WITH r AS (SELECT quality = 1 AS e, doc_id % 7 <> 0 AS g FROM labels) SELECT round(count(*) FILTER (NOT e AND g) / count(*) FILTER (NOT e), 6) + 0.0 AS fp, round(count(*) FILTER (e AND NOT g) / count(*) FILTER (e), 6) + 0.0 AS fn FROM r""")
@@ -117,3 +116,44 @@ def e6_miss_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark items and their whole texts against all documents; no SQL, which would compare every pair."""
     answers = model.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("answer"))
     return evaluate.miss_counts(answers, model.table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {VECTORS_SQL}, s AS (SELECT q.id AS query_id, v.id, q.collection = v.collection AS rel, n, list_cosine_similarity(q.vector[1:n], v.vector[1:n]) AS score FROM v q JOIN v ON q.id % 20 = 0 AND q.id <> v.id CROSS JOIN (SELECT unnest([16, 64]) AS n) t),
+    f AS (SELECT query_id, n FROM (SELECT *, row_number() OVER (PARTITION BY query_id, n ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank = 1 AND NOT rel),
+    c AS (SELECT query_id, bool_or(n = 16) AS a, bool_or(n = 64) AS b FROM f GROUP BY 1)
+    SELECT count(*) FILTER (a) AS "first", count(*) FILTER (b) AS "second", count(*) FILTER (a AND b) AS common, round(coalesce(count(*) FILTER (a AND b)::DOUBLE / nullif(count(*), 0), 1.0), 6) + 0.0 AS jaccard FROM c""")
+def e2_failure_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At which queries short and whole vectors both put a record of another collection first."""
+    v = model.vectors(spark, sf_dir)
+    q = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector", F.col("collection").alias("of"))
+    top = retrieve.top_k(v, q.select("query_id", "vector"), 1, sizes=(16, 64)).join(q.select("query_id", "of"), "query_id").where("collection <> of")
+    out = evaluate.failure_jaccard(top.where("tier = 1"), top.where("tier = 2"))
+    return out.select("first", "second", "common", r6("jaccard").alias("jaccard"))
+
+
+@query("""SELECT 'user:u' || (user_id % 40) AS collection, count(*) AS n FROM events WHERE NOT starts_with('user:u' || (user_id % 40), 'user:u3') GROUP BY 1""")
+def k5_delete_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = model.table(spark, sf_dir, "events").select(F.concat(F.lit("user:u"), (F.col("user_id") % 40).cast("string")).alias("collection"))
+    return store.without_collections(e, "user:u3").groupBy("collection").agg(F.count("*").alias("n"))
+
+
+_NODES = """n AS (SELECT 'd' || doc_id AS source_doc, unnest(range(len(l))) AS ordinal, unnest(l) AS text, doc_id FROM (SELECT doc_id, string_split(text, chr(10))[1:{most}] AS l FROM documents WHERE {which})),
+    r AS (SELECT CASE ordinal % 3 WHEN 1 THEN 'authored:hard' WHEN 2 THEN 'authored:soft' ELSE 'authored:variant' END AS collection, source_doc || '#' || lpad(ordinal::VARCHAR, 6, '0') AS id, text, CASE WHEN ordinal % 3 = 0 THEN 8 ELSE 1 END AS size FROM n)"""
+
+
+@query(f"""SELECT * FROM (WITH {_NODES.format(most=4, which='doc_id % 4 <> 0')} SELECT * FROM r) UNION ALL SELECT * FROM (WITH {_NODES.format(most=2, which='doc_id % 4 = 0')} SELECT * FROM r)
+    UNION ALL SELECT 'user:u' || doc_id % 5, 'x' || doc_id, 'a note', 8 FROM documents""")
+def k9_authored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines as nodes of the three tiers, of every fourth document anew; a user's records of the same documents stay."""
+    from ..functions import vector as V
+
+    d = model.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_doc"), "text", "doc_id")
+
+    def records(docs: DataFrame, most: int) -> DataFrame:
+        lines = docs.select("source_doc", F.posexplode(F.slice(F.split("text", "\n", -1), 1, most)).alias("ordinal", "text"))
+        return store.authored_records(lines.withColumn("tier", F.col("ordinal") % 3), lambda t: V.hashed_embedding(t, 8)).select("source_doc", "collection", "id", "text", "vector")
+
+    own = d.select("source_doc", F.concat(F.lit("user:u"), (F.col("doc_id") % 5).cast("string")).alias("collection"), F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("id"), F.lit("a note").alias("text"), F.array_repeat(F.lit(1.0), 8).alias("vector"))
+    changed = d.where("doc_id % 4 = 0")
+    out = store.authored_replaced(records(d, 4).unionByName(own), changed, records(changed, 2))
+    return out.select("collection", "id", "text", F.size("vector").alias("size"))

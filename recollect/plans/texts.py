@@ -75,11 +75,11 @@ def s5_count_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"""WITH {turns_sql()} SELECT id, CASE WHEN role IN ('user', 'assistant', 'system') THEN trim(text || chr(10) || 'part ' || role, ' ' || chr(10)) END AS content FROM turns WHERE role IN ('user', 'assistant')""")
+@query(f"""WITH {turns_sql()} SELECT id, CASE WHEN role IN ('user', 'assistant', 'system') THEN trim(text || chr(10) || 'part ' || role, ' ' || chr(10)) END AS content FROM turns WHERE role IN ('user', 'assistant', 'system')""")
 def s11_message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
     parts = F.array(part("text", F.col("text")), part("image", F.lit("left out")), part("input_text", F.concat(F.lit("part "), F.col("role"))))
-    t = model.turns(spark, sf_dir).where(F.col("role").isin("user", "assistant"))
+    t = model.turns(spark, sf_dir).where(F.col("role").isin("user", "assistant", "system"))
     return t.select("id", T.content_text(parts).alias("content")).where("content <> ''")
 
 
@@ -102,3 +102,9 @@ def f17_lenient_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f16_eviction_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return model.table(spark, sf_dir, "documents").select("doc_id", r6(T.eviction_priority(d * 1000.0, F.col("n_chars"), d % 10) * 1e6).alias("priority"))
+
+
+@query("""SELECT page_id, printf('%016x', list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(octet_length(encode(url))), lambda i: ('0x' || substr(hex(encode(url)), 2 * i + 1, 2))::UHUGEINT)),
+    lambda h, b: ((xor(h, b) % 18446744073709551616::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) AS digest FROM pages""")
+def f11_fnv64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.table(spark, sf_dir, "pages").select("page_id", T.fnv64(F.col("url")).alias("digest"))

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import plans
-from recollect.operators import assemble, commit, evaluate, protect, temporal
+from recollect.functions import text as T
+from recollect.operators import assemble, commit, evaluate, pack, protect, session, store, temporal
 from recollect.sources import files
 from recollect.streaming import sync
 
@@ -121,3 +122,69 @@ def test_miss_classes_leave_no_ids_out(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i}") for i in range(0, 2000, 100)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.item_id, r.miss): r.n for r in plans.QUERIES["e6_miss_classes"](spark, str(tmp_path)).collect()}
     assert {i for i, _ in got} == set(range(0, 2000, 100)) and got[1900, "answer_present"] == 1 and got[1900, "none"] == 1999
+
+
+def test_long_prior_context_keeps_what_can_still_fit(spark):
+    """The pass over a session gives what a look at all earlier summaries gives."""
+    rng = __import__("random").Random(4)
+    given = [(s, rng.randrange(0, 400), f"i{k:04}", f"t{s}-{k}", rng.choice([1, 2, 3, 5, 20, 60, 96, 97, 200])) for s in range(3) for k in range(500)]
+    starts = [(s, b, rng.randrange(0, 420)) for s in range(4) for b in range(60)]
+    got = session.prior_context(spark.createDataFrame(starts, "session_id int, bucket long, start_ms long"), spark.createDataFrame(given, "session_id int, ts_ms long, id string, text string, tokens long")).collect()
+    want = []
+    for s, b, at in starts:
+        before = sorted((x for x in given if x[0] == s and x[1] < at), key=lambda x: (-x[1], x[2]))
+        used, texts = 0, []
+        for x in before:
+            if used + x[4] <= 96:
+                used += x[4]
+                texts.insert(0, x[3])
+        if before:
+            want.append((s, b, used, "\n\n".join(texts)))
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_windows_and_pooled_vectors(spark):
+    words = [f"w{i}" for i in range(700)]
+    df = spark.createDataFrame([(n, " ".join(words[:n])) for n in (1, 256, 257, 512, 513, 700)], "id int, text string")
+    got = {(r.id, r.start): r.words for r in session.token_windows(df, "id").collect()}
+    assert got == {(n, s): words[s : min(n, s + 512)] for n, starts in ((1, [0]), (256, [0]), (257, [0]), (512, [0]), (513, [0, 256]), (700, [0, 256])) for s in starts}
+    pooled = {r.id: (r.vector, r.n) for r in session.pooled(df, "id", lambda t: F.array(F.length(t).cast("double"), F.lit(1.0)), 2).collect()}
+    assert pooled[700] == ([(len(" ".join(words[:512])) + len(" ".join(words[256:700]))) / 2, 1.0], 2)
+
+
+def test_fnv64(spark):
+    def fnv(data: bytes) -> str:
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return f"{h:016x}"
+
+    texts = ["", "a", "foobar", "é漢😀", "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.fnv64(F.col("t"))).collect()] == [fnv(t.encode()) for t in texts]
+    assert fnv(b"a") == "af63dc4c8601ec8c"
+
+
+def test_startup_reserve_and_speakers(spark):
+    costs = spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "query_id int, tokens int")
+    assert sorted(map(tuple, pack.reserve_checked(costs, 30).collect())) == [(1, 30), (2, 5)]
+    with pytest.raises(Exception, match="startup reserve"):
+        pack.reserve_checked(costs, 29).collect()
+    rows = [(1, "recalled", 1, "hi", None, "user:u1", None), (1, "recalled", 2, "ho", None, "global", None), (1, "recalled", 3, "he", "assistant", "session:s", None), (1, "recalled", 4, "ha", None, "global", "u2")]
+    h = assemble.header(spark.createDataFrame(rows, "query_id int, section string, position int, text string, role string, collection string, user_id string")).first().header
+    assert [line.split('"')[1] for line in h.split("\n") if "<entry" in line] == ["user", "unknown", "assistant", "user"]
+
+
+def test_failures_in_common(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "query_id int")
+    assert tuple(evaluate.failure_jaccard(ids(1, 2, 2), ids(2, 3)).first()) == (2, 2, 1, pytest.approx(1 / 3))
+    assert tuple(evaluate.failure_jaccard(ids(), ids()).first()) == (0, 0, 0, 1.0)
+
+
+def test_authored_nodes_are_replaced_in_all_tiers(spark):
+    schema = "collection string, source_doc string, id string"
+    records = spark.createDataFrame([("authored:hard", "a", "a#000000"), ("authored:variant", "a", "a#000001"), ("authored:soft", "b", "b#000000"), ("user:u", "a", "x"), ("user:u", None, "y")], schema)
+    new = spark.createDataFrame([("authored:soft", "a", "a#000000")], schema)
+    got = store.authored_replaced(records, spark.createDataFrame([("a",), ("a",)], "source_doc string"), new)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("authored:soft", "b", "b#000000"), ("user:u", "a", "x"), ("user:u", None, "y"), ("authored:soft", "a", "a#000000")], key=repr)
+    assert sorted(r.id for r in store.without_collections(records, "authored:").collect()) == ["x", "y"] and store.without_collections(records, "").count() == 5
