@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import vector as V
 from ..operators import compact
+from . import modality as rules
 from .common import r6, registry, turns_sql
 from .sessions import tail_sql
 
@@ -125,11 +126,26 @@ def x6_routed_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session_id", "bucket", "route", "step", "method", "text", r6("confidence").alias("confidence"), "accepted")
 
 
-@query()
+# Words of advice, and prototypes of advice that should survive.
+HINTS = "prefer prioritise prioritize focus avoid reject keep ensure consider should must never do_not don't use"
+PROTOTYPES = ["Prefer deterministic operational guidance over generic defaults.", "Avoid unsafe or undesired implementation choices in hot paths.", "Use the specified approach when implementing core project logic.", "Keep the implementation aligned with project-specific engineering rules."]
+
+
+@query(rf"""WITH {turns_sql()}, t AS (SELECT id, role, CASE right(id, 1) WHEN '2' THEN 'Always use the harbour. ' || text WHEN '4' THEN 'We should keep guidance over generic defaults, with deterministic operational care.' ELSE text END AS text FROM turns),
+    a AS (SELECT id, text FROM t UNION ALL SELECT 'proto' || i, p FROM (SELECT unnest(range(4)) AS i, unnest([{', '.join(f"'{p}'" for p in PROTOTYPES)}]) AS p)),
+    w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM a),
+    h AS (SELECT id, i, sum(('0x' || substr(sha256(w), 2 * i + 1, 2))::INT / 127.5 - 1.0) AS x FROM w CROSS JOIN (SELECT unnest(range(32)) AS i) GROUP BY ALL),
+    v AS (SELECT id, list(x ORDER BY i) AS v FROM h GROUP BY id),
+    n AS (SELECT t.id, max(list_cosine_similarity(t.v, p.v)) AS near FROM v t JOIN v p ON starts_with(p.id, 'proto') AND NOT starts_with(t.id, 'proto') GROUP BY 1),
+    m AS ({rules.masks_sql('t', 'id')})
+    SELECT t.id, CASE WHEN role <> 'user' OR trim(text) = '' THEN NULL WHEN modality_mask <> 0 THEN 'sigma'
+      WHEN regexp_matches(lower(text), '(?:{'|'.join(h.replace('_', ' ').replace("'", "''") for h in HINTS.split())})') AND round(near, 9) >= 0.78 THEN 'booster' END AS protection FROM t JOIN m ON m.id = t.id LEFT JOIN n ON n.id = t.id""")
 def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import protect, rank
 
-    t = model.turns(spark, sf_dir).withColumn("text", F.when(F.substring("id", -1, 1) == "2", F.concat(F.lit("Always use the harbour. "), "text")).otherwise(F.col("text")))
+    last = F.substring("id", -1, 1)
+    said = F.when(last == "2", F.concat(F.lit("Always use the harbour. "), "text")).when(last == "4", "We should keep guidance over generic defaults, with deterministic operational care.").otherwise(F.col("text"))
+    t = model.turns(spark, sf_dir).withColumn("text", said)
     t = t.withColumn("vector", V.hashed_embedding(F.col("text"))).withColumn("stability_weight", rank.role_weight(F.col("role")))
     return protect.protected(t).select("id", "protection")
 

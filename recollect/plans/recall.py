@@ -100,7 +100,16 @@ def c17_affiliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.table(spark, sf_dir, "conversations").select("conv_id", "turn", temporal.affiliation(F.lit("harbour trip"), F.lit("old museum"), _spoken()).alias("side"))
 
 
-@query()
+GREEDY = f"""WITH {ranking.CANDIDATES}, c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS pos, id, round(score, 6) AS fs,
+      CASE id % 3 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a'] ELSE [] END AS covered FROM cand QUALIFY pos <= 8),
+    r1 AS (SELECT query_id, pos AS p1, covered AS s1 FROM (SELECT *, fs + 0.25 * len(covered) / 2 AS w FROM c) WHERE w >= 0.12 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, pos) = 1),
+    r2 AS (SELECT query_id, pos AS p2, list_concat(s1, covered) AS s2 FROM (SELECT c.*, s1, fs + 0.25 * len(list_filter(covered, lambda x: NOT list_contains(s1, x))) / 2 AS w FROM c JOIN r1 USING (query_id) WHERE pos <> p1) WHERE w >= 0.12 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, pos) = 1),
+    r3 AS (SELECT query_id, pos AS p3 FROM (SELECT c.*, fs + 0.25 * len(list_filter(covered, lambda x: NOT list_contains(s2, x))) / 2 AS w FROM c JOIN r1 USING (query_id) JOIN r2 USING (query_id) WHERE pos <> p1 AND pos <> p2) WHERE w >= 0.12 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY w DESC, pos) = 1),
+    t AS (SELECT c.*, CASE pos WHEN p1 THEN 1 WHEN p2 THEN 2 WHEN p3 THEN 3 ELSE 4 END AS turn FROM c LEFT JOIN r1 USING (query_id) LEFT JOIN r2 USING (query_id) LEFT JOIN r3 USING (query_id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY turn, fs DESC, pos)::INT AS rank, id, fs AS final_score, turn < 4 AS selected FROM t"""
+
+
+@query(GREEDY)
 def c21_greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ranking.candidates(spark, sf_dir, 8)
     from pyspark.sql import Window
