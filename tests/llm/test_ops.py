@@ -610,6 +610,37 @@ def test_shards(spark, odd, none, docs):
     assert sharding.assign(none).count() == 0
 
 
+def drawn(doc_id: int | None, layout: list[tuple]) -> int:
+    """The descent in plain Python: Spark's xxhash64 hashes one value after the other, each with the hash so far as its seed, and leaves nulls out."""
+    import math
+    import struct
+
+    import xxhash
+
+    def draw(name: str, weight: float) -> float:
+        seed = 42 if doc_id is None else xxhash.xxh64(struct.pack("<q", doc_id), seed=42).intdigest()
+        return -math.log(((xxhash.xxh64(name.encode(), seed=seed).intdigest() >> 11) + 0.5) / (1 << 53)) / weight
+
+    live = [x for x in layout if x[3] > 0]
+    for level in range(3):
+        name = (lambda x: f"region/{x[0]}", lambda x: f"rack/{x[0]}/{x[1]}", lambda x: f"shard/{x[2]}")[level]
+        weights = collections.defaultdict(float)
+        for x in live:
+            weights[name(x)] += x[3]
+        best = min(weights, key=lambda n: draw(n, weights[n]))
+        live = [x for x in live if name(x) == best]
+    return live[0][2]
+
+
+def test_shards_are_brute_force(spark):
+    ids = [None, 0, -1, 1 << 62, *range(1, 400)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    odd = [("a", "x", 0, 1.0), ("a", "x", 1, 3.0), ("a", "y", 2, 0.0), ("b", "z", 3, 0.5), ("b", "w", 4, 2.5), ("c", "v", 5, 1.0)]
+    for layout in (sharding.LAYOUT, sharding.grown(sharding.LAYOUT), odd):
+        got = {r.doc_id: r.s for r in df.select("doc_id", sharding.shard_of(F.col("doc_id"), layout).alias("s")).collect()}
+        assert got == {i: drawn(i, layout) for i in ids}
+
+
 def test_weights_move_only_between_changed_subtrees(spark):
     keys = spark.range(20000)
     heavy = [(r, k, s, 3.0 if s == 5 else w) for r, k, s, w in sharding.LAYOUT]
