@@ -131,7 +131,7 @@ HINTS = "prefer prioritise prioritize focus avoid reject keep ensure consider sh
 PROTOTYPES = ["Prefer deterministic operational guidance over generic defaults.", "Avoid unsafe or undesired implementation choices in hot paths.", "Use the specified approach when implementing core project logic.", "Keep the implementation aligned with project-specific engineering rules."]
 
 
-@query(rf"""WITH {turns_sql()}, t AS (SELECT id, role, CASE right(id, 1) WHEN '2' THEN 'Always use the harbour. ' || text WHEN '4' THEN 'We should keep guidance over generic defaults, with deterministic operational care.' ELSE text END AS text FROM turns),
+@query(rf"""WITH {turns_sql()}, t AS (SELECT id, role, CASE right(id, 1) WHEN '2' THEN 'Always use the harbour. ' || text WHEN '4' THEN 'They prefer deterministic operational guidance over generic defaults.' ELSE text END AS text FROM turns),
     a AS (SELECT id, text FROM t UNION ALL SELECT 'proto' || i, p FROM (SELECT unnest(range(4)) AS i, unnest([{', '.join(f"'{p}'" for p in PROTOTYPES)}]) AS p)),
     w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM a),
     h AS (SELECT id, i, sum(('0x' || substr(sha256(w), 2 * i + 1, 2))::INT / 127.5 - 1.0) AS x FROM w CROSS JOIN (SELECT unnest(range(32)) AS i) GROUP BY ALL),
@@ -144,7 +144,7 @@ def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import protect, rank
 
     last = F.substring("id", -1, 1)
-    said = F.when(last == "2", F.concat(F.lit("Always use the harbour. "), "text")).when(last == "4", "We should keep guidance over generic defaults, with deterministic operational care.").otherwise(F.col("text"))
+    said = F.when(last == "2", F.concat(F.lit("Always use the harbour. "), "text")).when(last == "4", "They prefer deterministic operational guidance over generic defaults.").otherwise(F.col("text"))
     t = model.turns(spark, sf_dir).withColumn("text", said)
     t = t.withColumn("vector", V.hashed_embedding(F.col("text"))).withColumn("stability_weight", rank.role_weight(F.col("role")))
     return protect.protected(t).select("id", "protection")
