@@ -139,7 +139,7 @@ PROTOTYPES = ["Prefer deterministic operational guidance over generic defaults."
     n AS (SELECT t.id, max(list_cosine_similarity(t.v, p.v)) AS near FROM v t JOIN v p ON starts_with(p.id, 'proto') AND NOT starts_with(t.id, 'proto') GROUP BY 1),
     m AS ({rules.masks_sql('t', 'id')})
     SELECT t.id, CASE WHEN role <> 'user' OR trim(text) = '' THEN NULL WHEN modality_mask <> 0 THEN 'sigma'
-      WHEN regexp_matches(lower(text), '(?:{'|'.join(h.replace('_', ' ').replace("'", "''") for h in HINTS.split())})') AND round(near, 9) >= 0.78 THEN 'booster' END AS protection FROM t JOIN m ON m.id = t.id LEFT JOIN n ON n.id = t.id""")
+      WHEN regexp_matches(lower(text), '\b(?:{'|'.join(h.replace('_', ' ').replace("'", "''") for h in HINTS.split())})\b') AND round(near, 9) >= 0.78 THEN 'booster' END AS protection FROM t JOIN m ON m.id = t.id LEFT JOIN n ON n.id = t.id""")
 def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import protect, rank
 
