@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STRIDE = 8
-WALKS = 8
+WALKS = 6
 SAMPLES = 8
 BITS = 5
 #: The same for the windows of short items, which stand at every word.
