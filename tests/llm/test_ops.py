@@ -498,6 +498,59 @@ def test_quality_odd_rows(spark, odd, none, docs):
     assert kept.columns == with_clashes(odd).columns and kept.count() == sum(r.predicted for r in scores)
 
 
+def statistics(text: str | None) -> list[float]:
+    """The classifier's inputs in plain Python."""
+    words = [w.encode() for w in (text or "").split()]
+    if not words:
+        return [0.0] * len(quality.NAMES)
+    data, n, w, lines = text.encode(), len(text.encode()), len(words), text.split("\n")
+    size = [len(x) for x in words]
+    mean = sum(size) / w
+    symbols = [data.count(c) for c in b"#$%&*@^_~"]
+    pairs = [a == b for a, b in zip(words, words[1:])]
+    twos = [a == b for a, b in zip(words, words[2:])]
+    values = [
+        sum(65 <= c < 91 for c in data) / n, sum(48 <= c < 58 for c in data) / n, data.count(b"|") / w, data.count(b"!") / w, sum(symbols) / w, (data.count(b",") + data.count(b".")) / w, sum(c in b"\t\n " for c in data) / n, sum(c >= 128 for c in data) / n,
+        min(mean, 40) / 10, sum(x > 15 for x in size) / w, len(set(words)) / w, sum(pairs) / len(pairs) if pairs else 0.0, sum(twos) / len(twos) if twos else 0.0,
+        np.log1p(w / len(lines)) / 5, 1 - len(set(lines)) / len(lines), np.log1p(w) / 8, min((sum((x - mean) ** 2 for x in size) / w) ** 0.5, 30) / 10, max(symbols) / w,
+    ]
+    return [min(max(v, 0), 4) ** 0.5 for v in values]
+
+
+def test_quality_is_brute_force(spark, docs):
+    """Features, Fourier map, ridge fit (by least squares instead of normal equations) and calibration (by its min-max formula), recomputed in one piece."""
+    labels = common.read(spark, oracle.SF_DIR, "labels")
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in quality.scored(docs, quality.fit(docs, labels)).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(i, q) for i, q in labels.select("doc_id", "quality").collect() if crc(i) != 0 and i in texts]
+    x, y, fold = np.array([statistics(texts[i]) for i, _ in known]), np.array([float(q) for _, q in known]), np.array([crc(i) for i, _ in known])
+    d = x.shape[1]
+    rng = np.random.default_rng(11)
+    directions, phases = rng.normal(0, d**-0.5, (d, 256)), rng.uniform(0, 2 * np.pi, 256)
+    mean, scale = x.mean(axis=0), np.sqrt(np.maximum((x * x).mean(axis=0) - x.mean(axis=0) ** 2, 1e-6))
+
+    def mapped(x):
+        z = np.clip((x - mean) / scale, -6, 6)
+        return np.hstack([np.cos(z @ directions + phases) * np.sqrt(2 / 256), z, np.ones((len(x), 1))])
+
+    weight = np.sqrt(np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))))
+    rest, k = fold != 1, 256 + d + 1
+    a = np.vstack([mapped(x[rest]) * weight[rest, None], np.sqrt(1e-3 * len(y) / k) * np.eye(k)])
+    w = np.linalg.lstsq(a, np.concatenate([y[rest] * weight[rest], np.zeros(k)]), rcond=None)[0]
+    edges = np.linspace(-0.5, 1.5, 201)
+    use = fold == 1 if (fold == 1).sum() >= 50 else np.ones(len(y), bool)
+    at = np.clip(np.searchsorted(edges, mapped(x[use]) @ w) - 1, 0, 199)
+    bins = sorted(set(at.tolist()))
+    total, good = [float((at == b).sum()) for b in bins], [float(y[use][at == b].sum()) for b in bins]
+    share = lambda i, j: sum(good[i : j + 1]) / sum(total[i : j + 1])
+    value = [max(min(share(i, j) for j in range(m, len(bins))) for i in range(m + 1)) for m in range(len(bins))]
+    middle = [(edges[b] + edges[b + 1]) / 2 for b in bins]
+    want = np.clip(np.interp(mapped(np.array([statistics(t) for t in texts.values()])) @ w, middle, value), 0, 1)
+    for i, score in zip(texts, want, strict=True):
+        assert got[i][0] == pytest.approx(score, abs=1e-6) and got[i][1] == int(got[i][0] >= 0.3) and got[i][2] == (crc(i) == 0)
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 0, 1])).tolist() == pytest.approx([0, 1 / 3, 1 / 3, 1])
 
