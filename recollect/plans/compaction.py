@@ -150,7 +150,7 @@ def x3_protection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return protect.protected(t).select("id", "protection")
 
 
-@query()
+@query("""SELECT page_id, sha256(CASE WHEN length(html) >= 239 OR len(string_split(html, chr(10))) >= 8 THEN '[code block left out]' ELSE '```' || chr(10) || html || chr(10) || '```' END || chr(10) || 'tail') AS clean_sha FROM pages""")
 def x9_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import protect
 
