@@ -43,6 +43,26 @@ def c9_intent_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("id", F.posexplode(temporal.intent_phrases(F.col("text"))).alias("position", "phrase")).withColumn("position", F.col("position").cast("long"))
 
 
+@query(rf"""WITH {turns_sql()}, ph AS (SELECT id, list(phrase) AS phrases FROM ({ORACLE_SQL['c9_intent_phrases']}) GROUP BY 1),
+    q AS (SELECT t.id AS query_id, session_id, list_distinct(list_filter({_terms('text')}, lambda x: length(x) >= 3)) AS words, coalesce(phrases, []) AS phrases FROM turns t LEFT JOIN ph ON ph.id = t.id WHERE role = 'user'),
+    c AS (SELECT query_id, t.id, ts_ms, length(text) * 7 % 100 / 100.0 AS sem, CASE WHEN len(words) > 0 THEN len(list_intersect(words, {_terms('text')}))::DOUBLE / len(words) ELSE 0 END AS lexical,
+      least(0.04, 0.01 * len(list_filter(phrases, lambda p: contains(array_to_string({_terms('text')}, ' '), p)))) AS bonus FROM q JOIN turns t ON t.session_id = q.session_id AND t.id <> query_id),
+    f AS (SELECT *, least(greatest(0.2 * sem + 0.7 * lexical + 0.1 * exp(-1e-5::DOUBLE * greatest({NOW_MS} - ts_ms, 0) / 1000.0::DOUBLE) + bonus, 0), 1)::DOUBLE AS final_score FROM c)
+    SELECT query_id, id, round(lexical, 6) + 0.0 AS lexical, round(final_score, 6) + 0.0 AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, round(lexical, 9) DESC, sem DESC, id) AS rank FROM f""")
+def c8_raw_recovery_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of a user as a question to the other turns of its conversation, with similarity, phrases and order."""
+    from pyspark.sql import Window
+
+    from ..functions import text as T
+
+    t = model.turns(spark, sf_dir)
+    q = t.where("role = 'user'").select("session_id", F.col("id").alias("query_id"), T.keywords(F.col("text")).alias("words"), temporal.intent_phrases(F.col("text")).alias("phrases"))
+    c = t.join(q, "session_id").where("id <> query_id").withColumn("score", F.length("text") * 7 % 100 / 100.0)
+    out = rank.raw_recovery(c, NOW_MS, F.col("words"), F.col("phrases"))
+    order = Window.partitionBy("query_id").orderBy(F.round("final_score", 9).desc(), F.round("lexical", 9).desc(), F.desc("score"), "id")
+    return out.select("query_id", "id", r6("lexical").alias("lexical"), r6("final_score").alias("final_score"), F.row_number().over(order).cast("long").alias("rank"))
+
+
 @query(rf"""WITH {turns_sql()}, c AS (SELECT id, list_transform(regexp_split_to_array(text, '(?i)\bafter\b|\bbefore\b|\bbetween\b|\bor\b|\band\b|\bthen\b|[?.!,;\n]+'), lambda x: {_content('x')}) AS c FROM turns),
     s AS (SELECT id, flatten(list_transform(list_filter(c, lambda t: len(t) > 0), lambda t: CASE WHEN len(t) <= 3 THEN [array_to_string(t, ' ')] ELSE [array_to_string(t[1:4], ' '), array_to_string(t[greatest(len(t) - 3, 1):], ' ')] END)) AS s FROM c),
     u AS (SELECT id, s, p FROM s, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS p)),
