@@ -11,7 +11,7 @@ a passage starts at the same word, and a long item is found by any of its stretc
 window has few of the edits: after an edit a walk takes some steps to fall in with the other again, and whole items of a hundred words with a fifth of edits hardly agree anywhere.
 Items too short for that have windows of ``SHORT`` words at every word, and so have documents, if there are such items.
 
-What is found is what the samples find: 0.95 or more of the passages with a fifth of their words edited, of every length from ``LEAST_WORDS`` on, and nearly all with a tenth.
+What is found is what the samples find: 0.95 or more of the passages with a fifth of their words edited at every length measured (6 to 300 words), nearly all with a tenth, all with none.
 
 Candidates are verified exactly: the least word edit distance between the item and any stretch
 of the document around the window, at most ``MOST_EDITS`` of the item's words.
