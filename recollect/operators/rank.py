@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vector as V
 from . import pack
 
 
@@ -165,9 +166,9 @@ def anchor_density(text: Column) -> Column:
 
 def slot_coverage(slots: Column, text: Column) -> Column:
     """Share of slots (arrays of terms) of which at least half the terms occur in the text."""
-    have = T.terms(text)
-    hit = F.filter(slots, lambda s: 2 * F.size(F.array_intersect(F.array_distinct(s), have)) >= F.size(F.array_distinct(s)))
-    return F.coalesce(F.try_divide(F.size(hit).cast("double"), F.size(slots)), F.lit(0.0))
+    known = lambda s, have: F.size(F.filter(s, lambda t: F.array_contains(have, t)))
+    hit = lambda have: F.filter(slots, lambda s: V.bound(F.array_distinct(s), lambda d: 2 * known(d, have) >= F.size(d)))
+    return F.coalesce(F.try_divide(F.size(V.bound(T.terms(text), hit)).cast("double"), F.size(slots)), F.lit(0.0))
 
 
 def temporal_recovery(candidates: DataFrame, now_ms: int, decay: float = 1e-5) -> DataFrame:
