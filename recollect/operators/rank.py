@@ -112,10 +112,14 @@ def retrieval_failed(ranked: DataFrame, floor: float = 0.15, least: int = 4, con
 
 
 def raw_recovery(candidates: DataFrame, now_ms: int, query_words: Column, phrases: Column | None = None, decay: float = 1e-5) -> DataFrame:
-    """final_score of raw turns: a fifth similarity, seven tenths keyword share, a tenth recency, up to 0.04 for phrases."""
-    lexical = T.coverage(query_words, F.col("text"))
-    normal = F.concat(F.lit(" "), F.array_join(T.terms(F.col("text")), " "), F.lit(" "))
-    bonus = F.least(F.lit(0.04), 0.01 * F.size(F.filter(phrases, lambda p: F.contains(normal, p)))) if phrases is not None else F.lit(0.0)
+    """final_score of raw turns: a fifth similarity, seven tenths keyword share, a tenth recency, up to 0.04 for phrases.
+
+    Candidates of many queries should come with ``terms``, those of their text, made before they meet the queries.
+    """
+    terms = F.col("terms") if "terms" in candidates.columns else T.terms(F.col("text"))
+    lexical = T.covered(query_words, terms)
+    told = lambda normal: F.size(F.filter(phrases, lambda p: F.contains(normal, p)))
+    bonus = F.least(F.lit(0.04), 0.01 * V.bound(F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")), told)) if phrases is not None else F.lit(0.0)
     final = T.clamp(0.2 * T.clamp(F.col("score")) + 0.7 * lexical + 0.1 * recency(F.col("ts_ms"), now_ms, decay) + bonus)
     return candidates.withColumn("lexical", lexical).withColumn("final_score", final)
 
