@@ -44,17 +44,14 @@ def whole(queries: DataFrame, hard: DataFrame, soft: DataFrame, turns: DataFrame
     filled = lambda df, few, name, on: df.join(few, on, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     q = queries.withColumn("memory", 0.25 * F.col("budget"))
     q = filled(q, hard.groupBy("scope").agg(F.sum("tokens").alias("hard_used")), "hard_used", "scope")
-    own = q.select("query_id", "session_id").join(turns, "session_id").drop("session_id")
-    base = own.withColumn("_back", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ts_ms"), F.desc("id")))).where(F.col("_back") <= min_turns)
-    q = filled(q, _spent(base, "base_used"), "base_used", "query_id")
+    base = turns.withColumn("_back", F.row_number().over(session.latest_first())).where(F.col("_back") <= min_turns)
+    q = filled(q, base.groupBy("session_id").agg(F.sum("tokens").alias("base_used")), "base_used", "session_id")
     q = q.withColumn("degraded", F.col("hard_used") + F.col("base_used") > F.col("memory") + 1e-9).cache()  # a row a query, used by every section
     soft_budget = floor0(F.least(0.3 * F.col("memory"), F.col("memory") - F.col("hard_used") - F.col("base_used")))
     soft_items = pack.prefix_fit(soft.join(q.where("not degraded").select("query_id", "scope", soft_budget.alias("_budget")), "scope"), F.col("_budget")).select("query_id", "id", "rank", "tokens")
     q = filled(q, _spent(soft_items, "soft_used"), "soft_used", "query_id")
     tail_budget = F.floor(F.least(F.greatest(F.lit(tail_target), F.col("base_used")), floor0(F.col("memory") - F.col("hard_used") - F.col("soft_used"))))
-    # A session's tail belongs to the query here, whose budget it has.
-    tail = session.tail_split(own.withColumnRenamed("query_id", "session_id").join(q.select(F.col("query_id").alias("session_id"), tail_budget.alias("_room"), "degraded"), "session_id"), min_turns, F.col("_room"))
-    tail = tail.where(F.when(F.col("degraded"), F.col("in_base")).otherwise(F.col("recent"))).select(F.col("session_id").alias("query_id"), "id", "ts_ms", "in_base", "tokens")
+    tail = session.tails(q.select("query_id", "session_id", tail_budget.alias("room"), F.col("degraded").alias("base_only")), turns, min_turns)
     tail = tail.cache()
     q = filled(q, _spent(tail, "tail_used"), "tail_used", "query_id")
     q = filled(q, found.where("from_session").groupBy("query_id").agg(F.count("*").alias("session_hits")), "session_hits", "query_id")

@@ -20,23 +20,43 @@ def latest_first():
     return Window.partitionBy("session_id").orderBy(F.desc("ts_ms"), F.desc("id"))
 
 
-def tail_split(turns: DataFrame, min_turns: int = 4, budget: int = 128, cost: str = "tokens") -> DataFrame:
-    """Turns with ``recent``: the last ``min_turns``, more while they fit the budget, and the bundle the border falls into.
+def tail_marks(turns: DataFrame, min_turns: int = 4, cost: str = "tokens") -> DataFrame:
+    """Turns with _back (1 for a session's last), _used (cost from there to the end), _base (cost of the last ``min_turns``) and bundle.
 
-    Neighbours of the roles user and assistant, either way round, are one bundle; bundles are numbered
-    as islands, so a border never cuts one.
+    Neighbours of the roles user and assistant, either way round, are one bundle; bundles are numbered as islands.
     """
     total = F.sum(cost).over(latest_first().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     base = F.sum(F.when(F.col("_back") <= min_turns, F.col(cost))).over(Window.partitionBy("session_id"))
     before = F.lag("role").over(ordered())
     coupled = ((before == "user") & (F.col("role") == "assistant")) | ((before == "assistant") & (F.col("role") == "user"))
     t = turns.withColumn("_back", F.row_number().over(latest_first())).withColumn("_used", total).withColumn("_base", base)
-    t = t.withColumn("bundle", F.sum(F.when(F.coalesce(coupled, F.lit(False)), 0).otherwise(1)).over(ordered()))
+    return t.withColumn("bundle", F.sum(F.when(F.coalesce(coupled, F.lit(False)), 0).otherwise(1)).over(ordered()))
+
+
+def tail_split(turns: DataFrame, min_turns: int = 4, budget: int = 128, cost: str = "tokens") -> DataFrame:
+    """Turns with ``recent``: the last ``min_turns``, more while they fit the budget, and the bundle the border falls into, which a border never cuts."""
+    t = tail_marks(turns, min_turns, cost)
     near = (F.col("_back") <= min_turns) | ((F.col("_base") <= budget) & (F.col("_used") <= budget))
     first_bundle = F.min(F.when(near, F.col("bundle"))).over(Window.partitionBy("session_id"))
     return t.withColumn("in_base", F.col("_back") <= min_turns).withColumn("recent", F.col("bundle") >= first_bundle).drop("_back", "_used", "_base")
 
 
+def tails(queries: DataFrame, turns: DataFrame, min_turns: int = 4) -> DataFrame:
+    """(query_id, id, ts_ms, in_base, tokens): the tail of each query's session; ``tail_split`` for many queries (query_id, session_id, room, base_only) of a session.
+
+    Turns are marked once a session, not once a query. Costs are never negative, so a bundle is in the tail if its last turn is near: with the
+    turn it carries the number and cost that its last turn has. Turns that fit no query of their session are left out before queries meet them,
+    so that no more pairs are made than the tails of a session's queries, each as long as the longest.
+    """
+    of_bundle = Window.partitionBy("session_id", "bundle")
+    marked = tail_marks(turns, min_turns).withColumn("_first", F.min("_back").over(of_bundle)).withColumn("_least", F.min("_used").over(of_bundle))
+    near = lambda room: (F.col("_first") <= min_turns) | ((F.col("_base") <= room) & (F.col("_least") <= room))
+    widest = queries.groupBy("session_id").agg(F.max("room").alias("_widest"))
+    few = marked.join(widest, "session_id").where(near(F.col("_widest"))).drop("_widest")
+    found = queries.join(few, "session_id").where(F.when(F.col("base_only"), F.col("_back") <= min_turns).otherwise(near(F.col("room"))))
+    return found.select("query_id", "id", "ts_ms", (F.col("_back") <= min_turns).alias("in_base"), "tokens")
+
+
 def buckets(turns: DataFrame, target: int = 20) -> DataFrame:
     """Turns with ``bucket``: ceil(n / target) contiguous parts, turn i of n in part floor(i * parts / n)."""
     n = F.count("*").over(Window.partitionBy("session_id"))
