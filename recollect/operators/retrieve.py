@@ -21,8 +21,8 @@ from ..functions import text as T
 QUERIES_AT_ONCE = 4096
 #: Rows of each side that meet in a cell.
 QUERY_TILE, RECORD_TILE = 4096, 32768
-#: Scores that are held at once.
-SCORES = 1 << 22
+#: Scores that are held at once; several arrays of so many are.
+SCORES = 1 << 20
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -51,14 +51,14 @@ def _ordered(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _cut(found: pa.Table, k: int, per_collection: bool) -> pa.Table:
-    """The first k of each query (of each collection) by score, then collection order where that counts, then id.
+    """The first k of each query (of each collection) by score, then id, then collection.
 
     Scores that differ by rounding only are one score, as in the final order.
     """
     if k <= 0 or not found.num_rows:
         return found
     by = [_ordered(found["query_id"]), _ordered(found["tier"]), *([_ordered(found["collection"])] if per_collection else [])]
-    order = np.lexsort((_ordered(found["id"]), -np.round(found["score"].to_numpy(), 9), *reversed(by)))
+    order = np.lexsort((_ordered(found["collection"]), _ordered(found["id"]), -np.round(found["score"].to_numpy(), 9), *reversed(by)))
     new = np.zeros(len(order), bool)
     new[0] = True
     for x in by:
@@ -67,6 +67,21 @@ def _cut(found: pa.Table, k: int, per_collection: bool) -> pa.Table:
     return found.take(pa.array(order[np.arange(len(order)) - first < k]))
 
 
+def _best(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest finite scores (all for k <= 0), of equal ones those of the first columns: never more, however many tie."""
+    if not 0 < k < score.shape[1]:
+        return np.nonzero(np.isfinite(score))
+    least = np.round(np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k], 9)
+    row, col = np.nonzero(score >= least[:, None] - 1e-9)  # by a row's columns in order; few besides the k and ties
+    value = score[row, col]
+    real = np.isfinite(value)
+    row, col, value = row[real], col[real], np.round(value[real], 9)
+    above, tied = value > least[row], np.flatnonzero(value == least[row])
+    room = k - np.bincount(row[above], minlength=len(score))
+    above[tied[np.arange(len(tied)) - np.searchsorted(row[tied], row[tied]) < room[row[tied]]]] = True
+    return row[above], col[above]
+
+
 def _excluded(q: pa.Table, r: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the pairs that a query leaves out."""
     at: dict[tuple, list[int]] = {}
@@ -88,7 +103,8 @@ class _Search:
         return self.schema.empty_table()
 
     def met(self, q: pa.Table, r: pa.Table) -> pa.Table:
-        """The best of one group's records for each of its queries."""
+        """The best of one group's records for each of its queries. Records stand in the order in which ties are decided."""
+        r = r.take(pa.array(np.lexsort((_ordered(r["collection"]), _ordered(r["id"])))))
         left, right = _matrix(q["vector"]), _matrix(r["vector"])
         self_rows = _ordered(pa.chunked_array([*q["query_id"].chunks, *r["id"].chunks])) if self.exclude_self and q["query_id"].type == r["id"].type else None
         drop = _excluded(q, r) if "excluded" in q.column_names else None
@@ -97,9 +113,12 @@ class _Search:
         found = []
         for tier, size in enumerate(self.sizes or (left.shape[1],), 1):
             a, b = _unit(left[:, :size]), _unit(right[:, :size])
+            none = [np.flatnonzero(~np.isfinite(x).all(axis=1)) for x in (a, b)]  # vectors that aren't numbers are found by nothing
             step = max(1, SCORES // max(1, len(b)))
             for i in range(0, len(a), step):
                 score = a[i : i + step] @ b.T
+                score[:, none[1]] = -np.inf
+                score[none[0][(none[0] >= i) & (none[0] < i + step)] - i] = -np.inf
                 if self_rows is not None:
                     score[self_rows[i : min(i + step, len(a)), None] == self_rows[None, len(a) :]] = -np.inf
                 if self.as_of:
@@ -109,14 +128,8 @@ class _Search:
                     inside = (drop[0] >= i) & (drop[0] < i + step)
                     score[drop[0][inside] - i, drop[1][inside]] = -np.inf
                 for at in groups:
-                    part = score[:, at]
-                    if 0 < self.k < len(at):  # only what reaches the k-th score of its query; ties at it all stay for now
-                        rounded = np.round(part, 9)
-                        row, col = np.nonzero(rounded >= np.partition(rounded, len(at) - self.k, axis=1)[:, len(at) - self.k, None])
-                    else:
-                        row, col = np.nonzero(np.ones(part.shape, bool))
-                    real = np.isfinite(part[row, col])
-                    row, col = row[real], col[real]
+                    part = score if len(groups) == 1 else score[:, at]
+                    row, col = _best(part, self.k)
                     rows, cols = pa.array(row + i), pa.array(at[col])
                     found.append(pa.table([q["query_id"].take(rows), r["id"].take(cols), r["collection"].take(cols), pa.array(part[row, col]), pa.array(np.full(len(row), tier, np.int32))], schema=self.schema))
         return _cut(pa.concat_tables(found), self.k, self.per_collection)
@@ -139,12 +152,13 @@ class _Search:
 
 
 def _cells(records: DataFrame, queries: DataFrame, n_queries: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with the cells they are dealt to. A group of many rows has several tiles of each side; small groups share cells."""
+    """Both sides with the cells they are dealt to. A group of many rows has several tiles of each side; small groups share cells, a large one shares none."""
     total = records.count()
     if "within" in queries.columns:
         counted = queries.groupBy("within").agg(F.count("*").alias("_nq")).join(records.groupBy("within").agg(F.count("*").alias("_nr")), "within")
         queries, records = queries.join(counted, "within"), records.join(counted, "within")
-        place = F.pmod(F.xxhash64("within"), F.lit(max(1, total // RECORD_TILE)))
+        large = (F.col("_nr") > RECORD_TILE // 4) | (F.col("_nq") > QUERY_TILE // 4)
+        place = F.when(large, F.xxhash64("within")).otherwise(F.pmod(F.xxhash64("within"), F.lit(max(1, total // RECORD_TILE, n_queries // QUERY_TILE))))
     else:
         queries, records = (df.withColumn("_nq", F.lit(n_queries)).withColumn("_nr", F.lit(total)) for df in (queries, records))
         place = F.lit(0).cast("long")
@@ -183,7 +197,12 @@ def top_k(records: DataFrame, queries: DataFrame, k: int = 10, per_collection: b
         q, r, by = _cells(r, q, n)
         q = q.select(*[F.col(c).alias(c) for c in q.columns])  # both sides may come from one table
         drop = lambda t: t.drop_columns(by)
-        found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(lambda a, b: search.cell(drop(a), drop(b)), out)
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            pa.default_memory_pool().release_unused()  # what the cells before left
+            return search.cell(drop(a), drop(b))
+
+        found = q.groupBy(*by).cogroup(r.groupBy(*by)).applyInArrow(run, out)
     else:
         found = _broadcast(r, q, _Search(_arrow(out), k, per_collection, exclude_self, as_of and as_of[1], sizes), out)
     w = Window.partitionBy("query_id", "tier", *(["collection"] if per_collection else [])).orderBy(F.round("score", 9).desc(), "id", "collection")
