@@ -249,24 +249,31 @@ HOT_ROWS = 1000
 SALTS = 32
 
 
-def hot(counted: DataFrame, key: str, n: str = "n") -> list:
-    """The keys of most rows, ``HOT_KEYS`` at most; any other key has ``HOT_ROWS`` rows or fewer, or less than 1 / ``HOT_KEYS`` of all."""
-    return [r[0] for r in counted.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key).collect()]
+def hot(counted: DataFrame, key: str, n: str = "n", above: int = HOT_ROWS) -> list:
+    """The keys of most rows, ``HOT_KEYS`` at most; any other key has ``above`` rows or fewer, or less than 1 / ``HOT_KEYS`` of all."""
+    return [r[0] for r in counted.where(F.col(n) > above).orderBy(F.desc(n), key).limit(HOT_KEYS).select(key).collect()]
 
 
-def spread(rows: DataFrame, few: DataFrame, key: str, hot_keys: list, by: list[str], how: str = "inner", always: bool = False) -> DataFrame:
+def spread(rows: DataFrame, few: DataFrame, key: str, hot_keys: list, by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``few``, which has one row a key. Rows of a hot key are dealt by their columns ``by``, each part with a copy of its row of ``few``.
 
-    Without hot keys it is a plain join, unless the plan is to be ``always`` the same (a null, which equals none, stands for an empty list then).
+    Without hot keys it is a plain join.
     """
-    if not hot_keys and not always:
+    if not hot_keys:
         return rows.join(few, key, how)
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot_keys or [None]], StructType([StructField(key, rows.schema[key].dataType)]))).withColumn("_hot", F.lit(True))  # HOT_KEYS at most
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in hot_keys], StructType([StructField(key, rows.schema[key].dataType)]))).withColumn("_hot", F.lit(True))  # HOT_KEYS at most
     dealt = rows.join(listed, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return dealt.join(few.join(listed, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot"), [key, "_salt"], how).drop("_salt")
 
 
+def in_place(rows: DataFrame, few: DataFrame, key: str, hot_keys: list) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row a key or none. Rows of a hot key stay where they are: ``few``'s rows of these keys,
+    ``HOT_KEYS`` at most, go to them. Only the other rows are shuffled."""
+    is_hot = F.col(key).isin(hot_keys)
+    return rows.where(~is_hot).join(few.where(~is_hot), key).unionByName(rows.where(is_hot).join(F.broadcast(few.where(is_hot)), key))
+
+
 #: Edges that a partition of a component search holds at least, if there are as many.
 EDGES_A_PARTITION = 50_000
 

@@ -105,6 +105,16 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.select("id", "bucket", "sketch").mapInArrow(run, "id long, bucket long")
 
 
+def _in_large(frontier: DataFrame, counted: DataFrame, most: list) -> DataFrame:
+    """The rows (id, bucket) of buckets of more than ``SMALL`` sets. Those of the largest, whose list ``most`` is, are told by it and
+    are not joined; it holds all of them unless it is as long as it may be."""
+    listed = F.col("bucket").isin(most)
+    rows = frontier.where(listed)
+    if len(most) < C.HOT_KEYS:
+        return rows
+    return rows.unionByName(frontier.where(~listed).join(counted.where((F.col("n") > SMALL) & ~listed).select("bucket"), "bucket"))
+
+
 def leaves(sets: DataFrame) -> DataFrame:
     """(id, bucket, n) of the buckets to compare, each of at least two sets; of buckets with the same sets, one."""
     frontier, found = _first_buckets(sets), None
@@ -115,12 +125,12 @@ def leaves(sets: DataFrame) -> DataFrame:
         done = counted if depth == DEPTH - 1 else counted.where(F.col("n") <= SMALL)
         done = done.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket"))
         done = done.select("bucket", "n")  # of up to SMALL sets each, but at the last depth
-        part = frontier.join(done, "bucket") if depth < DEPTH - 1 else C.spread(frontier, done, "bucket", C.hot(counted, "bucket"), ["id"], always=True)
+        most = C.hot(counted, "bucket", above=SMALL)
+        part = frontier.join(done, "bucket") if depth < DEPTH - 1 else C.in_place(frontier, done, "bucket", most)
         found = part if found is None else found.unionByName(part)
         if depth == DEPTH - 1:
             break
-        large = counted.where(F.col("n") > SMALL).select("bucket")
-        frontier = _split(C.spread(frontier, large, "bucket", C.hot(counted, "bucket"), ["id"], always=True).join(sets, "id"))
+        frontier = _split(_in_large(frontier, counted, most).join(sets, "id"))
     return found.select("id", "bucket", "n")
 
 
