@@ -24,8 +24,9 @@ def tok_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS t FROM documents)
     SELECT doc_id, len(t) AS n_terms, len(list_distinct(list_filter(t, lambda x: length(x) >= 3))) AS n_keywords FROM t""")
 def f2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return model.table(spark, sf_dir, "documents").select("doc_id", F.size(T.terms(t)).cast("long").alias("n_terms"), F.size(T.keywords(t)).cast("long").alias("n_keywords"))
+    # A table written as one row group is read by one task, whatever its size: its texts are dealt over all before terms are searched for.
+    d = model.table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", T.terms(F.col("text")).alias("terms"))
+    return d.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.size(T.keywords_among(F.col("terms"))).cast("long").alias("n_keywords"))
 
 
 @query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS attribute FROM documents""")
